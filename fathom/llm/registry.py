@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontaminate
+from .embed_dedup import OP5_SQL, op5_embeddings
+from .minhash import OP2_SQL, op2_minhash
 from .packing import op9_packing
+from .quality import op8_quality
+from .sharding import OP3_SQL, op3_sharding
 from .token_files import op10_token_files
+from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_minhash": op2_minhash,
+    "op3_sharding": op3_sharding,
+    "op5_embeddings": op5_embeddings,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_minhash": OP2_SQL, "op3_sharding": OP3_SQL, "op5_embeddings": OP5_SQL}
