@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import PLAIN_TABLE, Words, by_chunk, fold_of, span_hashes, splitter, table
+from .common import PLAIN_TABLE, Words, by_chunk, fold_of, mix, span_hashes, splitter, table
 
 PER_CLASS, MAX_CHARS = 3_000, 60_000
 #: A mined stem must come in this many different toxic texts, and this many times as often as in others.
@@ -34,7 +34,7 @@ STEMS = (4, 5, 6, 7, 8)
 MOST_STEMS = 4_000
 
 # Closed word classes in the four languages.
-THREATS = "kill hurt destroy burn hang shoot stab beat punish die töten umbringen schlagen vernichten sterben tuer frapper détruire mourir matar golpear destruir morir".split()
+THREATS = "kill hurt destroy burn hang shoot stab beat punish murder töten umbringen schlagen vernichten sterben tuer frapper détruire mourir matar golpear destruir morir".split()
 TARGETS = "you your yours yourself he him his she her they them their people du dich dir dein deine ihr euch sie tu te toi ton ta vous votre ils elles usted tú ti tus ellos ellas".split()
 NEGATIONS = "not never no nobody without cannot isn aren wasn don doesn didn won nicht nie kein keine keinen niemals ne pas jamais aucun sans nunca jamás ningún sin".split()
 REPORTS = "said says say wrote writes claimed claims quoted called reported sagte sagt schrieb behauptete nannte dit écrit affirme cité dijo dice escribió afirma citó".split()
@@ -190,15 +190,17 @@ def mine(texts: list, y: np.ndarray) -> dict[tuple[int, int], float]:
         for size in (0, *STEMS):
             long = np.flatnonzero(length >= max(size, 3))
             g = h[long] if not size else span_hashes(w.data, w.starts[long], w.starts[long] + size)
-            seen = np.unique(np.stack([g, least[w.doc[long]], y[i : i + 200][w.doc[long]].astype(np.uint64)], axis=1), axis=0)
-            found.setdefault(size, []).append(seen)
+            bad = y[i : i + 200][w.doc[long]].astype(np.uint64)
+            once = np.unique(mix(mix(g) + least[w.doc[long]]) + bad, return_index=True)
+            found.setdefault(size, []).append((once[0], g[once[1]], bad[once[1]]))
     many = np.bincount(y.astype(int), minlength=2)
     picked: dict[tuple[int, int], tuple[float, int]] = {}
     for size, parts in found.items():
-        rows = np.unique(np.concatenate(parts), axis=0)
-        keys, at = np.unique(rows[:, 0], return_inverse=True)
-        bad = np.bincount(at, weights=rows[:, 2] == 1, minlength=len(keys))
-        good = np.bincount(at, weights=rows[:, 2] == 0, minlength=len(keys))
+        once, g, marked = (np.concatenate(x) for x in zip(*parts, strict=True))
+        once = np.unique(once, return_index=True)[1]  # a word counts once for all copies of a text
+        keys, at = np.unique(g[once], return_inverse=True)
+        bad = np.bincount(at, weights=marked[once] == 1, minlength=len(keys))
+        good = np.bincount(at, weights=marked[once] == 0, minlength=len(keys))
         ratio = (bad / max(many[1], 1)) / ((good + 0.5) / max(many[0], 1))
         for k in np.flatnonzero((bad >= LEAST_TEXTS) & (ratio >= LEAST_RATIO)).tolist():
             picked[size, int(keys[k])] = float(min(np.log(ratio[k]), 6.0)) / 3, int(bad[k])
