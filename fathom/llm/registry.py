@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
 from .embed_dedup import OP5_SQL, op5_embeddings
+from .language import op6_language
 from .minhash import OP2_SQL, op2_minhash
 from .packing import op9_packing
 from .quality import op8_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_sharding": op3_sharding,
     "op5_embeddings": op5_embeddings,
+    "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
