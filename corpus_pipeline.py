@@ -1,8 +1,65 @@
-"""The corpus pipeline: documents through five stages."""
+"""The corpus pipeline: quality filter, near-duplicate removal, decontamination, secret redaction, packing.
 
-STAGES = []
+Each stage is one of the operators of fathom.llm, applied to all that the stage before kept. All but the
+last return the columns of documents. Rows with one doc_id count as one document. Null texts are scored,
+kept or dropped like empty ones; an empty table goes through as such.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fathom.llm import decontaminate, minhash, packing, quality, secrets
+from fathom.llm.common import stored, table, without
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.filtered(docs.select(*COLUMNS), quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, 0.8) the document with the smallest id."""
+    dropped = stored(minhash.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id").distinct(), "dropped")
+    return without(docs.select(*COLUMNS), dropped, "doc_id")
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark item is tiled in."""
+    found = stored(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
+    return without(docs.select(*COLUMNS), found, "doc_id")
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in their texts replaced by a mark and n_chars counted anew where the text changed."""
+    clean = secrets.redacted(docs.select(*COLUMNS).withColumn("_was", F.col("text")), secrets.train(secrets.labelled_findings(spark)))
+    return clean.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col("_was")), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of power-of-two lengths with their ids."""
+    cut = packing.pieces(docs).withColumn("ids_crc32", F.crc32("ids"))
+    return packing.sequences(cut).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", uncontaminated),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
+
+#: The classifier, the forest and the tokenizer have no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Every stage's result is stored in the shared folder before the next one reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

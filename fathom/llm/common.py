@@ -53,6 +53,11 @@ def semi(left: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return left.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
 
 
+def without(left: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of left whose key is not in ids (distinct and stored). A null key is in none."""
+    return left.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_anti")
+
+
 def fold_of(id_col: str, n: int) -> Column:
     """crc32(id as text) mod n."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

@@ -168,6 +168,15 @@ def scored(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str
     return docs.mapInArrow(by_chunk(work), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def filtered(docs: DataFrame, model: Trees, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs with a score of at least the threshold, unchanged."""
+
+    def work(batch, texts):
+        return batch.filter(pa.array(model.scores(statistics(texts)) >= threshold))
+
+    return docs.mapInArrow(by_chunk(work, text_col), docs.schema)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = scored(docs, train(docs, table(spark, sf_dir, "labels")))

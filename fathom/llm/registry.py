@@ -8,6 +8,7 @@ from .language import op6_language
 from .minhash import OP2_SQL, op2_minhash
 from .packing import op9_packing
 from .quality import op8_quality
+from .secrets import op4_secrets
 from .sharding import OP3_SQL, op3_sharding
 from .token_files import op10_token_files
 from .toxicity import op7_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_minhash": op2_minhash,
     "op3_sharding": op3_sharding,
+    "op4_secrets": op4_secrets,
     "op5_embeddings": op5_embeddings,
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
