@@ -6,9 +6,11 @@ shingle into bin j, so each bin is filled for sure. A text stops at the first ro
 its bins is empty, which for n shingles takes about t ln t / n rounds.
 
 Banding: documents that agree in all rows of a band share a bucket. In each bucket the smallest id is
-compared with all others; members that this leaves in different components are then compared with each
-other, so that no pair of a bucket stays undecided unless it is connected already. A pair is a link only
-if the full shingle sets say so. Documents with equal sets are one class with one representative.
+compared with all others; members that this leaves in different components are then all compared with
+each other, block against block inside a task, so that no pair of a bucket stays undecided unless it is
+connected already. A task sends one pair of any two components that it finds linked, never all pairs, and
+a large bucket is dealt out as pairs of blocks. A pair is a link only if the full shingle sets say so.
+Documents with equal sets are one class with one representative.
 
 Null and empty texts have no shingles and are linked with nothing. A text of fewer words than a shingle
 has its whole sequence as the one shingle. Rows with equal ids count as one document that has all their
@@ -25,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_TABLE, Words, by_chunk, components, mix, semi, shingles, stored, table
+from .common import SPACE_TABLE, Words, by_chunk, components, mix, semi, shingles, stored, table, whole_groups
 
 BANDS, ROWS = 48, 6
 #: One-bit sketch of four longs: pairs that agree in too few bits are not compared further. At the
 #: threshold the number of differing bits is 5 standard deviations below the bound.
 _BITS = 256
+#: A bucket is compared in blocks of about so many rows, or bytes of half hashes.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 8_000_000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 SIGNATURE = ["s0", "s1", "s2", "s3"]
 
@@ -77,12 +81,13 @@ def sketched(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS
     return docs.mapInArrow(by_chunk(work), "id long, n long, h1 long, h2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long")
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """id and its set, as sorted 64-bit hashes."""
+def _sets(docs: DataFrame, shingle: int, kind: type = np.uint64) -> DataFrame:
+    """id and its set, as sorted 64-bit hashes or the low halves of these."""
 
     def work(batch, texts):
         g, doc = shingles(Words(texts, SPACE_TABLE, ascii_lower=True), shingle)
-        ends = np.cumsum(np.bincount(doc, minlength=len(texts))) * 8
+        g = g.astype(kind)
+        ends = np.cumsum(np.bincount(doc, minlength=len(texts))) * g.itemsize
         data = g.tobytes()
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)], pa.binary())], names=["id", "members"])
 
@@ -116,6 +121,72 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     return both.select("a", "b", "x", "y").mapInArrow(work, "a long, b long").distinct()
 
 
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the left with the right sets, as a product of incidence matrices."""
+    kinds, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(kinds), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    owner, column = owner[column >= 0], column[column >= 0]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for a in range(0, len(shared), 4096):
+        some = (column >= a) & (column < a + 4096)
+        m = np.zeros((len(sets), min(4096, len(shared) - a)), dtype=np.float32)
+        m[owner[some], column[some] - a] = 1
+        out += m[left] @ m[right].T
+    return out
+
+
+def _bridges(percent: int):
+    """A mapInArrow function over tasks (see bridges): one similar pair for any two components that have one."""
+
+    def run(batches):
+        for t in whole_groups(batches, "task"):
+            task = t.column("task").to_numpy()
+            ends = np.concatenate([[0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(task)]])
+            ids, comps, sizes, mine, lo, hi = (t.column(c).to_numpy() for c in ("id", "comp", "n", "mine", "lo", "hi"))
+            blobs = t.column("members")
+            found_a, found_b = [], []
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                comp, n = comps[a:b], sizes[a:b]
+                if (comp == comp[0]).all():
+                    continue
+                left = np.flatnonzero(mine[a:b] == lo[a])
+                right = np.flatnonzero(mine[a:b] == hi[a])
+                if not len(left) or not len(right):
+                    continue
+                sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in blobs.slice(a, b - a)]
+                # Half hashes may coincide within a large set: such a set gets the benefit of one.
+                c = common_counts(sets, left, right) + (n[left] > 2000)[:, None]
+                ok = (100 * c >= percent * (n[left][:, None] + n[right][None, :] - c)) & (comp[left][:, None] != comp[right][None, :])
+                i, j = np.nonzero(ok)
+                if not len(i):
+                    continue
+                x, y = left[i], right[j]
+                pair = np.stack([np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])], axis=1)
+                one = np.unique(pair, axis=0, return_index=True)[1]
+                found_a.append(np.minimum(ids[a:b][x[one]], ids[a:b][y[one]])), found_b.append(np.maximum(ids[a:b][x[one]], ids[a:b][y[one]]))
+            if found_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+
+    return run
+
+
+def bridges(named: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that are similar by half hashes, from all buckets (key, id, n, comp) with several components."""
+    size = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") * 4 / BLOCK_BYTES))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), size.alias("blocks")).where("low < high").select("key", "blocks")
+    rest = named.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
+    # Block i meets each block j: a row goes to the pairs of blocks that have its own on either side.
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    rest = stored(rest.select("id", "n", "comp", "mine", "lo", "hi", F.xxhash64("key", "lo", "hi").alias("task")), "mixed")
+    sets = _sets(semi(docs, stored(rest.select("id").distinct(), "ids"), "id"), shingle, np.uint32)
+    tasks = rest.join(sets, "id").repartition("task").sortWithinPartitions("task")
+    return tasks.mapInArrow(_bridges(percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -126,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = full.join(classes, (full.id == classes.rep) & (full.h1 == classes.h1) & (full.h2 == classes.h2) & (full.n == classes.n), "left_semi")
     nodes = stored(own.select("id", "n", "bands", *SIGNATURE), "nodes")
 
-    keys = nodes.select("id", F.explode("bands").alias("key"))
+    keys = nodes.select("id", "n", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader")
     members = stored(keys.join(buckets, "key"), "buckets")
     bits = nodes.select("id", "n", *SIGNATURE)
@@ -139,12 +210,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(verified(star, docs, shingle, percent).unionByName(_same_id(full, classes)), "links")
     first = components(links)
 
-    # Members of one bucket that are not connected yet: all pairs between different components.
-    named = stored(members.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "named")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = stored(named.join(mixed, "key", "left_semi").join(bits, "id"), "mixed")
-    cross = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _similar("x", "y", percent))
-    cross = stored(cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "cross")
+    named = members.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    cross = stored(bridges(stored(named, "named"), docs, shingle, percent), "cross")
     more = stored(verified(cross, docs, shingle, percent), "links")
     comp = first.withColumnRenamed("comp", "root")
     ends = more.join(comp.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
