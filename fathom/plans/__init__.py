@@ -1 +1,6 @@
+"""Registered queries over the test tables, each with the SQL it must agree with."""
 
+from . import aggregates, filters
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "aggregates", "filters"]
