@@ -108,7 +108,7 @@ def decision_tally(spark, d):
     return analytics.tally(events(spark, d).withColumn("kind", kind), "task_id", "kind", ["propose", "agree", "dissent", "block"])
 
 
-@query(f"WITH {EVENTS} SELECT count(*) AS entries, count(*) FILTER (WHERE status = 'open') AS valid, sum(CASE WHEN outcome = 'pass' THEN 1 ELSE 0 END) AS hits, round(sum(CASE WHEN outcome = 'pass' THEN 1.0::DOUBLE ELSE 0 END) / count(*), 4) AS hit_rate, sum(CASE WHEN outcome = 'pass' THEN k ELSE 0 END)::BIGINT AS tokens_saved FROM log")
+@query(f"WITH {EVENTS} SELECT count(*) AS entries, count(*) FILTER (WHERE status = 'open') AS valid, sum(CASE WHEN outcome = 'pass' THEN 1 ELSE 0 END)::BIGINT AS hits, round(sum(CASE WHEN outcome = 'pass' THEN 1.0::DOUBLE ELSE 0 END) / count(*), 4) AS hit_rate, sum(CASE WHEN outcome = 'pass' THEN k ELSE 0 END)::BIGINT AS tokens_saved FROM log")
 def cache_stats(spark, d):
     hit = F.col("outcome") == "pass"
     return events(spark, d).agg(F.count("*").alias("entries"), F.count_if(F.col("status") == "open").alias("valid"), F.sum(hit.cast("int")).alias("hits"), F.round(F.sum(hit.cast("double")) / F.count("*"), 4).alias("hit_rate"), F.sum(F.when(hit, F.col("k")).otherwise(0)).cast("long").alias("tokens_saved"))
@@ -165,7 +165,7 @@ def budget_verdict(spark, d):
     return analytics.budget_verdict(events(spark, d), "agent_id", "k", ["at_s", "id"], 50_000, 40_000).select("id", "spent", "verdict")
 
 
-@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents), g AS (SELECT *, CASE WHEN line = lag(line) OVER (PARTITION BY doc_id ORDER BY at) THEN 0 ELSE 1 END AS new FROM l), i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY at) AS island FROM g) SELECT doc_id, CAST(island AS BIGINT) AS island, any_value(line) AS line, count(*) AS times FROM i GROUP BY 1, 2 HAVING count(*) > 1")
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), g AS (SELECT *, CASE WHEN line = lag(line) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS new FROM l), i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM g) SELECT doc_id, CAST(island AS BIGINT) AS island, any_value(line) AS line, count(*) AS times FROM i GROUP BY 1, 2 HAVING count(*) > 1")
 def adjacent_repeats(spark, d):
     return analytics.adjacent_repeats(table(spark, d, "documents"), "doc_id", "text").where("times > 1")
 
