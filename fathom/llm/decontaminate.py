@@ -8,9 +8,9 @@ order, so reordered passages count in full. The document is contaminated by the
 least `coverage` of the item's words. An item shorter than `min_match` words matches as a whole only.
 
 The benchmark is compared in blocks of at most `block_chars` characters (or one item), each broadcast, so what is broadcast
-has a bound whatever the benchmark's size; every document meets every block. A document is worked off in
-windows of `window_words` words that overlap by twice the block's longest item, so its length is not bounded; the best
-window counts.
+has a bound whatever the benchmark's size; every document meets every block. Tiles consist of words that
+seeds cover, so the tiling looks at these words of the whole document alone, with a mark at each gap:
+passages count however far they lie apart, and a long document costs no more than what it shares.
 
 Null and empty texts, and items without words, match nothing. Repeated documents and items give a row
 each. Empty tables give no rows. Other columns are not looked at.
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import PLAIN_TABLE, Words, chunks, runs, table
 
 MIN_MATCH, COVERAGE = 5, 0.5
-BLOCK_CHARS, WINDOW_WORDS = 4_000_000, 1 << 14
+BLOCK_CHARS = 4_000_000
+#: Stands between stretches of a document; no more likely a word's hash than any other value.
+_GAP = np.uint64(0)
 #: General punctuation and no-break space, which the scan of bytes would take for letters.
 _WIDE = re.compile("[ -⁯　 «»]")
 
@@ -81,7 +83,6 @@ class Block:
         w = _words(texts)
         h, ends = w.hashes(), np.cumsum(w.count)
         self.items, self.words = items, [h[e - n : e] for e, n in zip(ends, w.count, strict=True)]
-        self.longest = max((len(x) for x in self.words), default=0)
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k in {min(min_match, len(x)) for x in self.words if len(x)}:
             got = [(runs(x, np.zeros(len(x), dtype=np.int64), k)[0], n) for n, x in enumerate(self.words) if min(min_match, len(x)) == k]
@@ -89,8 +90,8 @@ class Block:
             order = np.lexsort((owner, seed))
             self.seeds[k] = seed[order], owner[order]
 
-    def candidates(self, h: np.ndarray, doc: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """For each pair of text and item that share seeds: the range of words that holds all of them."""
+    def candidates(self, h: np.ndarray, doc: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """For each pair of text and item that share seeds: the words at which seeds begin, ascending."""
         out: dict[tuple[int, int], list] = {}
         for k, (seed, owner) in self.seeds.items():
             g, at = runs(h, doc, k)
@@ -99,11 +100,11 @@ class Block:
             hi = np.searchsorted(seed, g[hit], side="right")
             for a, lo_, hi_ in zip(at[hit].tolist(), lo[hit].tolist(), hi.tolist(), strict=True):
                 for n in set(owner[lo_:hi_].tolist()):
-                    out.setdefault((int(doc[a]), n), []).append((a, a + k))
+                    out.setdefault((int(doc[a]), n), []).append(a)
         return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS, window_words: int = WINDOW_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row per contaminated document and item: doc_id, item_id, item_words, covered, coverage, spans (array of start, length in words of the document, ascending)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -114,7 +115,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     parts: list[DataFrame] = []
     for ids, texts in _blocks(items, block_chars):
         block = spark.sparkContext.broadcast(Block(ids, texts, min_match))
-        parts.append(docs.mapInArrow(_search(block, min_match, coverage, window_words, pa.array(ids).type), schema))
+        parts.append(docs.mapInArrow(_search(block, min_match, coverage, pa.array(ids).type), schema))
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]
@@ -137,29 +138,24 @@ def _blocks(items: DataFrame, block_chars: int):
         yield ids, texts
 
 
-def _search(block, min_match: int, coverage: float, window_words: int, item_type: pa.DataType):
+def _search(block, min_match: int, coverage: float, item_type: pa.DataType):
     def run(batches):
         b = block.value
-        step = max(window_words, 4 * b.longest)
         for rows in batches:
             for part, texts in chunks(rows, "text"):
                 w = _words(texts)
                 h, first = w.hashes(), np.cumsum(w.count) - w.count
                 out = []
                 for (t, n), seeds in sorted(b.candidates(h, w.doc).items()):
-                    item, best = b.words[n], []
+                    item = b.words[n]
                     need = coverage * len(item)
-                    # Tiles consist of words that seeds cover: a window with too few of those needs no tiling.
-                    lo, hi, end = seeds[0][0], seeds[-1][1], int(first[t] + w.count[t])
-                    at = lo
-                    while at < hi:
-                        to = min(end, at + step + 2 * b.longest)
-                        inside = [s for s in seeds if s[0] >= at and s[1] <= to]
-                        if inside and len(np.unique(np.concatenate([np.arange(*s) for s in inside]))) >= need:
-                            got = tiles(h[at:to], item, min_match)
-                            if sum(k for _, _, k in got) > sum(k for _, _, k in best):
-                                best = [(p + at - int(first[t]), q, k) for p, q, k in got]
-                        at += step
+                    at = np.unique(np.add.outer(seeds, np.arange(min(min_match, len(item)))))
+                    if len(at) < need:
+                        continue
+                    gaps = np.flatnonzero(np.diff(at) > 1) + 1
+                    where = np.insert(at - first[t], gaps, -1)
+                    got = tiles(np.insert(h[at], gaps, _GAP), item, min_match)
+                    best = [(int(where[p]), q, k) for p, q, k in got]
                     covered = sum(k for _, _, k in best)
                     if covered and covered >= need:
                         out.append((t, b.items[n], len(item), covered, covered / len(item), [{"start": p, "length": k} for p, _, k in sorted(best)]))
