@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that a task handles at once.
-CHUNK_CHARS = 1 << 20
+#: Bytes of text that a task handles at once.
+CHUNK_BYTES = 1 << 18
 #: A set of 64-bit ids is broadcast up to this many (16 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 2_000_000
 #: ASCII white space: tab to carriage return, and space.
@@ -63,18 +64,19 @@ def fold_of(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
-def chunks(rows: pa.RecordBatch, text: str, limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of the batch of about limit characters, each with its texts. A longer text is a slice of its own."""
-    texts = rows.column(text).to_pylist()
-    first = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > first and size + n > limit:
-            yield rows.slice(first, i - first), texts[first:i]
-            first, size = i, 0
-        size += n
-    if first < len(texts):
-        yield rows.slice(first), texts[first:]
+def chunks(rows: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of the batch of about limit bytes of text, each with its texts. A longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(rows.column(text)), 0).to_pylist()
+    first = held = 0
+    for i, n in enumerate(sizes):
+        if i > first and held + n > limit:
+            part = rows.slice(first, i - first)
+            yield part, part.column(text).to_pylist()
+            first, held = i, 0
+        held += n
+    if first < len(sizes):
+        part = rows.slice(first)
+        yield part, part.column(text).to_pylist()
 
 
 def by_chunk(work: Callable[[pa.RecordBatch, list], pa.RecordBatch], text: str = "text") -> Callable:
@@ -111,7 +113,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
-_WINDOW = 1 << 20
+_WINDOW = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
