@@ -1,4 +1,5 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -13,9 +14,13 @@ DOCS = [(5, "Hello, world! It's 3 o'clock"), (1, None), (3, ""), (2, "naïve Str
 SCHEMA = "doc_id long, text string"
 
 
+@cache
+def loaded():
+    return Tokenizer.from_file(tokens.vocabulary())
+
+
 def library(text):
-    t = library.__dict__.setdefault("t", Tokenizer.from_file(tokens.vocabulary()))
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    return [*loaded().encode(text or "", add_special_tokens=False).ids, 2]
 
 
 @settings(max_examples=150, deadline=None)
