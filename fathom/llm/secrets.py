@@ -1,7 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
 A candidate is a value that is assigned to a telling name (password=...), a token of a known form, a
-private-key header, or a long token with digits in it. The forest sees its length and make-up, how its
+private key from its header to its END line (without one, the lines of its body), or a long token with
+digits in it. All are taken whole, however long they are. The forest sees its length and make-up, how its
 characters change from class to class, how much of it dictionary words cover, whether it or the row's path
 looks like a path, test or sample, and the words beside it. It is trained from labelled findings: texts
 that hold one candidate each, with label 1 for a secret and 0 for a false positive. `labelled_findings`
@@ -32,12 +33,16 @@ _ASSIGNED = rf"{_NAMES}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
 _FORMS = {
     "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
     "git_token": r"\bgh[pousr]_[A-Za-z0-9]{36}\b",
-    "chat_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,80}",
-    "web_token": r"\beyJ[A-Za-z0-9_-]{8,500}\.[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,500}",
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+    "chat_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}+",
+    # Three parts; encrypted ones have five, of which the second may be empty.
+    "web_token": r"\beyJ[A-Za-z0-9_-]{8,}+\.(?:[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)?+|\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)",
+    # To the END line if it comes before the next block, else header lines and lines of the body.
+    "private_key": r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|(?:\s++[A-Za-z-]++: [^\r\n]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2})*+)",
 }
-_LONG = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_-]{0,199}[0-9])[A-Za-z0-9+/_-]{20,200}={0,2}"
-CANDIDATE = "|".join([rf"{_ASSIGNED}[^\s\"'<>,;]{{6,200}}", *_FORMS.values(), _LONG])
+#: Possessive: a run is taken whole or not at all, in one pass. \G: also what a token of a fixed length leaves of its run.
+_LONG = r"(?:\G|(?<![A-Za-z0-9+/_.-]))(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}"
+_VALUE = r"(?:[^\s\"'<>,;-]|-(?!----BEGIN )){6,}+"
+CANDIDATE = "|".join([rf"{_ASSIGNED}(?:{_FORMS['private_key']}|{_VALUE})", *_FORMS.values(), _LONG])
 _DICTIONARY = (
     "password secret token access private public user name admin login account service server client config default value string number data test example sample "
     "dummy change your insert here fake none null true false empty required optional getenv environ get set make file path home index image page version "
@@ -104,7 +109,8 @@ def with_features(found: DataFrame) -> DataFrame:
 def labelled_findings(spark: SparkSession, n: int = LABELLED, seed: int = SEED) -> DataFrame:
     """n texts (text, path, label) with one candidate each, from a rule that the seed sets."""
     draw = lambda k: F.sha2(F.concat_ws("/", F.lit(f"{seed}.{k}"), "id").cast("binary"), 256)
-    hexes, more = draw("value"), draw("more")
+    rows = spark.range(0, n, 1, 1).withColumns({"hexes": draw("value"), "more": draw("more")} | {f"long{k}": draw(f"long{k}") for k in range(8)})
+    hexes, more = F.col("hexes"), F.col("more")
     packed = F.regexp_replace(F.base64(F.unhex(hexes)), "[^A-Za-z0-9]", "Q")
     upper = F.upper(F.translate(packed, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     pick = lambda k, words: F.element_at(F.array(*map(F.lit, words)), (F.conv(F.substring(draw(k), 1, 6), 16, 10).cast("int") % len(words)) + 1)
@@ -117,6 +123,13 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, seed: int = SEED)
     uuid = F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12))
     digest = F.substring(hexes, F.lit(1), F.element_at(F.array(F.lit(32), F.lit(40), F.lit(64)), size % 3 + 1))
     assigned = lambda v: F.concat(name, equals, v, close)
+    whole = F.concat(*(F.regexp_replace(F.base64(F.unhex(f"long{k}")), "[^A-Za-z0-9]", "Q") for k in range(8)))  # 352 characters
+    rows = stored(rows.withColumn("packed", packed).withColumn("long", whole), "draws")  # else Spark copies the expressions into each use
+    packed, long = F.col("packed"), F.col("long")
+    jwt = F.concat(F.lit("eyJhbGciOiJIUzI1NiJ9.eyJ"), F.substring(long, F.lit(1), size % 293 + 16), F.lit("."), F.substring(packed, 1, 43))
+    kind_of_key = pick("pem", ["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "])
+    body = F.regexp_replace(F.substring(long, F.lit(1), size % 253 + 100), "(.{64})", "$1\n")
+    pem = F.concat(F.lit("-----BEGIN "), kind_of_key, F.lit("PRIVATE KEY-----\n"), body, F.lit("\n-----END "), kind_of_key, F.lit("PRIVATE KEY-----"))
     secrets = [
         F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)),
         assigned(F.substring(hexes, F.lit(1), size % 31 + 14)),
@@ -124,10 +137,17 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, seed: int = SEED)
         F.concat(F.lit("ghp_"), F.substring(packed, 1, 36)),
         assigned(F.concat(F.substring(packed, 1, 5), pick("sign", ["!", "#", "$", "@", "%"]), F.substring(packed, F.lit(9), size % 9 + 4))),
         F.concat(F.lit("xoxb-"), F.substring(F.conv(F.substring(hexes, 1, 12), 16, 10), 1, 11), F.lit("-"), F.substring(packed, 1, 24)),
+        jwt,
+        assigned(jwt),
+        pem,
+        assigned(pem),
+        F.substring(packed, F.lit(1), size % 21 + 24),
+        F.substring(long, F.lit(1), size % 313 + 40),
     ]
     others = [
         uuid,
         F.concat(pick("digest", ["commit ", "sha1 ", "md5 ", "checksum ", "sha256 ", "revision ", "etag "]), digest),
+        F.concat(pick("digest", ["commit ", "sha1 ", "md5 ", "checksum ", "sha256 ", "revision ", "etag "]), F.substring(packed, 1, 43)),
         assigned(pick("sample", ["changeme", "your_password", "password123", "example", "xxxxxxxxxxxx", "placeholder", "test1234", "secret123", "dummy-value", "<redacted>", "********", "000000000000"])),
         assigned(F.concat_ws("_", word("p"), word("q"), word("r"))),
         F.concat(F.lit("AKIA"), F.substring(upper, 1, 9), F.lit("EXAMPLE")),
@@ -140,9 +160,9 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, seed: int = SEED)
     kind = F.conv(F.substring(draw("kind"), 1, 6), 16, 10).cast("int")
     one_of = lambda values: F.element_at(F.array(*values), kind % len(values) + 1)
     label = (F.conv(F.substring(draw("label"), 1, 6), 16, 10).cast("int") % 2).alias("label")
-    rows = spark.range(0, n, 1, 1).withColumn("label", label)
+    rows = rows.withColumn("label", label)
     text = F.concat(two("before"), F.lit(" "), F.when(F.col("label") == 1, one_of(secrets)).otherwise(one_of(others)), F.lit(" "), two("after"))
-    return rows.select(text.alias("text"), pick("path", ["src/main.py", "app/settings.py", "lib/client.js", "deploy/values.yaml", "notes.txt", "src0"]).alias("path"), "label")
+    return stored(rows.select(text.alias("text"), pick("path", ["src/main.py", "app/settings.py", "lib/client.js", "deploy/values.yaml", "notes.txt", "src0"]).alias("path"), "label"), "labelled")
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> RandomForestClassificationModel:
