@@ -9,9 +9,10 @@ is a logistic function of its patterns' sums. So a negated or reported insult co
 is aimed at somebody, as far as the labels say so: the patterns' weights are fitted, from the priors in
 PATTERNS on.
 
-Insults are stems and words mined from labelled texts, a bounded sample of `per_class` of each class:
-those that come in toxic texts much more often than in others, counted by different texts so that copies
-count once. The closed classes are fixed lists.
+Insults are a fixed list, and stems and words mined from labelled texts, a bounded sample of `per_class` of
+each class: those that come in toxic texts much more often than in others, and in too many to be there by
+chance given the toxic share of the texts drawn and the words tried. Texts of the same words in the same
+order count once; near copies count each. The closed classes are fixed lists.
 
 Null and empty texts match nothing. Repeated rows are scored alike. Without toxic labels only the fixed
 lists match. An empty table gives no rows. Columns other than id and text are not looked at.
@@ -28,13 +29,21 @@ from . import labelled
 from .common import PLAIN_TABLE, Words, by_chunk, fold_of, mix, span_hashes, splitter, table
 
 PER_CLASS, MAX_CHARS = 3_000, 60_000
-#: A mined stem must come in this many different toxic texts, and this many times as often as in others.
-LEAST_TEXTS, LEAST_RATIO = 8, 20.0
+#: A mined stem must come in two toxic texts at least, this many times as often in toxic texts as in others, and of all that are as frequent no more than so many
+#: may be expected to do so by chance.
+LEAST_RATIO, MOST_CHANCE = 20.0, 0.5
 STEMS = (4, 5, 6, 7, 8)
 MOST_STEMS = 4_000
 
 # Closed word classes in the four languages.
 THREATS = "kill hurt destroy burn hang shoot stab beat punish murder töten umbringen schlagen vernichten sterben tuer frapper détruire mourir matar golpear destruir morir".split()
+INSULTS = (
+    "idiot idiots idiotic moron morons moronic imbecile imbeciles stupid dumb dumbass fool fools loser losers scum filth filthy vermin trash garbage worthless useless pathetic disgusting despicable "
+    "ugly retard retarded bastard bastards bitch bitches whore slut asshole assholes clown clowns jerk jerks creep freak freaks pig pigs parasite parasites coward cowards shit fuck fucking "
+    "idioten idiotisch dumm dumme dummkopf blöd blöde blödmann trottel depp vollidiot arschloch arschlöcher schwein schweine abschaum dreckig dreckskerl widerlich wertlos erbärmlich hässlich hure schlampe missgeburt versager scheiße "
+    "idiote idiots imbécile imbéciles crétin crétins débile débiles abruti abrutis stupide connard connards connasse salaud salauds salope ordure ordures minable pathétique dégoûtant dégoûtante répugnant merde pute vermine raclure "
+    "idiota idiotas imbécil imbéciles estúpido estúpida estúpidos tonto tonta gilipollas cabrón cabrones puta puto mierda basura escoria asqueroso asquerosa patético patética inútil inútiles cobarde cretino despreciable"
+).split()
 TARGETS = "you your yours yourself he him his she her they them their people du dich dir dein deine ihr euch sie tu te toi ton ta vous votre ils elles usted tú ti tus ellos ellas".split()
 NEGATIONS = "not never no nobody without cannot isn aren wasn don doesn didn won nicht nie kein keine keinen niemals ne pas jamais aucun sans nunca jamás ningún sin".split()
 REPORTS = "said says say wrote writes claimed claims quoted called reported sagte sagt schrieb behauptete nannte dit écrit affirme cité dijo dice escribió afirma citó".split()
@@ -126,7 +135,7 @@ def _word_hash(words: list[str]) -> np.ndarray:
 
 
 class Lexicon:
-    """Sorted hashes of closed-class words and of mined words and stems, with their weights."""
+    """Sorted hashes of closed-class words and of words and stems of insults, with their weights."""
 
     def __init__(self, mined: dict[tuple[int, int], float]):
         closed: dict[int, int] = {}
@@ -134,6 +143,7 @@ class Lexicon:
             closed |= dict.fromkeys(_word_hash(words).tolist(), kind)
         self.closed = np.array(sorted(closed), dtype=np.uint64)
         self.kind = np.array([closed[h] for h in self.closed.tolist()], dtype=np.int8)
+        mined = {(0, h): 1.0 for h in _word_hash(INSULTS).tolist()} | mined  # a mined weight replaces the fixed one
         self.stems = {}
         for size in sorted({s for s, _ in mined}):
             keys = sorted(h for s, h in mined if s == size)
@@ -182,18 +192,20 @@ def patterns(texts: list, lexicon: Lexicon) -> np.ndarray:
 def mine(texts: list, y: np.ndarray) -> dict[tuple[int, int], float]:
     """Words (size 0) and stems of bytes that mark toxic texts: (size, hash) -> weight."""
     found: dict[int, list] = {}
+    texts_seen: list[np.ndarray] = []
     for i in range(0, len(texts), 200):
         w = _texts(texts[i : i + 200])
         h, length = w.hashes(), w.ends - w.starts
-        least = np.full(len(texts[i : i + 200]), np.uint64(0xFFFFFFFFFFFFFFFF))
-        np.minimum.at(least, w.doc, h)  # near copies mostly share their least hash
+        whole = np.zeros(len(texts[i : i + 200]), dtype=np.uint64)  # a digest of each text's words in order
+        np.add.at(whole, w.doc, mix(h + mix((np.arange(len(h)) - np.searchsorted(w.doc, w.doc)).astype(np.uint64))))
+        texts_seen.append(np.stack([whole, y[i : i + 200].astype(np.uint64)], axis=1))
         for size in (0, *STEMS):
             long = np.flatnonzero(length >= max(size, 3))
             g = h[long] if not size else span_hashes(w.data, w.starts[long], w.starts[long] + size)
             bad = y[i : i + 200][w.doc[long]].astype(np.uint64)
-            once = np.unique(mix(mix(g) + least[w.doc[long]]) + bad, return_index=True)
+            once = np.unique(mix(mix(g) + whole[w.doc[long]]) + bad, return_index=True)
             found.setdefault(size, []).append((once[0], g[once[1]], bad[once[1]]))
-    many = np.bincount(y.astype(int), minlength=2)
+    many = np.bincount(np.unique(np.concatenate(texts_seen), axis=0)[:, 1].astype(int), minlength=2)
     picked: dict[tuple[int, int], tuple[float, int]] = {}
     for size, parts in found.items():
         once, g, marked = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -202,7 +214,11 @@ def mine(texts: list, y: np.ndarray) -> dict[tuple[int, int], float]:
         bad = np.bincount(at, weights=marked[once] == 1, minlength=len(keys))
         good = np.bincount(at, weights=marked[once] == 0, minlength=len(keys))
         ratio = (bad / max(many[1], 1)) / ((good + 0.5) / max(many[0], 1))
-        for k in np.flatnonzero((bad >= LEAST_TEXTS) & (ratio >= LEAST_RATIO)).tolist():
+        n, share = bad + good, many[1] / max(many.sum(), 1)
+        with np.errstate(divide="ignore", invalid="ignore"):  # Chernoff's bound on the binomial tail; 0 log 0 is 0
+            bits = np.nan_to_num(bad * np.log(bad / n / share), nan=0.0) + np.nan_to_num(good * np.log(good / n / (1 - share)), nan=0.0)
+        tried = len(n) - np.searchsorted(np.sort(n), n)
+        for k in np.flatnonzero((bad > 1) & (tried * np.exp(-bits) <= MOST_CHANCE) & (ratio >= LEAST_RATIO)).tolist():
             picked[size, int(keys[k])] = float(min(np.log(ratio[k]), 6.0)) / 3, int(bad[k])
     best = sorted(picked, key=lambda k: (-picked[k][1], k))[:MOST_STEMS]
     return {k: picked[k][0] for k in best}

@@ -120,6 +120,27 @@ def test_toxicity_held_out(spark):
     assert got[0] > 0.97 and got[1] < 0.02
 
 
+def test_toxicity_small():
+    """Few labels: insults are mined from texts that share their common words; the fixed list needs none."""
+    common = "one two three four five six seven eight"
+    texts = [f"{common} word{i} you are a zoggler" for i in range(9)] + [f"{common} word{i} in the town" for i in range(9, 70)]
+    y = np.array([1.0] * 9 + [0.0] * 61)
+    model = toxicity.fit(texts, y, np.ones(len(y)))
+    got = model.scores(["hello you zoggler", "nothing in the town", "you are an idiot", "two idioms"])
+    assert got[0] > 0.5 > got[1] and got[2] > 0.5 > got[3]
+    assert not toxicity.mine(["you are a zoggler"] * 9 + texts[9:], y)  # copies count once
+    assert toxicity.fit([], y[:0], y[:0]).scores(["you are an idiot", "you are a zoggler"]).round().tolist() == [1, 0]
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_toxicity_held_out_small(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.scored(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where(fold_of("doc_id", 5) == 0)
+    right = F.avg(((F.col("score") >= 0.5).cast("int") == F.col("toxic")).cast("int"))
+    got = {r.toxic: r.right for r in rows.groupBy("toxic").agg(right.alias("right")).collect()}
+    assert got[1] > 0.6 and got[0] > 0.98  # at sf0.01 two of six toxic texts hold no word that is listed or mined
+
+
 def test_language(spark, clashing):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.train(docs, fold_of("doc_id", 3) != 1)
