@@ -25,10 +25,12 @@ def resolved_edges(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("src", "name", dst.alias("dst"), state.alias("state"))
 
 
-def neighbours(edges: DataFrame, most: int = 50) -> DataFrame:
-    """(id, dependents, dependencies): sorted different neighbours on either side, `most` at most."""
+def neighbours(edges: DataFrame, most: int = 50, most_out: int | None = None) -> DataFrame:
+    """(id, dependents, dependencies): sorted different neighbours; `most` dependents at most, and all dependencies unless most_out is set."""
     into = edges.groupBy(F.col("dst").alias("id")).agg(F.slice(F.array_sort(F.collect_set("src")), 1, most).alias("dependents"))
-    out = edges.groupBy(F.col("src").alias("id")).agg(F.slice(F.array_sort(F.collect_set("dst")), 1, most).alias("dependencies"))
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("dst")).alias("dependencies"))
+    if most_out is not None:
+        out = out.withColumn("dependencies", F.slice("dependencies", 1, most_out))
     empty = F.array().cast("array<bigint>")
     return into.join(out, "id", "full").select("id", F.coalesce("dependents", empty).alias("dependents"), F.coalesce("dependencies", empty).alias("dependencies"))
 

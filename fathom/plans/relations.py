@@ -30,15 +30,21 @@ def dependency_edges(spark, d):
 @query("WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey), i AS (SELECT dst AS id, list_sort(list(src))[1:10] AS dependents FROM e GROUP BY 1), o AS (SELECT src AS id, list_sort(list(dst))[1:10] AS dependencies FROM e GROUP BY 1) SELECT id, array_to_string(dependents, ',') AS dependents, array_to_string(dependencies, ',') AS dependencies FROM (SELECT id, coalesce(dependents, []) AS dependents, coalesce(dependencies, []) AS dependencies FROM i FULL JOIN o USING (id))")
 def graph_neighbours(spark, d):
     e = table(spark, d, "lineitem").where("l_partkey <> l_suppkey").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    return graph.neighbours(e, 10).select("id", F.array_join("dependents", ",").alias("dependents"), F.array_join("dependencies", ",").alias("dependencies"))
+    return graph.neighbours(e, 10, 10).select("id", F.array_join("dependents", ",").alias("dependents"), F.array_join("dependencies", ",").alias("dependencies"))
+
+
+@query("WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey), i AS (SELECT dst AS id, list_sort(list(src))[1:50] AS dependents FROM e GROUP BY 1), o AS (SELECT src AS id, list_sort(list(dst)) AS dependencies FROM e GROUP BY 1) SELECT id, array_to_string(coalesce(dependents, []), ',') AS dependents, array_to_string(coalesce(dependencies, []), ',') AS dependencies FROM i FULL JOIN o USING (id)")
+def graph_neighbours_whole(spark, d):
+    e = table(spark, d, "lineitem").where("l_partkey <> l_suppkey").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return graph.neighbours(e).select("id", F.array_join("dependents", ",").alias("dependents"), F.array_join("dependencies", ",").alias("dependencies"))
 
 
 @query()
 def pagerank(spark, d):
-    n = table(spark, d, "nation")
-    nodes = n.select(F.concat(F.lit("n"), "n_nationkey").alias("id")).union(n.select(F.concat(F.lit("r"), "n_regionkey")))
-    e = n.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst")).union(n.select(F.concat(F.lit("r"), "n_regionkey"), F.concat(F.lit("n"), "n_nationkey")).where("n_nationkey % 3 = 0"))
-    return graph.pagerank(nodes, e, tolerance=1e-3).select("id", F.round("rank", 6).alias("rank"))
+    pairs = table(spark, d, "lineitem").select("l_partkey", F.concat(F.lit("p"), "l_partkey").alias("p"), F.concat(F.lit("s"), "l_suppkey").alias("s")).where("p IS NOT NULL AND s IS NOT NULL").distinct()
+    nodes = pairs.select(F.col("p").alias("id")).union(pairs.select("s"))
+    e = pairs.select(F.col("p").alias("src"), F.col("s").alias("dst")).union(pairs.where("l_partkey % 3 = 0").select("s", "p"))
+    return graph.pagerank(nodes, e).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query(f"WITH RECURSIVE {TASKS}, t(id, root, depth) AS (SELECT id, id, 0 FROM tasks WHERE parent IS NULL UNION ALL SELECT c.id, t.root, t.depth + 1 FROM tasks c JOIN t ON c.parent = t.id) SELECT id, root, depth FROM t")

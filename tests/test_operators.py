@@ -214,3 +214,28 @@ def test_calibration(spark):
     assert got.n == 10 and got.adjustment in (-5, 10)
     out = spark.range(1).select(calibration.escalated(F.lit(70), [F.lit(True), F.lit(True), F.lit(False)], F.lit(0)).alias("e"), calibration.phases(F.lit(40), [(20, "E"), (60, "PET"), (100, "RPETD")]).alias("p")).first()
     assert (out.e.score, out.e.fired, out.p) == (100, 2, "PET")
+
+
+def test_neighbours_of_hubs(spark):
+    got = {r.id: r for r in graph.neighbours(spark.range(1, 71).selectExpr("id AS src", "0L AS dst").unionByName(spark.range(1, 71).selectExpr("100L AS src", "id AS dst"))).collect()}
+    assert got[0].dependents == list(range(1, 51)) and got[100].dependencies == list(range(1, 71))
+
+
+def test_pagerank_covers_lineitem(spark):
+    from fathom.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    pairs = {(f"p{r.l_partkey}", f"s{r.l_suppkey}") for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
+    edges = pairs | {(s, p) for p, s in pairs if int(p[1:]) % 3 == 0}
+    ids = {x for e in edges for x in e}
+    out = {i: [b for a, b in edges if a == i] for i in ids}
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(100):
+        lost = sum(rank[i] for i in ids if not out[i])
+        new = dict.fromkeys(ids, (0.15 + 0.85 * lost) / len(ids))
+        for i in ids:
+            for j in out[i]:
+                new[j] += 0.85 * rank[i] / len(out[i])
+        rank = new
+    got = {r.id: r["rank"] for r in QUERIES["pagerank"](spark, sf).collect()}
+    assert got.keys() == ids and all(abs(got[i] - rank[i]) < 2e-4 for i in ids)
