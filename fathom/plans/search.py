@@ -125,6 +125,11 @@ def semantic_cache_lookup(spark, d):
     return rows.where("similarity >= 0.2").select("id", F.round("similarity", 6).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(3)
 
 
+@query(f"WITH {_VECTORS} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, similarity FROM (SELECT y.id AS query_id, x.id, row_number() OVER (PARTITION BY y.id ORDER BY round({_COSINE}, 6) DESC, x.id) AS rank, round({_COSINE}, 6) AS similarity FROM vectors x JOIN vectors y ON y.id % 50 = 0 AND x.id <> y.id) WHERE rank <= 3 AND similarity >= 0.2")
+def semantic_cache_rows(spark, d):
+    return _knn(spark, d, 3).where("similarity >= 0.2")
+
+
 _WHITE = r"list_distinct(list_filter(regexp_split_to_array(lower({c}), '\s+'), lambda t: t <> ''))"
 _WORDS = "list_distinct(list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 3))"
 _JACCARD = "CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE) END"
