@@ -5,8 +5,6 @@ Numpy code here runs inside Spark tasks on one bounded chunk of rows at a time.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,48 +13,27 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.storage import HOT, looked_up, new_path, small, stored
+
+__all__ = ["HOT", "looked_up", "new_path", "small", "stored"]
+
 #: Bytes of text that a task handles at once.
 CHUNK_BYTES = 1 << 18
-#: A set of 64-bit ids is broadcast up to this many (16 MB); beyond it the join is shuffled.
-BROADCAST_IDS = 2_000_000
 #: ASCII white space: tab to carriage return, and space.
 SPACES = bytes([9, 10, 11, 12, 13, 32])
 
-_own_dir: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only if the session names none."""
-    if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="fathom-"))
-    return f"file://{_own_dir[0]}"
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read from there: its lineage is cut, and a lost executor costs nothing."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def semi(left: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Rows of left whose key is in ids (distinct and stored). Broadcast only if ids is small enough, else shuffled."""
-    return left.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
+    return left.join(small(ids), on, "left_semi")
 
 
 def without(left: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Rows of left whose key is not in ids (distinct and stored). A null key is in none."""
-    return left.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_anti")
+    return left.join(small(ids), on, "left_anti")
 
 
 def fold_of(id_col: str, n: int) -> Column:
@@ -227,16 +204,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that each end of the edges (a, b) reaches.
 
     Labels go to neighbours and then to their labels' labels, so the rounds grow with the logarithm of
-    the longest path. Each round is stored; only the number of changes comes to the driver.
+    the longest path. Each round is stored; only the number of changes comes to the driver. A node with
+    very many neighbours, and a label that very many nodes have, are joined as hot keys.
     """
     pairs = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "labels")
+    labels = stored(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp"), F.count("*").alias("degree")), "labels")
+    crowded = pairs.limit(HOT + 1).count() > HOT  # else no key can be hot
     while True:
-        near = pairs.join(labels, pairs.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("next"))
+        ends = labels.select(F.col("node").alias("b"), "comp", "degree")
+        near = looked_up(pairs, ends, ["b"], "degree") if crowded else pairs.join(ends, "b")
+        step = labels.join(near.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near")), "node").select("node", "degree", F.col("comp").alias("old"), F.least("comp", "near").alias("next"))
         up = labels.select(F.col("node").alias("next"), F.col("comp").alias("above"))
-        labels_2 = stored(step.join(up, "next").select("node", "old", F.least("next", "above").alias("comp")), "labels")
+        if crowded:
+            step = stored(step, "step")
+            up = stored(step.groupBy("next").agg(F.count("*").alias("times")).join(up, "next"), "up")
+        met = looked_up(step, up, ["next"], "times") if crowded else step.join(up, "next")
+        labels_2 = stored(met.select("node", "degree", "old", F.least("next", "above").alias("comp")), "labels")
         changed = labels_2.where("comp <> old").limit(1).count()
-        labels = labels_2.select("node", "comp")
+        labels = labels_2.select("node", "degree", "comp")
         if not changed:
-            return labels
+            return labels.select("node", "comp")

@@ -6,8 +6,9 @@ for each pair of neighbouring labels. Forward-backward gives each word's probabi
 is the one with the largest sum, its score the mean probability of that label over its words.
 Chains are cut after CHAIN words.
 
-Weights and transitions are fitted on the driver, on a bounded sample: up to `per_language` documents of
-each language, of at most MAX_BYTES bytes each. Part of the chains are joined from two languages, so that
+Weights and transitions are fitted on the driver, on a bounded sample: up to `per_language` whole documents of
+each language, in the order of a hash, until their texts sum up to `language_bytes`; one at least, so every
+language that labelled texts have is learned. Part of the chains are joined from two languages, so that
 the transitions of code-switched text are learned. Labels and ids serve for learning only.
 
 A text that is null or has no letter is `und` with score 0. Without any labelled text, all are. Repeated
@@ -20,12 +21,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN_TABLE, Words, by_chunk, fold_of, mix, table
+from . import labelled
+from .common import PLAIN_TABLE, Words, by_chunk, fold_of, mix, stored, table
 
-PER_LANGUAGE, MAX_BYTES = 250, 8_000
+PER_LANGUAGE, LANGUAGE_BYTES = 250, 500_000
 CHAIN, FEATURES, ROUNDS, RATE, L2 = 64, 1 << 16, 24, 0.5, 1e-6
 UNKNOWN = "und"
 _ORDERS = (2, 3, 4, 5)
@@ -181,13 +183,13 @@ def fit(texts: list, langs: list[str], rounds: int = ROUNDS) -> Model:
     return model
 
 
-def train(docs: DataFrame, fold: Column, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, fold: Column, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", language_bytes: int = LANGUAGE_BYTES) -> Model:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), fold.alias("fits"))
     size = F.octet_length("text")
-    rows = rows.where(F.col("fits") & F.col("lang").isNotNull() & F.col("id").isNotNull() & (size > 0) & (size <= MAX_BYTES))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("id").distinct()
-    found = rows.join(F.broadcast(chosen), "id", "left_semi").select("id", "text", "lang").orderBy("id", "lang").toArrow()  # per_language rows of each language
+    rows = rows.where(F.col("fits") & F.col("lang").isNotNull() & F.col("id").isNotNull() & (size > 0))
+    chosen, _ = labelled.least_hashed(stored(rows.select("id", "lang", size.cast("long").alias("size")), "sizes"), "lang", per_language)
+    chosen = stored(labelled.within_bytes(chosen, "lang", language_bytes).select("id", "lang").distinct(), "chosen")
+    found = rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("id", "text", "lang").orderBy("id", "lang").toArrow()  # per_language ids of each language
     return fit(found.column("text").to_pylist(), found.column("lang").to_pylist())
 
 
@@ -201,8 +203,8 @@ def identified(docs: DataFrame, model: Model, spans: bool = False, id_col: str =
         columns, names = [batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
         if spans:
             out: list[list] = [[] for _ in texts]
-            new = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (w.doc[1:] != w.doc[:-1])])) if len(label) else []
-            ends = [*list(new)[1:], len(label)]
+            new = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (w.doc[1:] != w.doc[:-1])])[: len(label)])
+            ends = [*new[1:], len(label)] if len(new) else []
             first = np.cumsum(w.count) - w.count
             for a, b in zip(new, ends, strict=True):
                 out[w.doc[a]].append({"start": int(a - first[w.doc[a]]), "length": int(b - a), "lang": model.languages[label[a]]})
