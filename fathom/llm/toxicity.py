@@ -1,18 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words become symbols: insult, threat, target (a person addressed or spoken of), negation, report (a verb
-of saying) or other. Four transducers read a clause: negation marks what stands in its scope, report marks
-what is told of others, target marks what is aimed at somebody, and the pattern transducer names the
-matched pattern. They are composed into one transducer, which is run over each clause that holds an insult
-or a threat; others match nothing. A match adds the weight of its words to its pattern; a document's score
-is a logistic function of its patterns' sums. So a negated or reported insult counts for less than one that
-is aimed at somebody, as far as the labels say so: the patterns' weights are fitted, from the priors in
-PATTERNS on.
-
-Insults are a fixed list, and stems and words mined from labelled texts, a bounded sample of `per_class` of
-each class: those that come in toxic texts much more often than in others, and in too many to be there by
+of saying) or other. Five transducers read a clause. The first one reads it from its end and marks insults and
+threats that a target follows ("idiots like you"); the others read on from its start: negation marks what stands
+in its scope, report marks what is told of others, target marks what follows it, and the pattern transducer
+names the matched pattern. These four are composed into one transducer. Both machines run over each clause that
+holds an insult or a threat; others match nothing. Arcs have weights: a mark counts for less the farther its
+trigger stands (NEARNESS). A match adds the weight of its word times that of its arcs to its pattern; a
+document's score is a logistic function of its patterns' sums. So a negated or reported insult counts for less
+than one that is aimed at somebody, as far as the labels say so: the patterns' weights are fitted, from the
+priors in PATTERNS on.
+
+Insults are a fixed list, and stems and words mined from labelled texts, a bounded sample of up to
+`per_class` whole texts of each class, in the order of a hash, until they sum up to `class_bytes`: those that come in toxic texts much more often than in others, and in too many to be there by
 chance given the toxic share of the texts drawn and the words tried. Texts of the same words in the same
-order count once; near copies count each. The closed classes are fixed lists.
+order count once; near copies count each. The commonest MOST_STEMS of them are kept. The closed classes are fixed lists.
 
 Null and empty texts match nothing. Repeated rows are scored alike. Without toxic labels only the fixed
 lists match. An empty table gives no rows. Columns other than id and text are not looked at.
@@ -20,6 +22,9 @@ lists match. An empty table gives no rows. Columns other than id and text are no
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import matmul
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 from . import labelled
 from .common import PLAIN_TABLE, Words, by_chunk, fold_of, mix, span_hashes, splitter, table
 
-PER_CLASS, MAX_CHARS = 3_000, 60_000
+PER_CLASS, CLASS_BYTES = 3_000, 32_000_000
 #: A mined stem must come in two toxic texts at least, this many times as often in toxic texts as in others, and of all that are as frequent no more than so many
 #: may be expected to do so by chance.
 LEAST_RATIO, MOST_CHANCE = 20.0, 0.5
@@ -36,7 +41,11 @@ STEMS = (4, 5, 6, 7, 8)
 MOST_STEMS = 4_000
 
 # Closed word classes in the four languages.
-THREATS = "kill hurt destroy burn hang shoot stab beat punish murder töten umbringen schlagen vernichten sterben tuer frapper détruire mourir matar golpear destruir morir".split()
+THREATS = (
+    "kill killed killing hurt hurting destroy destroyed burn burned hang hanged shoot shot stab stabbed beat beaten punish punished murder murdered strangle choke slaughter exterminate "
+    "töten getötet umbringen schlagen vernichten sterben erschießen aufhängen verbrennen abstechen erwürgen verprügeln "
+    "tuer tué frapper détruire mourir pendre brûler égorger massacrer étrangler matar matado golpear destruir morir ahorcar quemar apuñalar degollar"
+).split()
 INSULTS = (
     "idiot idiots idiotic moron morons moronic imbecile imbeciles stupid dumb dumbass fool fools loser losers scum filth filthy vermin trash garbage worthless useless pathetic disgusting despicable "
     "ugly retard retarded bastard bastards bitch bitches whore slut asshole assholes clown clowns jerk jerks creep freak freaks pig pigs parasite parasites coward cowards shit fuck fucking "
@@ -46,10 +55,15 @@ INSULTS = (
 ).split()
 TARGETS = "you your yours yourself he him his she her they them their people du dich dir dein deine ihr euch sie tu te toi ton ta vous votre ils elles usted tú ti tus ellos ellas".split()
 NEGATIONS = "not never no nobody without cannot isn aren wasn don doesn didn won nicht nie kein keine keinen niemals ne pas jamais aucun sans nunca jamás ningún sin".split()
-REPORTS = "said says say wrote writes claimed claims quoted called reported sagte sagt schrieb behauptete nannte dit écrit affirme cité dijo dice escribió afirma citó".split()
+REPORTS = (
+    "said says say saying wrote writes written claimed claims alleged quoted quotes called calls reported reports stated told testified recounted sagte sagt schrieb schreibt behauptete behauptet nannte zitierte berichtete "
+    "dit disait écrit affirme affirmait cité raconte appelait dijo dice decía escribió afirma afirmó citó contó llamó"
+).split()
 _CLAUSE_END = splitter(b".;:!?\n\r")
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+#: The weight of a mark by the number of words from its trigger on; beyond, there is no mark.
+NEARNESS = {"denied": (1.0, 1.0, 1.0), "at": (1.0, 1.0, 0.9, 0.8)}
 #: Pattern: prior weight.
 PATTERNS = {"insult": 1.0, "threat": 0.2, "insult_at": 1.6, "threat_at": 1.2, "denied": 0.4, "reported": 0.5}
 _NAMES = list(PATTERNS)
@@ -84,18 +98,28 @@ class Transducer:
 _BASE = [(c,) for c in range(6)]
 
 
-def _scope(trigger: int, mark: str, length: int, symbols: list[tuple]) -> Transducer:
-    """Marks insults and threats within `length` words after a trigger; length 0: until the clause ends."""
+def _marks(s: tuple, mark: str) -> bool:
+    return s[0] in (INSULT, THREAT) and mark not in s
+
+
+def _scope(trigger: int, mark: str, symbols: list[tuple], near: tuple[float, ...] = ()) -> Transducer:
+    """Marks insults and threats after a trigger, each by the weight of its distance; without weights until the clause ends."""
     arcs: dict = {}
-    for left in range(length + 1) if length else (0, 1):
+    last = len(near) or 1  # the state is the distance of the next word; 0: no trigger yet, or out of its reach
+    for state in range(last + 1):
         for s in symbols:
             if s[0] == trigger:
-                arcs[left, s] = (length or 1, s, 1.0)
-            elif left:
-                arcs[left, s] = (left - 1 if length else 1, (*s, mark) if s[0] in (INSULT, THREAT) else s, 1.0)
+                arcs[state, s] = (1, s, 1.0)
+            elif state:
+                then = (state + 1) % (last + 1) if near else 1
+                arcs[state, s] = (then, (*s, mark), near[state - 1] if near else 1.0) if _marks(s, mark) else (then, s, 1.0)
     return Transducer(0, arcs)
 
 
+def _marked(symbols: list[tuple], mark: str) -> list[tuple]:
+    return symbols + [(*s, mark) for s in symbols if _marks(s, mark)]
+
+
 def _names(symbols: list[tuple]) -> Transducer:
     """Names the pattern of each marked insult or threat."""
     arcs: dict = {}
@@ -107,25 +131,41 @@ def _names(symbols: list[tuple]) -> Transducer:
     return Transducer(0, arcs)
 
 
-def grammar() -> Transducer:
-    symbols, out = _BASE, None
-    for trigger, mark, length in ((NEGATION, "denied", 3), (REPORT, "reported", 0), (TARGET, "at", 4)):
-        t = _scope(trigger, mark, length, symbols)
-        out = t if out is None else out @ t
-        symbols = symbols + [(*s, mark) for s in symbols if s[0] in (INSULT, THREAT)]
-    return out @ _names(symbols)
+def steps() -> tuple[Transducer, list[Transducer]]:
+    """The transducer that reads from the end, and those that read on from the start, in their order."""
+    back, symbols, out = _scope(TARGET, "at", _BASE, NEARNESS["at"]), _marked(_BASE, "at"), []
+    for trigger, mark in ((NEGATION, "denied"), (REPORT, "reported"), (TARGET, "at")):
+        out.append(_scope(trigger, mark, symbols, NEARNESS.get(mark, ())))
+        symbols = _marked(symbols, mark)
+    return back, [*out, _names(symbols)]
+
+
+def grammar() -> tuple[Transducer, Transducer]:
+    back, ahead = steps()
+    return back, reduce(matmul, ahead)
 
 
 GRAMMAR = grammar()
 
 
-def match(symbols: list[int], weights: list[float], machine: Transducer = GRAMMAR) -> dict[str, float]:
+def run(machine: Transducer, symbols: list) -> tuple[list, list[float]]:
+    """What the machine writes for the symbols, and the weights of its arcs."""
+    state, out, weights = machine.start, [], []
+    for s in symbols:
+        state, said, factor = machine.step(state, s)
+        out.append(said), weights.append(factor)
+    return out, weights
+
+
+def match(symbols: list[int], weights: list[float], machines: tuple[Transducer, Transducer] = GRAMMAR) -> dict[str, float]:
     """The patterns of one clause, with the weights of their words."""
-    state, out = machine.start, {}
-    for symbol, weight in zip(symbols, weights, strict=True):
-        state, said, factor = machine.step(state, (symbol,))
-        if said[0] in PATTERNS:
-            out[said[0]] = out.get(said[0], 0.0) + weight * factor
+    back, ahead = machines
+    said, first = run(back, [(s,) for s in reversed(symbols)])
+    said, then = run(ahead, said[::-1])
+    out: dict[str, float] = {}
+    for name, weight, a, b in zip(said, weights, reversed(first), then, strict=True):
+        if name[0] in PATTERNS:
+            out[name[0]] = out.get(name[0], 0.0) + weight * a * b
     return out
 
 
@@ -249,9 +289,9 @@ def fit(texts: list, y: np.ndarray, weight: np.ndarray, rounds: int = 400, rate:
     return Model(lexicon, b, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: str = "toxic") -> Model:
-    """Fits on labelled documents outside the held-out fold, of at most MAX_CHARS bytes each."""
-    rows, counts = labelled.sample(docs, labels, label, fold_of("doc_id", 5) != 0, per_class, max_chars=MAX_CHARS)
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, label: str = "toxic", class_bytes: int = CLASS_BYTES) -> Model:
+    """Fits on a bounded sample of labelled documents outside the held-out fold."""
+    rows, counts = labelled.sample(docs, labels, label, fold_of("doc_id", 5) != 0, per_class, max_bytes=class_bytes)
     found = rows.where("text IS NOT NULL").orderBy("id").toArrow()  # per_class rows of each class at most
     y = found.column("y").to_numpy().astype(np.float64)
     drawn = {k: max(1, int((y == k).sum())) for k in counts}
