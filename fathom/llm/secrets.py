@@ -20,11 +20,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, stored, table
+from .common import stored, table
 
 LABELLED, TREES, DEPTH, SEED = 6_000, 24, 7, 11
 THRESHOLD = 0.5
 AROUND = 48
+#: Spans of secrets are broadcast to the texts up to this many, else the join is shuffled.
+BROADCAST_SPANS = 1_000_000
 MARK = "[SECRET]"
 
 # Telling names, known forms, words of the dictionary, of samples and of other digests.
@@ -55,19 +57,33 @@ FEATURES = ["length", "digits", "upper", "lower", "signs", "changes", "vowel_pai
 _INPUTS = [f"f_{name}" for name in FEATURES]
 
 
+def _parts(text: str) -> tuple[Column, Column]:
+    """The candidates of a text, and what stands before, between and after them."""
+    return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE)
+
+
+def _running(steps: str) -> Column:
+    """The running sums of an array of longs: within blocks of 256, and then over the blocks, so that long arrays aren't copied once for each member."""
+    block = f"aggregate(slice({steps}, b * 256 + 1, 256), named_struct('at', 0L, 'out', array(0L)), (a, x) -> named_struct('at', a.at + x, 'out', concat(a.out, array(a.at + x))), a -> slice(a.out, 2, 256))"
+    blocks = f"transform(sequence(0, CAST((size({steps}) - 1) DIV 256 AS INT)), b -> {block})"
+    return F.expr(f"aggregate({blocks}, named_struct('at', 0L, 'out', array(0L)), (a, y) -> named_struct('at', a.at + element_at(y, -1), 'out', concat(a.out, transform(y, x -> x + a.at))), a -> slice(a.out, 2, size(a.out) - 1))")
+
+
 def candidates(docs: DataFrame, keep: list[str], text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """A row per candidate: the columns in keep, start, length, value, before, after, match, path."""
+    """A row per candidate: the columns in keep, nth (from 0), start, length, value, before, after, match, path."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
-    found = F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0))
+    found, between = _parts("_text")
     rows = docs.select(*keep, F.col(text_col).alias("_text"), path.alias("_path")).where(F.col("_text").rlike(CANDIDATE))
-    rows = rows.withColumn("_found", found).withColumn("_between", F.split("_text", CANDIDATE))
-    rows = rows.select(*keep, "_path", "_found", "_between", F.posexplode("_found").alias("_k", "_match"))
-    sizes = "aggregate(slice({}, 1, {}), 0L, (a, x) -> a + length(x))"
-    at = F.expr(sizes.format("_between", "_k + 1")) + F.expr(sizes.format("_found", "_k"))
-    lead = F.length(F.regexp_extract("_match", f"^(?:{_ASSIGNED})?", 0))
-    rows = rows.select(*keep, at.alias("_at"), lead.alias("_lead"), "_match", "_path", F.right(F.expr("_between[_k]"), F.lit(AROUND)).alias("before"), F.left(F.expr("coalesce(_between[_k + 1], '')"), F.lit(AROUND)).alias("after"))
+    rows = rows.select(*keep, "_path", found.alias("_found"), between.alias("_between"))
+    parts = f"transform(_found, (m, i) -> named_struct('match', m, 'before', right(_between[i], {AROUND}), 'after', left(_between[i + 1], {AROUND})))"
+    # From the begin of a candidate to that of the next one.
+    steps = F.expr("transform(_found, (m, i) -> CAST(length(_between[i]) + IF(i = 0, 0, length(_found[i - 1])) AS BIGINT))")
+    rows = rows.select(*keep, "_path", F.expr(parts).alias("_parts"), steps.alias("_steps"))
+    rows = rows.select(*keep, "_path", F.posexplode(F.arrays_zip(F.col("_parts").alias("part"), _running("_steps").alias("at"))).alias("_nth", "_one"))
+    match = F.col("_one.part.match")
+    rows = rows.select(*keep, "_nth", "_path", F.col("_one.at").alias("_at"), match.alias("_match"), F.length(F.regexp_extract(match, f"^(?:{_ASSIGNED})?", 0)).alias("_lead"), F.col("_one.part.before").alias("_before"), F.col("_one.part.after").alias("_after"))
     value = F.expr("substring(_match, _lead + 1)")
-    return rows.select(*keep, (F.col("_at") + F.col("_lead")).alias("start"), F.length(value).alias("length"), value.alias("value"), "before", "after", F.col("_match").alias("match"), F.col("_path").alias("path"))
+    return rows.select(*keep, F.col("_nth").alias("nth"), (F.col("_at") + F.col("_lead")).alias("start"), F.length(value).alias("length"), value.alias("value"), F.col("_before").alias("before"), F.col("_after").alias("after"), F.col("_match").alias("match"), F.col("_path").alias("path"))
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -172,25 +188,32 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, keep: list[str], threshold: float = THRESHOLD, text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """The findings that the forest takes for secrets: keep, start, length, rule, score, value."""
+    """The findings that the forest takes for secrets: keep, nth (the candidate's number in its text), start, length, rule, score, value."""
     rows = with_features(stored(candidates(docs, keep, text_col, path_col), "candidates"))
     rule = F.coalesce(*(F.when(F.col("value").rlike(f"^(?:{p})"), F.lit(n)) for n, p in _FORMS.items()), F.when(F.col("f_assigned") == 1, F.lit("assigned")), F.lit("long_token"))
     judged = model.transform(VectorAssembler(inputCols=_INPUTS, outputCol="features").transform(rows.withColumn("rule", rule)))
     score = vector_to_array("probability")[1]
-    return judged.select(*keep, "start", "length", "rule", score.alias("score"), "value").where(F.col("score") >= threshold)
+    return judged.select(*keep, "nth", "start", "length", "rule", score.alias("score"), "value").where(F.col("score") >= threshold)
 
 
 def redacted(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", mark: str = MARK) -> DataFrame:
     """All rows of docs with their columns; secrets in the text are replaced by the mark."""
     keyed = docs.withColumn("_digest", F.xxhash64(text_col))
     found = scan(docs.select(id_col, text_col, *([path_col] if path_col else [])).withColumn("_digest", F.xxhash64(text_col)), model, [id_col, "_digest"], text_col=text_col, path_col=path_col)
-    spans = found.groupBy(F.col(id_col).alias("_id"), "_digest").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("_spans"))
-    spans = stored(spans, "spans")
-    small = spans.count() <= BROADCAST_IDS // 10
-    step = "named_struct('at', x.start + x.length, 'out', concat(a.out, substring(_t, CAST(a.at AS INT) + 1, CAST(x.start - a.at AS INT)), '{}'))"
-    clean = F.expr(f"aggregate(_spans, named_struct('at', 0L, 'out', ''), (a, x) -> {step.format(mark)}, a -> concat(a.out, substring(_t, CAST(a.at AS INT) + 1)))")
-    joined = keyed.join(F.broadcast(spans) if small else spans, F.col(id_col).eqNullSafe(F.col("_id")) & (keyed["_digest"] == spans["_digest"]), "left").withColumn("_t", F.col(text_col))
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col("_t")).otherwise(clean)).select(*docs.columns)
+    spans = stored(found.groupBy(F.col(id_col).alias("_id"), F.col("_digest").alias("_of")).agg(F.collect_set("nth").alias("_nths")), "spans")
+    few = (spans.agg(F.sum(F.size("_nths") + 4)).first()[0] or 0) <= BROADCAST_SPANS
+    joined = keyed.join(F.broadcast(spans) if few else spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), "left").withColumn("_t", F.col(text_col))
+    # What isn't a candidate, and the candidates: as they are, or the mark after the name that the value is assigned to.
+    found, between = _parts("_t")
+    one = f"concat(_p.b[i], IF(array_contains(_nths, i), concat(regexp_extract(m, '^(?:{_sql(_ASSIGNED)})?', 0), '{_sql(mark)}'), m))"
+    clean = F.expr(f"concat(array_join(transform(_p.f, (m, i) -> {one}), ''), element_at(_p.b, -1))")
+    joined = joined.withColumn("_p", F.when(F.col("_nths").isNotNull(), F.struct(found.alias("f"), between.alias("b"))))
+    return joined.withColumn(text_col, F.when(F.col("_nths").isNull(), F.col("_t")).otherwise(clean)).select(*docs.columns)
+
+
+def _sql(text: str) -> str:
+    """text within a quoted SQL string."""
+    return text.replace("\\", "\\\\").replace("'", "\\'")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
