@@ -43,6 +43,34 @@ def test_tiles_brute(seed):
     assert all((doc[p : p + k] == item[q : q + k]).all() for p, q, k in got)
 
 
+def test_tiles_of_repeated_words():
+    """Time grows with the words, not with the pairs of places at which they match."""
+    word = np.full(100_000, 7, dtype=np.uint64)
+    assert decontaminate.tiles(word, word, 5) == [(0, 0, 100_000)]
+    assert decontaminate.tiles(word, word[:30_000], 5) == [(0, 0, 30_000)]
+    assert decontaminate.tiles(word[:12], np.concatenate([word[:5], word[:1] + np.uint64(1), word[:5]]), 5) == [(0, 0, 5), (5, 6, 5)]
+
+
+@pytest.mark.parametrize("chars", [4_000_000, 1])
+def test_contaminated_brute(spark, clashing, chars):
+    """The whole query against naive tiling of every pair, over few words, so that seeds and tiles abound; null ids and repeated rows too."""
+    rng = np.random.default_rng(5)
+    say = lambda n, most: " ".join(f"w{x}" for x in rng.integers(0, most, n))
+    items = [(i, say(int(rng.integers(1, 16)), 4)) for i in range(12)] + [(12, None), (13, ""), (3, "ha " * 3000)]
+    docs = [(i, say(int(rng.integers(0, 40)), 4 + i % 3)) for i in range(60)] + [(60, None), (61, ""), (62, "ha " * 2000), (None, items[0][1]), (5, items[1][1]), (5, items[1][1])]
+    for coverage in (0.5, 1.0):
+        got = decontaminate.contaminated(clashing(spark.createDataFrame(docs, "doc_id long, text string")), spark.createDataFrame(items, "item_id long, text string"), min_match=4, coverage=coverage, block_chars=chars)
+        want = []
+        for d, text in docs:
+            for i, item in items:
+                x, y = (text or "").split(), (item or "").split()
+                covered = (min(len(x), len(y)) if x[0] == y[0] else 0) if x and y and "ha" in (x[0], y[0]) else naive_tiles(x, y, 4) if y else 0
+                if covered and covered >= coverage * len(y):
+                    want.append((str(d), i, len(y), covered))
+        assert sorted((str(r.doc_id), r.item_id, r.item_words, r.covered) for r in got.collect()) == sorted(want)
+        assert all(sum(s.length for s in r.spans) == r.covered for r in got.collect())
+
+
 def test_contamination(spark, clashing):
     a = " ".join(f"q{i}" for i in range(30))
     words = a.split()
