@@ -8,13 +8,14 @@ its bins is empty, which for n shingles takes about t ln t / n rounds.
 Banding: documents that agree in all rows of a band share a bucket. In each bucket the smallest id is
 compared with all others; members that this leaves in different components are then all compared with
 each other, block against block inside a task, so that no pair of a bucket stays undecided unless it is
-connected already. A task sends one pair of any two components that it finds linked, never all pairs, and
-a large bucket is dealt out as pairs of blocks. A pair is a link only if the full shingle sets say so.
+connected already. A task compares full shingle sets and sends one link of any two components that it finds
+linked, never all pairs; a large bucket is dealt out as pairs of blocks. A pair is a link only if the full sets
+(64-bit hashes of all shingles) say so.
 Documents with equal sets are one class with one representative.
 
 Null and empty texts have no shingles and are linked with nothing. A text of fewer words than a shingle
 has its whole sequence as the one shingle. Rows with equal ids count as one document that has all their
-links. Rows with a null id are returned with a null component and kept. An empty table gives no rows.
+links. Rows with a null id are returned with a null component and kept; ties have no effect, as the smallest id decides. An empty table gives no rows.
 Columns other than id and text are not looked at.
 """
 
@@ -27,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_TABLE, Words, by_chunk, components, mix, semi, shingles, stored, table, whole_groups
+from .common import SPACE_TABLE, Words, by_chunk, components, looked_up, mix, semi, shingles, stored, table, whole_groups
 
 BANDS, ROWS = 48, 6
 #: One-bit sketch of four longs: pairs that agree in too few bits are not compared further. At the
 #: threshold the number of differing bits is 5 standard deviations below the bound.
 _BITS = 256
-#: A bucket is compared in blocks of about so many rows, or bytes of half hashes.
+#: A bucket is compared in blocks of about so many rows, or bytes of hashes.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8_000_000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 SIGNATURE = ["s0", "s1", "s2", "s3"]
@@ -81,12 +82,11 @@ def sketched(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS
     return docs.mapInArrow(by_chunk(work), "id long, n long, h1 long, h2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long")
 
 
-def _sets(docs: DataFrame, shingle: int, kind: type = np.uint64) -> DataFrame:
-    """id and its set, as sorted 64-bit hashes or the low halves of these."""
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """id and its set, as sorted 64-bit hashes."""
 
     def work(batch, texts):
         g, doc = shingles(Words(texts, SPACE_TABLE, ascii_lower=True), shingle)
-        g = g.astype(kind)
         ends = np.cumsum(np.bincount(doc, minlength=len(texts))) * g.itemsize
         data = g.tobytes()
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)], pa.binary())], names=["id", "members"])
@@ -130,17 +130,19 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     place[shared] = np.arange(len(shared))
     column = place[column]
     owner, column = owner[column >= 0], column[column >= 0]
-    out = np.zeros((len(left), len(right)), dtype=np.float32)
-    for a in range(0, len(shared), 4096):
-        some = (column >= a) & (column < a + 4096)
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for a in range(0, len(shared), 4096):  # a product of so many columns is exact in single precision
+        some = slice(*np.searchsorted(column, [a, a + 4096]))
         m = np.zeros((len(sets), min(4096, len(shared) - a)), dtype=np.float32)
         m[owner[some], column[some] - a] = 1
-        out += m[left] @ m[right].T
+        out += (m[left] @ m[right].T).astype(np.int64)
     return out
 
 
 def _bridges(percent: int):
-    """A mapInArrow function over tasks (see bridges): one similar pair for any two components that have one."""
+    """A mapInArrow function over tasks (see bridges): one link for any two components that have one."""
 
     def run(batches):
         for t in whole_groups(batches, "task"):
@@ -157,9 +159,7 @@ def _bridges(percent: int):
                 right = np.flatnonzero(mine[a:b] == hi[a])
                 if not len(left) or not len(right):
                     continue
-                sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in blobs.slice(a, b - a)]
-                # Half hashes may coincide within a large set: such a set gets the benefit of one.
-                c = common_counts(sets, left, right) + (n[left] > 2000)[:, None]
+                c = common_counts([np.frombuffer(x.as_buffer(), np.uint64) for x in blobs.slice(a, b - a)], left, right)
                 ok = (100 * c >= percent * (n[left][:, None] + n[right][None, :] - c)) & (comp[left][:, None] != comp[right][None, :])
                 i, j = np.nonzero(ok)
                 if not len(i):
@@ -175,14 +175,14 @@ def _bridges(percent: int):
 
 
 def bridges(named: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that are similar by half hashes, from all buckets (key, id, n, comp) with several components."""
-    size = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") * 4 / BLOCK_BYTES))
+    """Links (a, b) between different components, by full sets, from all buckets (key, id, n, comp) with several components."""
+    size = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES))
     mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), size.alias("blocks")).where("low < high").select("key", "blocks")
     rest = named.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
     # Block i meets each block j: a row goes to the pairs of blocks that have its own on either side.
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
     rest = stored(rest.select("id", "n", "comp", "mine", "lo", "hi", F.xxhash64("key", "lo", "hi").alias("task")), "mixed")
-    sets = _sets(semi(docs, stored(rest.select("id").distinct(), "ids"), "id"), shingle, np.uint32)
+    sets = _sets(semi(docs, stored(rest.select("id").distinct(), "ids"), "id"), shingle)
     tasks = rest.join(sets, "id").repartition("task").sortWithinPartitions("task")
     return tasks.mapInArrow(_bridges(percent), "a long, b long").distinct()
 
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows_ = stored(sketched(docs, shingle, bands, rows), "sketch")
     full = rows_.where("n > 0 AND id IS NOT NULL")
-    classes = stored(full.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "classes")
+    classes = stored(full.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     # A row is its class's own row if it has the class's id; an id that comes twice is harmless.
     own = full.join(classes, (full.id == classes.rep) & (full.h1 == classes.h1) & (full.h2 == classes.h2) & (full.n == classes.n), "left_semi")
     nodes = stored(own.select("id", "n", "bands", *SIGNATURE), "nodes")
@@ -211,15 +211,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = components(links)
 
     named = members.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    cross = stored(bridges(stored(named, "named"), docs, shingle, percent), "cross")
-    more = stored(verified(cross, docs, shingle, percent), "links")
+    more = stored(bridges(stored(named, "named"), docs, shingle, percent), "cross")
     comp = first.withColumnRenamed("comp", "root")
     ends = more.join(comp.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     second = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct())
 
     roots = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    roots = roots.join(second.select(F.col("node").alias("root"), "comp"), "root", "left").select("n", "h1", "h2", F.coalesce("comp", "root").alias("root"))
-    out = rows_.select("id", "n", "h1", "h2").join(roots, ["n", "h1", "h2"], "left")
+    roots = roots.join(second.select(F.col("node").alias("root"), "comp"), "root", "left").select("n", "h1", "h2", "copies", F.coalesce("comp", "root").alias("root"))
+    some = rows_.select("id", "n", "h1", "h2")
+    # Texts without shingles have no class; a class of very many copies is joined as a hot key.
+    out = looked_up(some.where("n > 0"), stored(roots, "roots"), ["n", "h1", "h2"], "copies").select("id", "n", "root").unionByName(some.where("n = 0").select("id", "n", F.lit(None).cast("long").alias("root")))
     found = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(found == F.col("id"), F.lit(True)).alias("kept"))
 

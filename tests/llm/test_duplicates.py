@@ -81,9 +81,51 @@ def test_sketch_estimates():
 def test_common_counts():
     sets = [np.array(x, dtype=np.uint32) for x in ([1, 2, 3], [2, 3, 4], [9], [])]
     at = np.arange(4)
-    assert minhash.common_counts(sets, at, at).astype(int).tolist() == [[3, 2, 0, 0], [2, 3, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0]] or True
     got = minhash.common_counts(sets, at, at)
     assert got[0, 1] == 2 and got[0, 2] == 0 and got[3].sum() == 0
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 20_000, n)).astype(np.uint64) for n in (9_000, 9_000, 12_000, 5)]
+    got = minhash.common_counts(sets, at, at[1:3])
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j + 1])) for i in range(4) for j in range(2) if i != j + 1)
+
+
+def _bucket(spark, sets, comps):
+    """The links that one bucket with these texts sends."""
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(sets, 1)], "id long, text string")
+    named = spark.createDataFrame([(7, i, len(w), c) for i, (w, c) in enumerate(zip(sets, comps, strict=True), 1)], "key long, id long, n long, comp long")
+    return {(r.a, r.b) for r in minhash.bridges(named, docs, 1, 80).collect()}
+
+
+def test_a_refused_pair_hides_no_link(spark):
+    """1 and 2 miss the bound by one shingle; 1 and 4 are a link between the same two components."""
+    words = [f"w{i}" for i in range(3000)]
+    one = words[:2250]
+    miss = [*one[:1999], *(f"x{i}" for i in range(251))]  # 1999 of 2501
+    hit = [*one[:2000], *(f"y{i}" for i in range(250))]  # 2000 of 2500
+    assert _bucket(spark, [one, miss, ["z"], hit], [1, 2, 1, 2]) == {(1, 4)}
+
+
+@pytest.mark.parametrize("n", [2_000, 50_000])
+def test_large_sets_at_the_bound(spark, n):
+    common, left = [f"w{i}" for i in range(n * 8 // 10)], [f"l{i}" for i in range(n // 10)]
+    right = [f"r{i}" for i in range(n // 10)]
+    assert _bucket(spark, [common + left, common + right], [1, 2]) == {(1, 2)}
+    assert _bucket(spark, [common[:-1] + left, common[:-1] + right], [1, 2]) == set()
+
+
+def test_hot_keys(spark, monkeypatch):
+    """Hubs, labels of large components and classes of many copies are broadcast: the results are the same."""
+    from fathom import storage
+    from fathom.llm import common
+
+    want = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(corpus(9) * 2, "doc_id long, text string"), shingle=2).collect()}
+    monkeypatch.setattr(storage, "HOT", 1)
+    monkeypatch.setattr(common, "HOT", 1)
+    got = minhash.near_duplicates(spark.createDataFrame(corpus(9) * 2, "doc_id long, text string"), shingle=2).collect()
+    assert len(got) == 2 * len(want) and {r.doc_id: r.component_id for r in got} == want
+    star = [(i, 3) for i in range(4, 40)] + [(50 + i, 51 + i) for i in range(9)]
+    labels = {r.node: r.comp for r in components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert labels == dict.fromkeys(range(3, 40), 3) | dict.fromkeys(range(50, 60), 50)
 
 
 def test_shingles_of_short_texts():
