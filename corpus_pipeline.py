@@ -1,8 +1,10 @@
 """The corpus pipeline: quality filter, near-duplicate removal, decontamination, secret redaction, packing.
 
 Each stage is one of the operators of fathom.llm, applied to all that the stage before kept. All but the
-last return the columns of documents. Rows with one doc_id count as one document. Null texts are scored,
-kept or dropped like empty ones; an empty table goes through as such.
+last return the columns of documents; columns that documents hasn't are not handed on. Null texts are scored,
+kept or dropped like empty ones; an empty table goes through as such. Rows that share an id but not the text are
+one document to the near-duplicate stage, and apart in the others; rows equal in both are one row after it. A row
+without an id counts by its text.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import decontaminate, minhash, packing, quality, secrets
-from fathom.llm.common import stored, table, without
+from fathom.llm.common import small, stored, table, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,15 +24,24 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, 0.8) the document with the smallest id."""
-    dropped = stored(minhash.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id").distinct(), "dropped")
-    return without(docs.select(*COLUMNS), dropped, "doc_id")
+    """Of each group of near-duplicates (five-word shingles, 0.8) the document with the smallest id, once. Rows without an id come after all others."""
+    digest = F.xxhash64("text")
+    rows = docs.select(*COLUMNS, F.coalesce("doc_id", F.pmod(digest, F.lit(1 << 60)) + (7 << 60)).alias("_id"), digest.alias("_digest"))
+    dropped = stored(minhash.near_duplicates(rows, id_col="_id", shingle=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
+    kept = without(rows, dropped, "_id")
+    key = ["_id", "_digest"]
+    twice = stored(kept.groupBy(*key).count().where("count > 1").select(*key), "twice")
+    if twice.limit(1).count():
+        kept = kept.join(small(twice), key, "left_anti").unionByName(kept.join(small(twice), key, "left_semi").dropDuplicates(key))
+    return kept.select(*COLUMNS)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item is tiled in."""
-    found = stored(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return without(docs.select(*COLUMNS), found, "doc_id")
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_digest"))
+    keyed = rows.select(F.struct("doc_id", "_digest").alias("_key"), "text")
+    found = stored(decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._digest").alias("_of")).distinct(), "contaminated")
+    return rows.join(small(found), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), "left_anti").select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

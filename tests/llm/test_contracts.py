@@ -43,3 +43,27 @@ def test_pipeline(spark):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
     whole = {tuple(r) for r in p.run(spark, SF).select("doc_id", "start", "length", "ids_crc32").collect()}
     assert whole == {tuple(r) for r in pieces.select("doc_id", "start", "length", "ids_crc32").collect()}
+
+
+def test_pipeline_edges(spark, clashing):
+    """Null, empty, long and repeated texts, null and repeated ids, other columns, an empty table: each stage decides as its docstring says."""
+    import corpus_pipeline as p
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    own = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdefg"]
+    long = " ".join(f"z{i}" for i in range(60_000))
+    rows = [(1, own[0]), (2, own[0]), (1, own[0]), (None, own[0]), (None, own[1]), (None, own[1]), (3, own[2]), (3, own[3]), (4, None), (5, ""), (6, ""), (7, long), (8, f"{long} {long}"), (9, f"{own[4]} {item}"), (9, own[5]), (None, f"{own[6]} {item}")]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars"))
+    names = dict(p.STAGES)
+    got = {name: names[name](spark, docs, SF) for name in names}
+    assert all(got[n].columns == p.COLUMNS for n in list(names)[:-1])
+    assert got["quality"].count() <= len(rows)
+    key = lambda df: sorted((str(r.doc_id), r.text or "") for r in df.collect())
+    plain = lambda some: sorted((str(i), t or "") for i, t in some)
+    kept = [(1, own[0]), (None, own[1]), (3, own[2]), (3, own[3]), (4, None), (5, ""), (6, ""), (7, long), (9, rows[13][1]), (9, own[5]), (None, rows[15][1])]
+    assert key(got["near_duplicates"]) == plain(kept)
+    assert key(got["decontamination"]) == plain(r for r in rows if item not in (r[1] or ""))
+    assert key(got["secrets"]) == plain(rows)
+    assert got["packing"].agg({"length": "sum"}).first()[0] == got["packing"].select("doc_id", "doc_tokens", "start", "length").where("start = 0").agg({"doc_tokens": "sum"}).first()[0]
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
