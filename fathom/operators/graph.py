@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fathom.functions import scalars
+from fathom.storage import stored
 
 
 def resolved_edges(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -38,43 +37,48 @@ def neighbours(edges: DataFrame, most: int = 50, most_out: int | None = None) ->
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(id, rank). Ranks of nodes without edges out are dealt out evenly; stops when the change per node is below the tolerance.
 
-    Lineage is cut every fourth round by a checkpoint in the session's checkpoint folder.
+    Raises if that isn't reached in so many rounds; a tolerance of 0 asks for all rounds. Each round is one job that stores the
+    ranks and sums up, on its way, the change and the rank of nodes without edges out.
     """
-    spark = nodes.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     edges = edges.select("src", "dst").distinct()
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    links = edges.join(degree, "src").persist()
-    nodes = nodes.select("id").distinct().join(degree.select(F.col("src").alias("id"), "degree"), "id", "left").persist()
-    n = nodes.count()
-    rank = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"), F.col("degree").isNull().alias("dangling"))
-    for i in range(rounds if n else 0):
+    links = stored(edges.join(degree, "src"), "links")
+    nodes = stored(nodes.select("id").distinct().join(degree.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left").withColumn("dangling", F.coalesce("dangling", F.lit(True))), "nodes")
+    n, loose = nodes.agg(F.count("*"), F.count_if(F.col("dangling"))).first()
+    rank = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"), "dangling")
+    lost, moved = loose / max(n, 1), 0.0
+    for _ in range(rounds if n else 0):
         shared = links.join(rank, links.src == rank.id).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        new = rank.join(shared, rank.id == shared.dst, "left").crossJoin(F.broadcast(lost))  # one row
-        value = alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n) + (1 - alpha) / n
-        new = new.select("id", value.alias("rank"), "dangling", F.abs(value - F.col("rank")).alias("change"))
-        new = new.checkpoint() if i % 4 == 3 else new.persist()
-        moved = new.agg(F.sum("change")).first()[0]
-        rank = new.drop("change")
+        value = alpha * (F.coalesce("got", F.lit(0.0)) + lost / n) + (1 - alpha) / n
+        seen = Observation()
+        new = rank.join(shared, rank.id == shared.dst, "left").select("id", value.alias("rank"), "dangling", F.abs(value - F.col("rank")).alias("change"))
+        rank = stored(new.observe(seen, F.sum("change").alias("moved"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost")).drop("change"), "rank")
+        moved, lost = seen.get["moved"], seen.get["lost"]
         if moved < n * tolerance:
             break
+    else:
+        if n and tolerance:
+            raise RuntimeError(f"ranks still change by {moved} after {rounds} rounds")
     return rank.select("id", "rank")
 
 
-def levels(nodes: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Topological levels: (id, level) of the nodes (id) whose dependencies (src needs dst) are all on lower levels; a node in or behind a cycle has none."""
-    left = nodes.select("id").distinct()
-    out = left.limit(0).withColumn("level", F.lit(0))
-    for level in range(rounds):
+    left = stored(nodes.select("id").distinct(), "left")
+    edges = stored(edges.select("src", "dst").distinct(), "edges")
+    out, level = left.limit(0).withColumn("level", F.lit(0)), 0
+    while True:
         blocked = edges.join(left.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct()
-        free = left.join(blocked, "id", "left_anti").persist()
+        free = stored(left.join(blocked, "id", "left_anti"), "free")
         if free.isEmpty():
             return out
-        out = out.unionByName(free.withColumn("level", F.lit(level)))
-        left = left.join(free, "id", "left_anti")
-    return out
+        out, level = out.unionByName(free.withColumn("level", F.lit(level))), level + 1
+        left = stored(left.join(free, "id", "left_anti"), "left")
+
+
+def in_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id) of the nodes that have no topological level: those in a cycle, and those that need one."""
+    return nodes.select("id").distinct().join(levels(nodes, edges), "id", "left_anti")
 
 
 def version_range(spec: Column) -> Column:

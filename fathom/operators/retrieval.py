@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import scalars, text
+from fathom.storage import small, stored
 
 K1, B, LABEL_BOOST, LABEL_CAP, POSITION_DECAY = 1.5, 0.6, 1.5, 3.0, 0.05
 RRF_K = 60
+#: So many query terms at most are sought for within the scan; more are joined.
+MOST_LITERALS = 1_000
 # Fixed values of the composite score.
 SOURCE_BONUS = {"lesson-learned": 4, "best-practice": 4, "auto_learning": 3, "web_search_result": 3, "session-learning": 3, "distilled": 2, "rpetd_phase": 1, "task_event": 0, "agent": 0}
 MOST_BONUS, CITATION_CAP, DECAY_PER_30_DAYS, MOST_PENALTY, RRF_SCALE, RERANK_BLEND = 4, 3.0, 0.5, 3.0, 300.0, 4.0
@@ -18,25 +21,29 @@ def bm25(chunks: DataFrame, queries: DataFrame, id_col: str = "id", body_col: st
     """(query_id, id, score) of every chunk that holds a query term in its body or label.
 
     queries: query_id and query. A chunk's length is its number of different words; document frequencies
-    count bodies only, term frequencies labels too. One pass over the corpus: words that no query asks for
-    are dropped before anything is shuffled. depth (0 to 1) is a chunk's place in its file.
+    count bodies only, term frequencies labels too. One pass over the corpus stores each chunk's length and the
+    words that are asked for; the rest reads that. depth (0 to 1) is a chunk's place in its file.
     """
     label = F.col(label_col) if label_col else F.lit("")
+    asked = stored(queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term")), "asked")
+    terms = stored(asked.select("term").distinct(), "terms")
+    few = [r.term for r in terms.limit(MOST_LITERALS + 1).collect()]
+    # More terms than that are joined below.
+    wanted = (lambda c: F.filter(c, lambda t: t.isin(few))) if len(few) <= MOST_LITERALS else (lambda c: F.col(c))
     parts = chunks.select(F.col(id_col).alias("id"), text.tokens(F.coalesce(F.col(body_col), F.lit(""))).alias("body"), text.tokens(F.coalesce(label, F.lit(""))).alias("label"), (depth if depth is not None else F.lit(0.0)).alias("depth"))
-    parts = parts.withColumn("dl", F.size(F.array_distinct("body")))
+    parts = stored(parts.select("id", "depth", F.size(F.array_distinct("body")).alias("dl"), wanted("body").alias("body"), wanted("label").alias("label")), "chunks")
     stats = parts.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("dl")).alias("avgdl"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
-    terms = asked.select("term").distinct()
     tagged = F.concat(F.transform("body", lambda t: F.struct(t.alias("term"), F.lit(1).alias("in_body"))), F.transform("label", lambda t: F.struct(t.alias("term"), F.lit(0).alias("in_body"))))
     words = parts.select("id", "dl", "depth", F.explode(tagged).alias("w")).select("id", "dl", "depth", "w.term", "w.in_body")
-    hits = words.join(terms, "term").groupBy("id", "dl", "depth", "term").agg(F.count("*").alias("tf"), F.sum("in_body").alias("in_body"), F.max(1 - F.col("in_body")).alias("labelled"))
+    hits = words.join(small(terms), "term").groupBy("id", "dl", "depth", "term").agg(F.count("*").alias("tf"), F.sum("in_body").alias("in_body"), F.max(1 - F.col("in_body")).alias("labelled"))
+    hits = stored(hits, "hits")
     df = hits.groupBy("term").agg(F.count(F.when(F.col("in_body") > 0, 1)).alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") + K1 * (1 - B + B * F.greatest(F.col("dl"), F.lit(1)) / F.col("avgdl"))
     plain = F.col("tf") * (K1 + 1) / norm * F.col("idf")
     score = F.when(F.col("labelled") == 1, F.least(plain * LABEL_BOOST, LABEL_CAP * F.col("idf"))).otherwise(plain)
-    weighed = hits.join(df, "term").crossJoin(stats).withColumn("idf", idf).withColumn("score", score)  # stats is one row
-    found = weighed.join(asked, "term").groupBy("query_id", "id", "depth").agg(F.sum("score").alias("score"))
+    weighed = hits.join(small(stored(df, "df")), "term").crossJoin(F.broadcast(stats)).withColumn("idf", idf).withColumn("score", score)  # stats is one row
+    found = weighed.join(small(asked), "term").groupBy("query_id", "id", "depth").agg(F.sum("score").alias("score"))
     return found.select("query_id", "id", (F.col("score") * (1 - POSITION_DECAY * F.least(F.col("depth"), F.lit(1.0)))).alias("score"))
 
 

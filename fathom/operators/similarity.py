@@ -6,44 +6,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import text
+from fathom.storage import stored
 
 
 def similar_pairs(rows: DataFrame, threshold: float, tokens: str = "tokens") -> DataFrame:
     """(a, b, similarity) of all pairs a < b with Jaccard >= threshold over (id, tokens).
 
-    By prefix filtering: with a set's tokens in the order of their frequency, two sets that are similar enough share one of the
-    first n - ceil(threshold * n) + 1 of each, so only rows that share such a rare token meet.
+    Rows of equal sets are one class, and one row of each class is compared. By prefix filtering: with a set's tokens in the order
+    of their frequency, two sets that are similar enough share one of the first n - ceil(threshold * n) + 1 of each, so only rows
+    that share such a rare token meet, and only if what follows that token could make up for what precedes it. Tokens are
+    taken for equal if their 64-bit hashes are.
     """
-    words = rows.select("id", F.explode(F.array_distinct(tokens)).alias("token"))
+    sets = stored(rows.select("id", F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))).alias("t")).where("size(t) > 0"), "sets")
+    members = stored(sets.select("id", F.size("t").alias("n"), F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2")), "members")
+    key = ["n", "h1", "h2"]
+    classes = stored(members.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+    one = stored(sets.join(classes.select(F.col("rep").alias("id"), "n"), "id"), "representatives")
+
+    words = one.select("id", F.explode("t").alias("token"))
     freq = words.groupBy("token").agg(F.count("*").alias("f"))
+    # A token that one row alone has, brings nobody together, but it takes its place in the order.
     ordered = words.join(freq, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("o"))
-    ordered = ordered.select("id", F.transform("o", lambda s: s["token"]).alias("t")).withColumn("n", F.size("t"))
-    keys = ordered.select("id", "n", F.explode(F.expr(f"slice(t, 1, n - CAST(ceil({threshold} * n) AS INT) + 1)")).alias("key"))
+    keys = ordered.select("id", F.size("o").alias("n"), F.posexplode(F.expr(f"slice(o, 1, size(o) - CAST(ceil({threshold} * size(o)) AS INT) + 1)")).alias("at", "key"))
+    keys = stored(keys.where("key.f > 1").select("id", "n", "at", F.col("key.token").alias("key")), "keys")
     a, b = keys.alias("a"), keys.alias("b")
     fits = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    sets = rows.select("id", F.array_distinct(tokens).alias("t"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
-    return both.select("a", "b", text.jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
+    follow = 1 + F.least(F.col("a.n") - F.col("a.at") - 1, F.col("b.n") - F.col("b.at") - 1)  # right at the first token that two rows share
+    fits = fits & (follow * (1 + threshold) >= threshold * (F.col("a.n") + F.col("b.n")) - 1e-6)
+    pairs = stored(a.join(b, (F.col("a.key") == F.col("b.key")) & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "pairs")
+    both = pairs.join(one.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(one.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+    near = both.select(F.col("a").alias("ra"), F.col("b").alias("rb"), text.jaccard(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+    of = stored(members.join(classes, key).select("id", "rep", "copies"), "of")
+    left, right = of.select(F.col("id").alias("a"), F.col("rep").alias("ra")), of.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
+    across = near.join(left, "ra").join(right, "rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    copies = of.where("copies > 1")
+    within = copies.select(F.col("id").alias("a"), "rep").join(copies.select(F.col("id").alias("b"), "rep"), "rep").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    return across.unionByName(within)
 
 
-def greedy_leaders(ids: DataFrame, pairs: DataFrame, rounds: int = 1_000) -> DataFrame:
+def greedy_leaders(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, leader): in order of id, a row joins the first leader that it is similar to, or else leads.
 
-    Each round settles all rows whose smaller neighbours are settled, so the rounds follow the longest chain, not the rows.
+    Each round settles all rows whose smaller neighbours are settled, so the rounds follow the longest chain, not the rows. A round
+    is stored; the smallest row that is left is always settled, so all rows are in the end.
     """
-    settled = ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader"))
-    left = ids.join(settled, "id", "left_anti")
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
-        leads = settled.where("id = leader").select(F.col("id").alias("a"), F.lit(True).alias("leads"))
-        known = settled.select(F.col("id").alias("a"), F.lit(True).alias("known"))
-        state = left.join(pairs, left.id == pairs.b).join(known, "a", "left").join(leads, "a", "left")
-        ready = state.groupBy("id").agg(F.min(F.when(F.col("leads"), F.col("a"))).alias("leader"), F.count_if(F.col("known").isNull()).alias("waiting"), F.min(F.when(F.col("known").isNull(), F.col("a"))).alias("first_open"))
-        ready = ready.where((F.col("waiting") == 0) | (F.col("leader") < F.col("first_open"))).select("id", F.coalesce("leader", "id").alias("leader")).persist()
-        settled, left = settled.unionByName(ready), left.join(ready, "id", "left_anti")
-    return settled
+    pairs = stored(pairs.select("a", "b"), "pairs")
+    settled = [stored(ids.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")), "settled")]
+    left = stored(pairs.select(F.col("b").alias("id")).distinct().join(ids, "id", "left_semi"), "left")
+    while left.limit(1).count():
+        known = settled[0]
+        for s in settled[1:]:
+            known = known.unionByName(s)
+        known = known.select(F.col("id").alias("a"), (F.col("id") == F.col("leader")).alias("leads"))
+        state = left.join(pairs, left.id == pairs.b).join(known, "a", "left")
+        ready = state.groupBy("id").agg(F.min(F.when(F.col("leads"), F.col("a"))).alias("leader"), F.count_if(F.col("leads").isNull()).alias("waiting"), F.min(F.when(F.col("leads").isNull(), F.col("a"))).alias("first_open"))
+        ready = ready.where((F.col("waiting") == 0) | (F.col("leader") < F.col("first_open"))).select("id", F.coalesce("leader", "id").alias("leader"))
+        settled.append(stored(ready, "settled"))
+        left = stored(left.join(settled[-1], "id", "left_anti"), "left")
+    out = settled[0]
+    for s in settled[1:]:
+        out = out.unionByName(s)
+    return out
 
 
 def merged_clusters(rows: DataFrame, leaders: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.storage import stored
+
 COOLDOWN_S, STALE_S = 20 * 60, 48 * 3600
 # Allowed moves between states.
 TRANSITIONS = [("pending", "in_progress"), ("pending", "blocked"), ("in_progress", "validation"), ("in_progress", "failed"), ("in_progress", "blocked"), ("in_progress", "pending"), ("blocked", "pending"), ("validation", "done"), ("validation", "failed"), ("failed", "pending"), ("failed", "in_progress")]
@@ -100,9 +102,11 @@ def next_ids(tasks: DataFrame, id_col: str = "name") -> DataFrame:
 def tree(tasks: DataFrame) -> DataFrame:
     """(id, root, depth, path) of the parent-child forest, level by level until no child is left. A cycle is never entered."""
     level = tasks.where("parent IS NULL").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.lpad(F.col("id").cast("string"), 12, "0").alias("path"))
+    level = stored(level, "level")
     out, depth = level, 0
     while True:
         level = tasks.join(level.select(F.col("id").alias("parent"), "root", F.col("path").alias("up")), "parent").select("id", "root", F.lit(depth + 1).alias("depth"), F.concat_ws("/", "up", F.lpad(F.col("id").cast("string"), 12, "0")).alias("path"))
+        level = stored(level, "level")
         if level.isEmpty():
             return out
         out, depth = out.unionByName(level), depth + 1

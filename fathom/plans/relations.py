@@ -39,12 +39,21 @@ def graph_neighbours_whole(spark, d):
     return graph.neighbours(e).select("id", F.array_join("dependents", ",").alias("dependents"), F.array_join("dependencies", ",").alias("dependencies"))
 
 
-@query()
-def pagerank(spark, d):
+def _supply(spark, d):
+    """Nodes and edges of parts and their suppliers."""
     pairs = table(spark, d, "lineitem").select("l_partkey", F.concat(F.lit("p"), "l_partkey").alias("p"), F.concat(F.lit("s"), "l_suppkey").alias("s")).where("p IS NOT NULL AND s IS NOT NULL").distinct()
     nodes = pairs.select(F.col("p").alias("id")).union(pairs.select("s"))
-    e = pairs.select(F.col("p").alias("src"), F.col("s").alias("dst")).union(pairs.where("l_partkey % 3 = 0").select("s", "p"))
-    return graph.pagerank(nodes, e).select("id", F.round("rank", 6).alias("rank"))
+    return nodes, pairs.select(F.col("p").alias("src"), F.col("s").alias("dst")).union(pairs.where("l_partkey % 3 = 0").select("s", "p"))
+
+
+@query()
+def pagerank(spark, d):
+    return graph.pagerank(*_supply(spark, d)).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query("WITH RECURSIVE pairs AS (SELECT DISTINCT l_partkey AS k, 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL), e AS (SELECT DISTINCT src, dst FROM (SELECT p AS src, s AS dst FROM pairs UNION SELECT s, p FROM pairs WHERE k % 3 = 0)), d AS (SELECT src, count(*) AS degree FROM e GROUP BY 1), nodes AS (SELECT id, degree IS NULL AS dangling FROM (SELECT p AS id FROM pairs UNION SELECT s FROM pairs) LEFT JOIN d ON src = id), total AS (SELECT count(*) AS n FROM nodes), r(i, id, rank) AS (SELECT 0, id, 1.0::DOUBLE / n FROM nodes, total UNION ALL SELECT any_value(o.i) + 1, o.id, 0.85::DOUBLE * (coalesce(sum(g.rank / d.degree), 0) + any_value(l.lost) / any_value(n)) + 0.15::DOUBLE / any_value(n) FROM r o LEFT JOIN e ON e.dst = o.id LEFT JOIN r g ON g.id = e.src LEFT JOIN d ON d.src = e.src, total, (SELECT coalesce(sum(rank), 0) AS lost FROM r JOIN nodes USING (id) WHERE dangling) l WHERE o.i < 12 GROUP BY o.id) SELECT id, round(rank, 8) AS rank FROM r WHERE i = 12")
+def pagerank_rounds(spark, d):
+    return graph.pagerank(*_supply(spark, d), rounds=12, tolerance=0).select("id", F.round("rank", 8).alias("rank"))
 
 
 @query(f"WITH RECURSIVE {TASKS}, t(id, root, depth) AS (SELECT id, id, 0 FROM tasks WHERE parent IS NULL UNION ALL SELECT c.id, t.root, t.depth + 1 FROM tasks c JOIN t ON c.parent = t.id) SELECT id, root, depth FROM t")
