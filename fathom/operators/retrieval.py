@@ -72,6 +72,42 @@ def fused(lexical: DataFrame, vector: DataFrame, candidate_k: int = 20, rrf_k: i
     return b.join(v, "id", "full").withColumn("rrf_score", part("rank_bm25") + part("rank_vector"))
 
 
+def best_per_query(rows: DataFrame, k: int, by: str = "score", name: str = "rank", ties: bool = False) -> DataFrame:
+    """The k best of each query (query_id, id, ...) with their rank: in the order of id where equal, or sharing a rank if ties."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "id"))
+    best = rows.withColumn("_place", place).where(F.col("_place") <= k)
+    rank = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc(by))) if ties else F.col("_place")
+    return best.withColumn(name, rank.cast("int")).drop("_place")
+
+
+def fused_per_query(lexical: DataFrame, vector: DataFrame, candidate_k: int = 20, rrf_k: int = RRF_K) -> DataFrame:
+    """(query_id, id, rank_bm25, rank_vector, rrf_score) of every query: full outer join of two ranked lists of (query_id, id, score)."""
+    b = best_per_query(lexical, candidate_k, name="rank_bm25", ties=True).select("query_id", "id", "rank_bm25")
+    v = best_per_query(vector, candidate_k, name="rank_vector", ties=True).select("query_id", "id", "rank_vector")
+    part = lambda c: 1 / (rrf_k + F.coalesce(F.col(c), F.lit(candidate_k + 1)))
+    return b.join(v, ["query_id", "id"], "full").withColumn("rrf_score", part("rank_bm25") + part("rank_vector"))
+
+
+def in_order(rows: DataFrame, by: str) -> DataFrame:
+    """Adds place, from 1, within each query: best first, equal ones by id, rows without a score last."""
+    order = Window.partitionBy("query_id").orderBy(F.col(by).isNull(), F.desc(F.round(by, 9)), "id")
+    return rows.withColumn("place", F.row_number().over(order))
+
+
+def write_ops(writes: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
+    """(query_id, op, existing_id, similarity) of every write: NOOP with the nearest row (rank 1 of near) at the threshold or beyond, else ADD."""
+    top = near.where("rank = 1").where(F.col("similarity") >= threshold).select("query_id", F.col("id").alias("existing_id"), F.round("similarity", 4).alias("similarity"))
+    return writes.join(top, "query_id", "left").select("query_id", F.when(F.col("existing_id").isNotNull(), "NOOP").otherwise("ADD").alias("op"), "existing_id", "similarity")
+
+
+def semantic_search(found: DataFrame, memory: DataFrame, as_of: Column, limit: int = 10, exclude: tuple[str, ...] = ("task_event", "rpetd_phase")) -> DataFrame:
+    """(query_id, id, similarity, score): of the 4 * limit nearest of each query (query_id, id, similarity) those that are valid and wanted, by composite score."""
+    rows = memory.where("invalid_s IS NULL AND (project_id IS NULL OR project_id <> '__test__')").where(~F.coalesce(F.col("source"), F.lit("agent")).isin(*exclude))
+    near = best_per_query(found.join(rows, "id"), 4 * limit, "similarity")
+    score = composite(F.col("similarity") * 10, F.col("source"), F.col("applied_count"), scalars.age_days("created_at", as_of))
+    return best_per_query(near.select("query_id", "id", F.round("similarity", 4).alias("similarity"), score.alias("score")), limit)
+
+
 def source_bonus(source: Column, merged: Column | None = None) -> Column:
     """The largest bonus of the source and of those merged into it, 4 at most."""
     bonus = F.create_map(*[F.lit(x) for kv in SOURCE_BONUS.items() for x in kv])

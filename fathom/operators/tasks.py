@@ -9,7 +9,23 @@ from fathom.storage import stored
 
 COOLDOWN_S, STALE_S = 20 * 60, 48 * 3600
 # Allowed moves between states.
-TRANSITIONS = [("pending", "in_progress"), ("pending", "blocked"), ("in_progress", "validation"), ("in_progress", "failed"), ("in_progress", "blocked"), ("in_progress", "pending"), ("blocked", "pending"), ("validation", "done"), ("validation", "failed"), ("failed", "pending"), ("failed", "in_progress")]
+MOVES = {
+    "pending": ["in_progress", "deferred", "failed"],
+    "in_progress": ["validation", "failed", "deferred", "pending"],
+    "validation": ["done", "failed", "in_progress", "pending"],
+    "done": ["pending"],
+    "failed": ["pending", "in_progress", "deferred"],
+    "deferred": ["pending", "in_progress"],
+    "escalated": ["pending", "in_progress"],
+}
+TRANSITIONS = [(a, b) for a, some in MOVES.items() for b in some]
+# What notes of failures say.
+FAILURES_TO_ESCALATE = 3
+MISMATCHES = ["outside my capability", "cannot handle", "domain mismatch", "wrong agent", "re-route", "specialist needed", "not qualified", "unfamiliar with"]
+TRANSIENTS = ["timeout", "connection refused", "econnreset", "network error", "rate limit", "429", "503", "service unavailable", "temporary", "retry", "intermittent", "flaky"]
+PHASES, SUBSTANCE, LEARNING_SIZE = "RPETD", 50, 100
+BRANCH = r"(?i)git\s+checkout\s+-b|\bbranch\b\s*[:=]|\b(?:feat|fix|chore|hotfix|refactor|release)/"
+TESTED = r"(?i)exit\s*(?:code\s*)?[:=]?\s*0\b|\b\d+\s+(?:tests?\s+)?passed\b|\b0\s+failed\b|all tests passed|build\s+(?:pass|successful)|lint\s+pass|checks\s*green|\$\s|>>>\s|PASS\s+\S"
 
 
 def with_dependency_pressure(tasks: DataFrame) -> DataFrame:
@@ -117,3 +133,29 @@ def circuit_breakers(outcomes: DataFrame, limit: int = 3) -> DataFrame:
     last = outcomes.groupBy("agent_id").agg(F.max(F.when(F.col("outcome") == "pass", F.col("id"))).alias("last"))
     since = outcomes.join(last, "agent_id").groupBy("agent_id").agg(F.count(F.when((F.col("outcome") == "fail") & (F.col("last").isNull() | (F.col("id") > F.col("last"))), 1)).alias("failures"))
     return since.withColumn("open", F.col("failures") >= limit)
+
+
+def allowed(before: Column, after: Column) -> Column:
+    """Whether a task may go from one state to another."""
+    moves = F.create_map(*[x for a, some in MOVES.items() for x in (F.lit(a), F.array(*map(F.lit, some)))])
+    return F.coalesce(F.array_contains(moves[before], after), F.lit(False))
+
+
+def gates(phases: dict[str, Column], code: Column, pr_url: Column) -> Column:
+    """The validation gates of a task as an array of (gate, status): PASS, FAIL, or SKIP where the gate doesn't apply."""
+    text = {p: F.trim(F.coalesce(phases[p], F.lit(""))) for p in PHASES}
+    brief = lambda p: F.when(text[p] == "", "SKIP").when(F.length(text[p]) >= SUBSTANCE, "PASS").otherwise("FAIL")
+    full = F.when(F.array_contains(F.array(*text.values()), ""), "FAIL").otherwise("PASS")
+    only = lambda ok: F.when(~code, "SKIP").when(ok, "PASS").otherwise("FAIL")
+    tested = F.when(F.when(code, text["T"].rlike(TESTED)).otherwise(F.length(text["T"]) >= SUBSTANCE), "PASS").otherwise("FAIL")
+    learned = F.length(F.trim(F.regexp_extract(text["D"], r"(?is)LEARNING\s*:\s*(.+)", 1))) >= LEARNING_SIZE
+    found = {"RPETD_COMPLETE": full, "R_PHASE_SUBSTANCE": brief("R"), "P_PHASE_SUBSTANCE": brief("P"), "BRANCH_EVIDENCE": only(text["E"].rlike(BRANCH)), "TEST_EVIDENCE": tested, "LEARNING_BLOCK": F.when(learned, "PASS").otherwise("FAIL"), "PR_URL": only(pr_url.isNotNull())}
+    return F.array(*[F.struct(F.lit(k).alias("gate"), v.alias("status")) for k, v in found.items()])
+
+
+def failure_class(failures: Column, gate_status: Column, notes: Column) -> Column:
+    """SYSTEMIC after repeated failures, GATE_FAIL if any of the gates' states says so, else by what the notes say. gate_status: array of states, empty if no gate ran."""
+    low = F.lower(F.coalesce(notes, F.lit("")))
+    says = lambda words: F.array_contains(F.array(*[low.contains(w) for w in words]), True)
+    by_notes = F.when(says(MISMATCHES), "CAPABILITY_MISMATCH").when(says(TRANSIENTS), "TRANSIENT").when(F.size(gate_status) > 0, "GATE_FAIL").otherwise("CAPABILITY_MISMATCH")
+    return F.when(F.coalesce(failures, F.lit(0)) >= FAILURES_TO_ESCALATE, "SYSTEMIC").when(F.array_contains(gate_status, "FAIL"), "GATE_FAIL").otherwise(by_notes)

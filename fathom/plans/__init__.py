@@ -1,6 +1,6 @@
 """Registered queries over the test tables, each with the SQL it must agree with."""
 
-from . import aggregates, filters, relations, search
+from . import aggregates, asked, filters, relations, search
 from .base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "aggregates", "filters", "relations", "search"]
+__all__ = ["QUERIES", "SQL", "aggregates", "asked", "filters", "relations", "search"]

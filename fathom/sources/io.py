@@ -31,7 +31,8 @@ def append_log(df: DataFrame, path: str) -> None:
 def read_log(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
     """(good rows, broken lines) of a JSON-lines log."""
     fields = schema.simpleString().removeprefix("struct<").removesuffix(">") if isinstance(schema, T.StructType) else schema
-    rows = spark.read.schema(f"{fields}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path).cache()  # the broken column alone can't be asked of a file
+    parsed = F.from_json("value", f"{fields}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
     return rows.where("_broken IS NULL").drop("_broken"), rows.where("_broken IS NOT NULL").select("_broken")
 
 
