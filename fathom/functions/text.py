@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"[\p{L}\p{N}_]{2,}"
+#: A whole word of two characters or more that isn't a number.
+WORD = r"(?<![\p{L}\p{N}_])(?![0-9]++(?![\p{L}\p{N}_]))[\p{L}\p{N}_]{2,}+"
 
 
 def spaced_identifiers(text: Column) -> Column:
@@ -19,7 +20,7 @@ def spaced_identifiers(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of two characters or more, numbers left out, with repetitions."""
-    return F.filter(F.regexp_extract_all(F.lower(spaced_identifiers(text)), F.lit(WORD), F.lit(0)), lambda t: ~t.rlike("^[0-9]+$"))
+    return F.regexp_extract_all(F.lower(spaced_identifiers(text)), F.lit(WORD), F.lit(0))
 
 
 def white_tokens(text: Column) -> Column:

@@ -11,12 +11,12 @@ from .base import query, table
 from .search import _COSINE, _TERMS, _TRI, _VECTORS, _tokens
 from .views import MEMORY, as_of, memory
 
-_QUESTIONS = rf"""questions AS (SELECT doc_id AS query_id, list_slice({_tokens("text")}, 1, 6) AS words FROM documents WHERE doc_id % 50 = 0)"""
-_BM25 = rf"""{_QUESTIONS}, asked AS (SELECT DISTINCT query_id, unnest(words) AS term FROM questions),
-sized AS (SELECT doc_id AS id, {_tokens("text")} AS body FROM documents), stats AS (SELECT count(*) AS n, greatest(1.0, avg(len(list_distinct(body)))) AS avgdl FROM sized),
-hits AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(list_distinct(body)) AS dl, unnest(body) AS term FROM sized) WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2, 3),
+_QUESTIONS = rf"""questions AS MATERIALIZED (SELECT doc_id AS query_id, list_slice({_tokens("text")}, 1, 6) AS words FROM documents WHERE doc_id % 50 = 0)"""
+_BM25 = rf"""{_QUESTIONS}, asked AS MATERIALIZED (SELECT DISTINCT query_id, unnest(words) AS term FROM questions),
+parts AS MATERIALIZED (SELECT doc_id AS id, {_tokens("text")} AS body FROM documents), sized AS MATERIALIZED (SELECT id, body, len(list_distinct(body)) AS dl FROM parts), stats AS MATERIALIZED (SELECT count(*) AS n, greatest(1.0, avg(dl)) AS avgdl FROM sized),
+hits AS MATERIALIZED (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, dl, unnest(body) AS term FROM sized) WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM hits GROUP BY 1),
-bm25 AS (SELECT query_id, id, count(*) AS terms, round(sum(tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1 - 0.6::DOUBLE + 0.6::DOUBLE * greatest(dl, 1) / avgdl)) * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1)), 6) AS score FROM hits JOIN df USING (term) JOIN asked USING (term), stats GROUP BY 1, 2)"""
+bm25 AS MATERIALIZED (SELECT query_id, id, count(*) AS terms, round(sum(tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1 - 0.6::DOUBLE + 0.6::DOUBLE * greatest(dl, 1) / avgdl)) * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1)), 6) AS score FROM hits JOIN df USING (term) JOIN asked USING (term), stats GROUP BY 1, 2)"""
 
 
 def _questions(spark, d):
@@ -34,7 +34,7 @@ def bm25_rows(spark, d):
     return retrieval.best_per_query(_lexical(spark, d), 10).select("query_id", "id", "rank", "score")
 
 
-_NEAR = f"pairs AS (SELECT y.id AS query_id, x.id, round({_COSINE}, 6) AS score FROM vectors x JOIN vectors y ON y.id % 50 = 0 AND x.id <> y.id)"
+_NEAR = f"pairs AS MATERIALIZED (SELECT y.id AS query_id, x.id, round({_COSINE}, 6) AS score FROM vectors x JOIN vectors y ON y.id % 50 = 0 AND x.id <> y.id)"
 _TWENTY = "(SELECT query_id, id, CAST(rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS INTEGER) AS {name} FROM (SELECT * FROM {rows} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20))"
 _FUSED = f"{_BM25}, {_VECTORS}, {_NEAR}, fused AS (SELECT query_id, id, rank_bm25, rank_vector, 1.0::DOUBLE / (60 + coalesce(rank_bm25, 21)) + 1.0::DOUBLE / (60 + coalesce(rank_vector, 21)) AS rrf FROM {_TWENTY.format(name='rank_bm25', rows='bm25')} FULL JOIN {_TWENTY.format(name='rank_vector', rows='pairs')} USING (query_id, id))"
 
