@@ -128,6 +128,35 @@ def test_grammar():
     assert said(O, G, N) == {}
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_composed_grammar(seed):
+    """The composed machine says what its transducers say one after the other, and what a plain rule says of each word."""
+    rng = np.random.default_rng(seed)
+    clause = rng.integers(0, 6, 14).tolist()
+    back, ahead = toxicity.steps()
+    said, first = toxicity.run(back, [(s,) for s in reversed(clause)])
+    said, factor = said[::-1], np.array(first[::-1])
+    for machine in ahead:
+        said, more = toxicity.run(machine, said)
+        factor = factor * more
+    want: dict = {}
+    for name, f in zip(said, factor, strict=True):
+        if name[0] in toxicity.PATTERNS:
+            want[name[0]] = want.get(name[0], 0.0) + f
+    got = toxicity.match(clause, [1.0] * len(clause))
+    assert got == pytest.approx(want)
+    plain: dict = {}
+    for i, s in enumerate(clause):
+        if s in (toxicity.INSULT, toxicity.THREAT):
+            before = lambda kind: next((k for k in range(1, i + 1) if clause[i - k] == kind), 99)  # noqa: B023, E731
+            after = next((k for k in range(1, len(clause) - i) if clause[i + k] == toxicity.TARGET), 99)
+            kind = "insult" if s == toxicity.INSULT else "threat"
+            near = before(toxicity.NEGATION) <= 3, before(toxicity.REPORT) < 99, min(before(toxicity.TARGET), after) <= 4
+            name = "denied" if near[0] else "reported" if near[1] else f"{kind}_at" if near[2] else kind
+            plain[name] = plain.get(name, 0) + 1
+    assert set(plain) == set(got) and all(got[k] <= n for k, n in plain.items())
+
+
 def test_toxicity(spark, clashing):
     rows = [(i, f"filler{i % 7} text{i % 11} " + ("you are a zoggler today" if i % 4 == 0 else "they met a zogg at noon")) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
