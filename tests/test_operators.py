@@ -239,3 +239,53 @@ def test_pagerank_covers_lineitem(spark):
         rank = new
     got = {r.id: r["rank"] for r in QUERIES["pagerank"](spark, sf).collect()}
     assert got.keys() == ids and all(abs(got[i] - rank[i]) < 2e-4 for i in ids)
+
+
+def test_task_rules(spark):
+    rows = [(1, "pending", "in_progress", 0, ["PASS"], "x"), (2, "done", "failed", 3, [], "timeout"), (3, None, "done", None, ["FAIL"], None), (4, "failed", "pending", 1, [], "Connection refused"), (5, "validation", "done", 0, [], "wrong agent"), (6, "deferred", "done", 0, ["PASS"], "")]
+    df = spark.createDataFrame(rows, "id int, a string, b string, failures int, states array<string>, notes string")
+    got = {r.id: (r.ok, r.kind) for r in df.select("id", tasks.allowed(F.col("a"), F.col("b")).alias("ok"), tasks.failure_class(F.col("failures"), F.col("states"), F.col("notes")).alias("kind")).collect()}
+    assert got == {1: (True, "GATE_FAIL"), 2: (False, "SYSTEMIC"), 3: (False, "GATE_FAIL"), 4: (True, "TRANSIENT"), 5: (True, "CAPABILITY_MISMATCH"), 6: (False, "GATE_FAIL")}
+
+
+def test_gates(spark):
+    long = "why this is so, and what it means for all that follows: "
+    whole = {"R": long, "P": long, "E": "git checkout -b feat/x", "T": "12 tests passed", "D": "LEARNING: " + long * 3}
+    names = ["RPETD_COMPLETE", "R_PHASE_SUBSTANCE", "P_PHASE_SUBSTANCE", "BRANCH_EVIDENCE", "TEST_EVIDENCE", "LEARNING_BLOCK", "PR_URL"]
+
+    def of(phases, code, url):
+        column = tasks.gates({p: F.lit(phases.get(p)).cast("string") for p in "RPETD"}, F.lit(code), F.lit(url).cast("string"))
+        found = spark.range(1).select(column.alias("g")).first().g
+        assert [x.gate for x in found] == names
+        return [x.status for x in found]
+
+    assert of(whole, True, "https://h/pull/1") == ["PASS"] * 7
+    assert of(whole | {"R": "short", "T": "looks good", "D": "LEARNING: little"}, True, None) == ["PASS", "FAIL", "PASS", "PASS", "FAIL", "FAIL", "FAIL"]
+    assert of({}, False, None) == ["FAIL", "SKIP", "SKIP", "SKIP", "FAIL", "FAIL", "SKIP"]
+
+
+def test_ranks_without_convergence(spark):
+    from fathom.operators import graph
+
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "b")], "src string, dst string")
+    n = e.select(F.col("src").alias("id")).distinct()
+    with pytest.raises(RuntimeError, match="still change"):
+        graph.pagerank(n, e, rounds=2)
+    assert abs(graph.pagerank(n, e).agg(F.sum("rank")).first()[0] - 1) < 1e-9
+
+
+def test_similar_pairs_brute(spark):
+    import random
+
+    from fathom.operators import similarity
+
+    random.seed(4)
+    rows = [(i, random.sample("abcdefghij", random.randint(0, 7))) for i in range(60)]
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and x + y and len({*x} & {*y}) >= 0.6 * len({*x, *y})}
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    pairs = similarity.similar_pairs(df, 0.6)
+    assert {(r.a, r.b) for r in pairs.collect()} == want and pairs.count() == len(want)
+    leaders: dict = {}
+    for i, _ in rows:
+        leaders[i] = min((a for a, b in want if b == i and leaders[a] == a), default=i)
+    assert {r.id: r.leader for r in similarity.greedy_leaders(df.select("id"), pairs).collect()} == leaders
