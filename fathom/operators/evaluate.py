@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import scalars
+from fathom.storage import BLOCK, in_blocks
 
 
 def mcnemar(baseline: DataFrame, current: DataFrame) -> DataFrame:
@@ -31,8 +32,12 @@ def top1_concentration(results: DataFrame) -> DataFrame:
     return first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("answered"), F.count("*").alias("distinct_top1"), F.round(F.max("n") / F.sum("n"), 6).alias("largest_share"))
 
 
-def nearest_per_query(queries: DataFrame, rows: DataFrame, similarity: Column, k: int) -> DataFrame:
-    """(query_id, id, rank, similarity): a stated, bounded set of queries against all rows; each task keeps k rows a query before the shuffle."""
-    scored = rows.crossJoin(F.broadcast(queries)).where("query_id <> id").select("query_id", "id", similarity.alias("similarity"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k)
+def nearest_per_query(queries: DataFrame, rows: DataFrame, similarity: Column, k: int, where: str = "query_id <> id", block: int = BLOCK) -> DataFrame:
+    """(query_id, id, rank, similarity): a stated query set against all rows, in blocks; each task keeps k rows a query before the shuffle."""
+
+    def search(asked: DataFrame) -> DataFrame:
+        scored = rows.crossJoin(asked).where(where).select("query_id", "id", similarity.alias("similarity"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+        return scored.withColumn("rank", place).where(F.col("rank") <= k)
+
+    return in_blocks(queries, search, block)

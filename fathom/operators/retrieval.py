@@ -80,11 +80,11 @@ def best_per_query(rows: DataFrame, k: int, by: str = "score", name: str = "rank
     return best.withColumn(name, rank.cast("int")).drop("_place")
 
 
-def fused_per_query(lexical: DataFrame, vector: DataFrame, candidate_k: int = 20, rrf_k: int = RRF_K) -> DataFrame:
-    """(query_id, id, rank_bm25, rank_vector, rrf_score) of every query: full outer join of two ranked lists of (query_id, id, score)."""
-    b = best_per_query(lexical, candidate_k, name="rank_bm25", ties=True).select("query_id", "id", "rank_bm25")
-    v = best_per_query(vector, candidate_k, name="rank_vector", ties=True).select("query_id", "id", "rank_vector")
-    part = lambda c: 1 / (rrf_k + F.coalesce(F.col(c), F.lit(candidate_k + 1)))
+def fused_per_query(lexical: DataFrame, vector: DataFrame, candidate_k: int = 20, rrf_k: int = RRF_K, ties: bool = True, missing_rank: bool = True) -> DataFrame:
+    """(query_id, id, rank_bm25, rank_vector, rrf_score) of every query: full outer join of two ranked lists of (query_id, id, score); ties and missing_rank as in fused."""
+    b = best_per_query(lexical, candidate_k, name="rank_bm25", ties=ties).select("query_id", "id", "rank_bm25")
+    v = best_per_query(vector, candidate_k, name="rank_vector", ties=ties).select("query_id", "id", "rank_vector")
+    part = lambda c: 1 / (rrf_k + F.coalesce(F.col(c), F.lit(candidate_k + 1))) if missing_rank else F.coalesce(1 / (rrf_k + F.col(c)), F.lit(0.0))
     return b.join(v, ["query_id", "id"], "full").withColumn("rrf_score", part("rank_bm25") + part("rank_vector"))
 
 
@@ -108,6 +108,19 @@ def semantic_search(found: DataFrame, memory: DataFrame, as_of: Column, limit: i
     return best_per_query(near.select("query_id", "id", F.round("similarity", 4).alias("similarity"), score.alias("score")), limit)
 
 
+def similar_invocations(lexical: DataFrame, vector: DataFrame, past: DataFrame, asked: DataFrame, as_of_s: int, k: int = 3, floor: float = 0.6, days: int = 90, each: int = 10) -> DataFrame:
+    """(query_id, id, rrf_score, place) of the k past invocations most like each query: `each` by words and `each` by vector, fused by place.
+
+    lexical, vector: (query_id, id, score); past: id, skill, at_s; asked: query_id, skill. Only the same skill within `days` before
+    as_of_s counts, and of the nearest vectors those at the floor or beyond. A row that a list lacks gets nothing from it; ties by id.
+    """
+    recent = past.where(F.col("at_s") > as_of_s - days * 86_400).select("id", "skill")
+    same = lambda rows: rows.join(recent, "id").join(asked.select("query_id", F.col("skill").alias("asked_skill")), "query_id").where("skill = asked_skill").select("query_id", "id", "score")
+    near = best_per_query(same(vector), each).drop("rank").where(F.col("score") >= floor)
+    found = fused_per_query(same(lexical), near, each, ties=False, missing_rank=False)
+    return best_per_query(found, k, "rrf_score", "place").select("query_id", "id", "rrf_score", "place")
+
+
 def source_bonus(source: Column, merged: Column | None = None) -> Column:
     """The largest bonus of the source and of those merged into it, 4 at most."""
     bonus = F.create_map(*[F.lit(x) for kv in SOURCE_BONUS.items() for x in kv])

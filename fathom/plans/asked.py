@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from fathom.functions import scalars, text
 from fathom.operators import evaluate, retrieval
+from fathom.storage import in_blocks
 
 from .base import query, table
 from .search import _COSINE, _TERMS, _TRI, _VECTORS, _tokens
-from .views import MEMORY, as_of, memory
+from .views import AS_OF_S, MEMORY, as_of, memory
 
 _QUESTIONS = rf"""questions AS MATERIALIZED (SELECT doc_id AS query_id, list_slice({_tokens("text")}, 1, 6) AS words FROM documents WHERE doc_id % 50 = 0)"""
 _BM25 = rf"""{_QUESTIONS}, asked AS MATERIALIZED (SELECT DISTINCT query_id, unnest(words) AS term FROM questions),
@@ -74,8 +75,8 @@ def lexical_search_rows(spark, d):
 def semantic_search(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    found = v.crossJoin(F.broadcast(asked)).where("query_id <> id").select("query_id", "id", F.round(text.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))  # a stated query set
-    return retrieval.semantic_search(found, memory(spark, d), as_of())
+    near = lambda block: v.crossJoin(block).where("query_id <> id").select("query_id", "id", F.round(text.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    return in_blocks(asked, lambda block: retrieval.semantic_search(near(block), memory(spark, d), as_of()))
 
 
 _HIGH = "('lesson-learned', 'best-practice', 'auto_learning', 'web_search_result', 'session-learning', 'distilled')"
@@ -105,8 +106,8 @@ def write_ops(spark, d):
     """What a write does: nothing if an earlier row of its project is as near as 0.95, else it is added."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     asked = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("project"))
-    near = v.crossJoin(F.broadcast(asked)).where("id < query_id AND label = project").select("query_id", "id", F.round(text.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))  # a stated query set
-    return retrieval.write_ops(asked.select("query_id"), retrieval.best_per_query(near, 3, "similarity"), 0.95)
+    near = evaluate.nearest_per_query(asked, v, F.round(text.cosine(F.col("embedding"), F.col("q")), 6), 3, "id < query_id AND label = project")
+    return retrieval.write_ops(asked.select("query_id"), near, 0.95)
 
 
 @query(f"WITH s AS (SELECT item_id AS id, text, {_TRI.format(c='text')} AS t, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS w FROM benchmark), p AS (SELECT y.id AS query_id, x.id, round(len(list_intersect(x.t, y.t)) / CAST(len(list_distinct(list_concat(x.t, y.t))) AS DOUBLE), 6) AS trigram, round(len(list_intersect(x.w, y.w)) / CAST(len(list_distinct(list_concat(x.w, y.w))) AS DOUBLE), 6) AS words FROM s x JOIN s y ON y.id % 50 = 0 AND x.id <> y.id) SELECT query_id, id, trigram, words, trigram >= 0.6 OR words >= 0.85 AS duplicate FROM p")
@@ -114,8 +115,8 @@ def text_dedup(spark, d):
     """Trigrams, and words where these say nothing, of a write against what is there."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), text.trigrams(F.col("text")).alias("t"), text.white_tokens(F.col("text")).alias("w"))
     asked = b.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("t").alias("qt"), F.col("w").alias("qw"))
-    pairs = b.crossJoin(F.broadcast(asked)).where("query_id <> id")  # a stated query set
-    rows = pairs.select("query_id", "id", F.round(text.jaccard(F.col("t"), F.col("qt")), 6).alias("trigram"), F.round(text.jaccard(F.col("w"), F.col("qw")), 6).alias("words"))
+    both = [F.round(text.jaccard(F.col("t"), F.col("qt")), 6).alias("trigram"), F.round(text.jaccard(F.col("w"), F.col("qw")), 6).alias("words")]
+    rows = in_blocks(asked, lambda block: b.crossJoin(block).where("query_id <> id").select("query_id", "id", *both))
     return rows.withColumn("duplicate", (F.col("trigram") >= 0.6) | (F.col("words") >= 0.85))
 
 
@@ -125,3 +126,22 @@ def similar_completions(spark, d):
     best = retrieval.best_per_query(_near(spark, d, 20).drop("rank").where("similarity >= 0.6"), 3, "similarity")
     sessions = F.when(F.col("id") % 3 > 0, F.col("id") % 7)
     return best.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(sessions, F.lit(0))), 2).alias("mean_sessions"))
+
+
+_SKILL = "coalesce(source, 'agent')"
+
+
+@query(f"""WITH {MEMORY}, {_BM25}, {_VECTORS}, {_NEAR}, m AS (SELECT id, {_SKILL} AS skill, created_s FROM memory), scope AS MATERIALIZED (SELECT y.id AS query_id, x.id FROM m x JOIN m y ON y.id % 50 = 0 AND x.skill = y.skill WHERE x.created_s > {AS_OF_S} - 90 * 86400),
+b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM bm25 JOIN scope USING (query_id, id) QUALIFY place <= 10),
+v AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM pairs JOIN scope USING (query_id, id) QUALIFY place <= 10) WHERE score >= 0.6),
+f AS (SELECT query_id, id, coalesce(1.0::DOUBLE / (60 + b.place), 0) + coalesce(1.0::DOUBLE / (60 + v.place), 0) AS rrf FROM b FULL JOIN v USING (query_id, id)) SELECT query_id, id, round(rrf, 6) AS rrf_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS INTEGER) AS place FROM f QUALIFY place <= 3""")
+def similar_invocations(spark, d):
+    """Past invocations of the query's own skill in the last 90 days, by words and by vector."""
+    past = memory(spark, d).select("id", F.coalesce("source", F.lit("agent")).alias("skill"), F.col("created_s").alias("at_s"))
+    asked = past.where("id % 50 = 0").select(F.col("id").alias("query_id"), "skill")
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(past, "id")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), F.col("skill").alias("q_skill"))
+    recent = v.where(F.col("at_s") > AS_OF_S - 90 * 86_400)
+    near = evaluate.nearest_per_query(q, recent, F.round(text.cosine(F.col("embedding"), F.col("q")), 6), 10, "query_id <> id AND skill = q_skill")
+    found = retrieval.similar_invocations(_lexical(spark, d), near.select("query_id", "id", F.col("similarity").alias("score")), past, asked, AS_OF_S)
+    return found.withColumn("rrf_score", F.round("rrf_score", 6))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 2_000_000
 #: A key that more rows than this have is hot: its rows are joined by a broadcast of the keys that are.
 HOT = 100_000
+#: So many queries of a stated set are broadcast at a time.
+BLOCK = 10_000
 
 _own_dir: list[str] = []
 
@@ -54,3 +59,17 @@ def looked_up(left: DataFrame, right: DataFrame, on: list[str], times: str) -> D
     spread = left.join(small(hot.withColumn("_hot", F.lit(True))), on, "left")
     rest = left.join(small(hot.select(*on)), on, "left_anti").join(right.where(F.col(times) <= HOT).drop(times), on, "left")
     return spread.where("_hot").drop("_hot").unionByName(rest)
+
+
+def in_blocks(queries: DataFrame, work: Callable[[DataFrame], DataFrame], most: int = BLOCK) -> DataFrame:
+    """work(block) of a stated query set (query_id distinct, ...), together: each block is broadcast and has `most` queries or a few more.
+
+    Beyond one block results are stored block by block, so nothing that is broadcast grows with the table.
+    """
+    queries = stored(queries, "queries")
+    n = queries.count()
+    if n <= most:
+        return work(F.broadcast(queries))
+    blocks = math.ceil(n / most)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [stored(work(F.broadcast(queries.where(block == b))), "block") for b in range(blocks)])

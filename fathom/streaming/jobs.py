@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,19 +57,23 @@ def rate_limited(events: DataFrame, most: int = 60, seconds: int = 60) -> DataFr
 
 
 def limited_batch(events: DataFrame, most: int = 60, seconds: int = 60) -> DataFrame:
-    """The same over a finished log."""
+    """The same over a finished log: a key's events come in order of time, batch by batch, and only the times let through are held."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        past, allowed = [], []
-        frame = frame.sort_values(["ts", "event_id"])
-        for at in frame["ts"].map(lambda t: t.timestamp()):
-            past = [t for t in past if t > at - seconds]
-            allowed.append(len(past) < most)
-            if allowed[-1]:
-                past.append(at)
-        return pd.DataFrame({"event_id": frame["event_id"], "key": frame["key"], "allowed": allowed})
+    def run(frames):
+        key, past = None, []
+        for frame in frames:
+            allowed = []
+            for k, at in zip(frame["key"], frame["ts"].map(lambda t: t.timestamp()), strict=True):
+                if k != key:
+                    key, past = k, []
+                past = [t for t in past if t > at - seconds]
+                allowed.append(len(past) < most)
+                if allowed[-1]:
+                    past.append(at)
+            yield pd.DataFrame({"event_id": frame["event_id"], "key": frame["key"], "allowed": allowed})
 
-    return events.groupBy("key").applyInPandas(run, "event_id long, key string, allowed boolean")
+    ordered = events.select("event_id", "key", "ts").repartition("key").sortWithinPartitions("key", "ts", "event_id")
+    return ordered.mapInPandas(run, "event_id long, key string, allowed boolean")
 
 
 def last_n(events: DataFrame, n: int) -> DataFrame:
@@ -83,3 +89,19 @@ def stale_claims(tasks: DataFrame, now, hours: int = 48) -> DataFrame:
 def run_available(stream: DataFrame, each, checkpoint: str):
     """Works off all that is there with foreachBatch, exactly once per batch id, and stops."""
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def when_over(count, action, threshold: int = 500, cooldown: float = 300.0, clock=time.monotonic):
+    """A function for foreachBatch: action(batch) if count() has reached the threshold and the last action is `cooldown` seconds past.
+
+    Off unless a stream is started with it. An action that fails ends the stream, and starts no cooldown.
+    """
+    last = None
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        nonlocal last
+        if (last is None or clock() - last >= cooldown) and count() >= threshold:
+            action(batch)
+            last = clock()
+
+    return each
