@@ -81,12 +81,12 @@ def in_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().join(levels(nodes, edges), "id", "left_anti")
 
 
-def version_range(spec: Column) -> Column:
-    """Half-open (low, high) of ^1.2.3, ~1.2.3, >=1.2.3 or 1.2.3."""
+def version_range(spec: Column, zero_minor: bool = True) -> Column:
+    """Half-open (low, high) of ^1.2.3, ~1.2.3, >=1.2.3 or 1.2.3. ^0.0.3 allows nothing but itself, or all of 0.0 if not zero_minor."""
     op, v = F.regexp_extract(spec, r"^(\^|~|>=)?", 1), scalars.semver(F.regexp_replace(spec, r"^(\^|~|>=)", ""))
     make = lambda a, b, c: F.struct(a.cast("int").alias("major"), b.cast("int").alias("minor"), c.cast("int").alias("patch"))
     z, top = F.lit(0), F.lit(2**31 - 1)
-    caret = F.when(v["major"] > 0, make(v["major"] + 1, z, z)).when(v["minor"] > 0, make(z, v["minor"] + 1, z)).otherwise(make(z, z, v["patch"] + 1))
+    caret = F.when(v["major"] > 0, make(v["major"] + 1, z, z)).when((v["minor"] > 0) | (not zero_minor), make(z, v["minor"] + 1, z)).otherwise(make(z, z, v["patch"] + 1))
     high = F.when(op == "^", caret).when(op == "~", make(v["major"], v["minor"] + 1, z)).when(op == ">=", make(top, z, z)).otherwise(make(v["major"], v["minor"], v["patch"] + 1))
     return F.when(v.isNotNull(), F.struct(v.alias("low"), high.alias("high")))
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.storage import small, stored
+
 # Fixed values.
 HIDDEN_PROJECT, EXCLUDED_SOURCES = "__test__", ["task_event", "rpetd_phase"]
 RETENTION_DAYS = {"task_event": 30, "rpetd_phase": 90, "web_search_result": 180}
@@ -116,3 +118,30 @@ def within_budget(rows: DataFrame, partition: list[str], order: list[Column], to
     """Rows from the first on until their tokens exceed the budget; the row that exceeds it and all after it go."""
     spent = F.sum(tokens).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("spent", spent).where(F.col("spent") <= budget)
+
+
+def cache_invalidated(entries: DataFrame, changed: DataFrame) -> DataFrame:
+    """Entries (id, valid, hashes: file to hash) with valid false where a changed file (file, hash) has another hash than the entry's; a file without an entry changes nothing."""
+    now = small(stored(changed.where("hash IS NOT NULL").select("file", "hash").distinct(), "changed"))
+    held = entries.where("valid").select("id", F.explode("hashes").alias("file", "had"))
+    stale = held.join(now, "file").where("had <> hash").select("id", F.lit(True).alias("_stale")).distinct()
+    return entries.join(stale, "id", "left").withColumn("valid", F.col("valid") & F.col("_stale").isNull()).drop("_stale")
+
+
+def keys_arrived(source: DataFrame, target: DataFrame, key: str, left_out: DataFrame | None = None) -> DataFrame:
+    """One row: keys of source checked, missing in target on purpose (those of left_out), and missing otherwise. Counts alone would hide rows that were swapped; null keys can't be checked."""
+    keys = source.where(F.col(key).isNotNull()).select(key)
+    there = target.select(key).distinct().withColumn("_there", F.lit(True))
+    meant = (source.limit(0) if left_out is None else left_out).select(key).distinct().withColumn("_meant", F.lit(True))
+    gone = F.col("_there").isNull()
+    rows = keys.join(there, key, "left").join(meant, key, "left")
+    return rows.agg(F.count("*").alias("checked"), F.count_if(gone & F.col("_meant").isNotNull()).alias("skipped_on_purpose"), F.count_if(gone & F.col("_meant").isNull()).alias("missing"))
+
+
+def backfill_pending(rows: DataFrame, model: str, tokens: Column, budget: int | None) -> DataFrame:
+    """(id, tokens) of the rows whose vector is missing or of another model, to be worked off in the order of id; raises before any work without a budget or beyond it."""
+    pending = stored(rows.where("vector IS NULL OR model IS NULL").unionByName(rows.where(F.col("vector").isNotNull() & (F.col("model") != model))).select("id", tokens.cast("long").alias("tokens")), "pending")
+    total = pending.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    if budget is None or total > budget:
+        raise ValueError(f"{total} tokens are to be embedded, the budget is {budget}")
+    return pending

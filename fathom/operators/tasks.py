@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.storage import stored
+from fathom.storage import BLOCK, in_blocks, small, stored
 
 COOLDOWN_S, STALE_S = 20 * 60, 48 * 3600
 # Allowed moves between states.
@@ -159,3 +162,95 @@ def failure_class(failures: Column, gate_status: Column, notes: Column) -> Colum
     says = lambda words: F.array_contains(F.array(*[low.contains(w) for w in words]), True)
     by_notes = F.when(says(MISMATCHES), "CAPABILITY_MISMATCH").when(says(TRANSIENTS), "TRANSIENT").when(F.size(gate_status) > 0, "GATE_FAIL").otherwise("CAPABILITY_MISMATCH")
     return F.when(F.coalesce(failures, F.lit(0)) >= FAILURES_TO_ESCALATE, "SYSTEMIC").when(F.array_contains(gate_status, "FAIL"), "GATE_FAIL").otherwise(by_notes)
+
+
+# Fixed values of the features: least security score beneath a folder, and paths that stand for an interface.
+SECURITY_FLOORS = {"services/": 3, "agents/": 3, "migrations/": 4, "specs/": 2}
+INTERFACE = r"services/[^/]*daemon\.py$|^api/|/router\.py$|/routes\.py$"
+
+
+def file_features(files: Column) -> Column:
+    """Features of a list of paths: how many, test impact and depth (10 at most), migrations, interfaces, security, and different top folders."""
+    files = F.filter(F.coalesce(files, F.array().cast("array<string>")), lambda f: f.isNotNull())
+    floor = lambda f: F.greatest(F.lit(0), *[F.when(f.startswith(p), s).otherwise(0) for p, s in SECURITY_FLOORS.items()])
+    parts = F.transform(files, lambda f: F.split(F.replace(f, F.lit("\\"), F.lit("/")), "/"))
+    tops = F.array_distinct(F.transform(F.filter(parts, lambda p: (F.size(p) >= 2) & (F.get(p, 0) != "")), lambda p: F.get(p, 0)))
+    return F.struct(
+        F.size(files).alias("files_expected"),
+        F.least(F.size(F.filter(files, lambda f: f.startswith("tests/"))), F.lit(10)).alias("test_impact"),
+        F.least(F.floor(F.size(files) / 3).cast("int"), F.lit(10)).alias("dependency_depth"),
+        F.exists(files, lambda f: f.rlike(r"migrations/[^/]+\.sql$")).alias("has_migration"),
+        F.exists(files, lambda f: f.rlike(INTERFACE)).alias("has_api_change"),
+        F.coalesce(F.array_max(F.transform(files, floor)), F.lit(0)).alias("security_sensitivity"),
+        F.size(tops).alias("top_level_dir_width"),
+    )
+
+
+def classified(items: DataFrame, checkouts: list[str], aliases: dict[str, str], owners: DataFrame) -> DataFrame:
+    """(id, project, rule, path_ambiguous, plan_ambiguous) of items (id, project_id, tags, title, blob); the first rule that applies decides.
+
+    repo_tag: the first tag repo:<name> that names a checkout, itself or by alias. repo_path: the only checkout whose path occurs in
+    blob. plan_owner: the first plan:NN-MM tag whose plan has one owner in owners (plan, checkout). title_prefix: an alias as
+    [name] or name: before the title. Items with a project of their own are already_set, the rest unchanged; both keep it.
+    """
+    known, alias = F.array(*map(F.lit, checkouts)), F.create_map(*[F.lit(x) for kv in (aliases or {"": ""}).items() for x in kv])
+    tags = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
+    names = F.transform(F.filter(tags, lambda t: F.lower(t).startswith("repo:")), lambda t: F.trim(F.trim(F.regexp_replace(t, r"^[^:]*:", "")), F.lit('"')))
+    by_tag = F.get(F.filter(F.transform(names, lambda n: F.coalesce(alias[n], n)), lambda n: F.array_contains(known, n)), 0)
+    paths = F.transform(F.regexp_extract_all(F.coalesce("blob", F.lit("")), F.lit(r"/Users/[A-Za-z0-9._-]+/Code/([A-Za-z0-9._-]+)"), 1), lambda n: F.rtrim(n, F.lit(".")))
+    paths = F.array_intersect(F.array_distinct(paths), known)
+    prefix = lambda p: F.lower(F.regexp_extract(F.coalesce("title", F.lit("")), p, 1))
+    titled = [F.when(F.array_contains(known, alias[prefix(p)]), alias[prefix(p)]) for p in (r"^\[([A-Za-z0-9][A-Za-z0-9._-]{1,30})\]", r"^([A-Za-z0-9][A-Za-z0-9._-]{1,30}):\s")]
+    plans = F.filter(F.transform(tags, lambda t: F.regexp_extract(t, r'^plan:"?(\d{2}-\d{2})"?$', 1)), lambda p: p != "")
+    rows = items.select("id", F.coalesce(F.nullif(F.trim("project_id"), F.lit("")), F.lit("default")).alias("old"), by_tag.alias("by_tag"), paths.alias("paths"), F.coalesce(*titled).alias("by_title"), plans.alias("plans"))
+    owned = small(stored(owners.groupBy("plan").agg(F.count_distinct("checkout").alias("n"), F.min("checkout").alias("owner")), "owners"))
+    open_ = rows.where("old = 'default'")
+    each = open_.select("id", F.posexplode("plans").alias("at", "plan")).join(owned, "plan")
+    best = each.groupBy("id").agg(F.min(F.when(F.col("n") == 1, F.struct("at", "owner"))).alias("first"), F.min(F.when(F.col("n") > 1, F.col("at"))).alias("doubtful"))
+    rows = rows.join(best, "id", "left")
+    by_plan, one = F.col("first.owner"), F.when(F.size("paths") == 1, F.get("paths", F.lit(0)))
+    is_open = F.col("old") == "default"
+    rule = F.when(~is_open, "already_set").when(F.col("by_tag") != "default", "repo_tag").when(one != "default", "repo_path").when(by_plan != "default", "plan_owner").when(F.col("by_title") != "default", "title_prefix").otherwise("unchanged")
+    project = F.when(is_open, F.coalesce(*[F.nullif(c, F.lit("default")) for c in (F.col("by_tag"), one, by_plan, F.col("by_title"))], F.col("old"))).otherwise(F.col("old"))
+    untagged = is_open & F.col("by_tag").isNull()
+    return rows.select(
+        "id", project.alias("project"), rule.alias("rule"), (untagged & (F.size("paths") > 1)).alias("path_ambiguous"),
+        F.coalesce(untagged & one.isNull() & (F.col("doubtful") < F.coalesce(F.col("first.at"), F.lit(2**31 - 1))), F.lit(False)).alias("plan_ambiguous"),
+    )
+
+
+STOP_WORDS = "the a an and or for to in on of is it with fix task blocker unblock resolve issue check pr due".split()  # fixed values
+LEAST_RATIO, LEAST_OVERLAP = 0.70, 0.60
+
+
+def _title_words(c: Column) -> Column:
+    words = F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
+    return F.array_distinct(words)
+
+
+def repeated_titles(writes: DataFrame, tasks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(query_id, duplicate_of): the first open task (least id) of a write's agent that has nearly its title, or null.
+
+    writes: query_id (distinct), agent, title; tasks: id, agent, status, title. Nearly: the ratio of matching blocks of both titles is
+    0.7 or more, or 0.6 of the longer one's words (without stop words) are in both. Titles without words or text overlap with none.
+    Agents are compared in lower case; a write without an agent is compared with all. Pairs whose lengths rule the ratio out are left to the words.
+    """
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+
+    clean = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    open_ = tasks.where(F.col("status").isin("pending", "in_progress")).select("id", F.lower(F.coalesce("agent", F.lit(""))).alias("agent"), clean("title").alias("title"), _title_words(clean("title")).alias("words"))
+    asked = writes.select("query_id", F.lower(F.coalesce("agent", F.lit(""))).alias("q_agent"), clean("title").alias("q_title"), _title_words(clean("title")).alias("q_words"))
+
+    def search(queries: DataFrame) -> DataFrame:
+        pairs = open_.join(queries, F.col("query_id") != F.col("id")).where("q_agent = '' OR q_agent = agent")
+        most = F.greatest(F.size("words"), F.size("q_words"))
+        pairs = pairs.withColumn("alike", F.coalesce((F.size("words") > 0) & (F.size("q_words") > 0) & (F.size(F.array_intersect("words", "q_words")) / F.greatest(most, F.lit(1)) >= LEAST_OVERLAP), F.lit(False)))
+        lengths = F.length("title") + F.length("q_title")
+        near = pairs.where(~F.col("alike") & ((lengths == 0) | (2 * F.least(F.length("title"), F.length("q_title")) / F.greatest(lengths, F.lit(1)) >= LEAST_RATIO)))
+        near = near.where(ratio("q_title", "title") >= LEAST_RATIO)
+        return pairs.where("alike").select("query_id", "id").unionByName(near.select("query_id", "id")).groupBy("query_id").agg(F.min("id").alias("duplicate_of"))
+
+    return writes.select("query_id").join(in_blocks(asked, search, block), "query_id", "left")
