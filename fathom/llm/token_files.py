@@ -174,10 +174,17 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_starts(rows: DataFrame) -> DataFrame:
-    """Adds start: the ids of all documents before, by the files' totals."""
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    earlier = F.coalesce(F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(files.select("file", earlier.alias("earlier")), "file").withColumn("start", F.col("earlier") + F.col("before")).drop("earlier", "before")
+    """Adds start: the ids of all documents before, by the totals of files, summed up within groups of files and then over the groups.
+
+    A file's name begins with its part's seven digits; those of 1,000 parts make a group, so no window takes more than 10,000 groups
+    or the files of 1,000 parts.
+    """
+    files = stored(rows.groupBy("file").agg(F.sum("n_tokens").alias("total")).withColumn("group", F.substring("file", 1, 4)), "files")
+    before = lambda w: F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = files.groupBy("group").agg(F.sum("total").alias("total")).select("group", before(Window.orderBy("group")).alias("group_before"))
+    placed = files.select("file", "group", before(Window.partitionBy("group").orderBy("file")).alias("in_group")).join(F.broadcast(groups), "group")  # 10,000 groups at most
+    earlier = placed.select("file", (F.col("group_before") + F.col("in_group")).alias("earlier"))
+    return rows.join(earlier, "file").withColumn("start", F.col("earlier") + F.col("before")).drop("earlier", "before")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
