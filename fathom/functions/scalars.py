@@ -112,10 +112,11 @@ def commit_shas(text: Column) -> Column:
 
 
 def json_merge(old: Column, patch: Column) -> Column:
-    """Top-level merge of two JSON objects; the patch's keys win. Values stay strings."""
-    kind = "map<string,string>"
-    a, b = F.coalesce(F.from_json(old, kind), F.create_map().cast(kind)), F.coalesce(F.from_json(patch, kind), F.create_map().cast(kind))
-    return F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b))
+    """Top-level merge of two JSON objects; the patch's keys win. Values keep their types, keys are sorted; what isn't an object counts as empty."""
+    kind = "map<string,variant>"
+    a, b = (F.coalesce(F.from_json(c, kind), F.from_json(F.lit("{}"), kind)) for c in (old, patch))
+    keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
+    return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.when(F.map_contains_key(b, k), b[k]).otherwise(a[k]))))
 
 
 def semver(version: Column) -> Column:
@@ -129,6 +130,11 @@ def phase_number(raw: Column) -> Column:
     return raw.try_cast("decimal(12,3)")
 
 
+def phase_label(raw: Column) -> Column:
+    """A phase's number as text, a whole one without decimals (72.0 is 72); null if it isn't a finite number."""
+    return F.regexp_replace(phase_number(raw).cast("string"), r"\.?0+$", "")
+
+
 def normal_cdf(z: Column) -> Column:
     """By a rational approximation of the complementary error function (Abramowitz and Stegun 7.1.26; fixed values)."""
     x = z / F.sqrt(F.lit(2.0))
@@ -147,9 +153,28 @@ def learning_block(text: Column) -> Column:
     return F.when(F.trim(block) != "", F.struct(F.coalesce(field("WHAT"), first).alias("what"), field("WHY").alias("why"), field("WHEN").alias("when"), F.coalesce(F.lower(field("CATEGORY")), F.lit("pattern")).alias("category"), tags.alias("tags")))
 
 
+# Chatty openings, each up to the end of its sentence. No two of them can begin at one place.
+PREAMBLES = [
+    r"here\s+(?:is|are)\s+(?:a\s+)?(?:comprehensive|detailed|brief|quick)?\s*(?:overview|summary|breakdown|look|analysis|guide|explanation)[^.:]{0,120}[.:]",
+    r"based\s+on\s+(?:my\s+)?(?:research|analysis|findings|the\s+(?:available\s+)?(?:information|data|sources))[^.:,]{0,100}[.:,]",
+    r"i\s+found\s+(?:that\s+)?(?:the\s+following|several|some|a\s+few)[^.:]{0,120}[.:]",
+    r"sure[,!.]?\s*(?:here\s+(?:is|are))?[^.:]{0,100}[.:]",
+    r"let\s+me\s+(?:provide|explain|break\s+down|summarize)[^.:]{0,120}[.:]",
+    r"certainly[,!.]?",
+    r"absolutely[,!.]?",
+    r"the\s+following\s+(?:is|provides|summarizes|outlines)\s+[^.:]{0,120}[.:]",
+    r"to\s+(?:answer|address|respond\s+to)\s+(?:your|this|the)\s+(?:question|query|request)[^.:,]{0,100}[.:,]",
+    r"(?:great|good)\s+question[.!,]",
+    r"of\s+course[,!.]?",
+    r"i'?d\s+be\s+happy\s+to\s+(?:help|explain|provide|assist)[^.:,]{0,100}[.:,]",
+    r"as\s+an?\s+(?:ai|artificial\s+intelligence)\s+(?:assistant|model|language\s+model)[^.:,]{0,100}[.:,]",
+]
+PREAMBLE = rf"(?i)^\s*(?:(?:{'|'.join(PREAMBLES)})\s*)+"
+
+
 def stripped_preamble(text: Column) -> Column:
-    """Without leading chatty phrases, however many."""
-    return F.regexp_replace(text, r"(?i)^(?:\s*(?:sure|certainly|of course|okay|ok|here(?:'s| is| are)|i(?:'ll| will| can)|let me|great question)[^.:!\n]*[.:!]\s*)+", "")
+    """Without leading chatty phrases, however many, and without white space around the rest."""
+    return F.regexp_replace(F.regexp_replace(text, PREAMBLE, ""), r"^\s+|\s+$", "")
 
 
 def complexity_score(files: Column, loc: Column, tests: Column, depth: Column, migration: Column, api: Column, security: Column) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries over the test tables, each with the SQL it must agree with."""
 
-from . import aggregates, asked, filters, relations, search, upkeep
+from . import aggregates, asked, filters, relations, search, upkeep, worded
 from .base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "aggregates", "asked", "filters", "relations", "search", "upkeep"]
+__all__ = ["QUERIES", "SQL", "aggregates", "asked", "filters", "relations", "search", "upkeep", "worded"]

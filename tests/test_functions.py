@@ -86,3 +86,20 @@ def test_similarities(spark):
 
 def test_preamble(spark):
     assert one(spark, scalars.stripped_preamble(F.lit("Sure! Here is the answer: The cat."))) == "The cat."
+
+
+@pytest.mark.parametrize(("said", "left"), [
+    ("Certainly! Here is a comprehensive overview: the rest. ", "the rest."), ("  Great question! Sure, here are some: x", "x"), ("Surely not", "Surely not"), ("The following is it: a: b", "a: b"), ("nothing chatty", "nothing chatty"), ("", ""), (None, None),
+])
+def test_preamble(spark, said, left):
+    assert one(spark, scalars.stripped_preamble(F.lit(said).cast("string"))) == left
+
+
+@pytest.mark.parametrize(("raw", "label"), [("72", "72"), ("72.0", "72"), ("72.10", "72.1"), ("100", "100"), ("0", "0"), ("NaN", None), ("inf", None), ("x", None), (None, None)])
+def test_phase_label(spark, raw, label):
+    assert one(spark, scalars.phase_label(F.lit(raw).cast("string"))) == label
+
+
+def test_json_merge_keeps_types(spark):
+    assert one(spark, scalars.json_merge(F.lit('{"b":{"x":[1,2]},"a":1,"c":null}'), F.lit('{"a":true,"d":"s"}'))) == '{"a":true,"b":{"x":[1,2]},"c":null,"d":"s"}'
+    assert one(spark, scalars.json_merge(F.lit(None).cast("string"), F.lit(None).cast("string"))) == "{}"
