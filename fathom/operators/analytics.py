@@ -65,9 +65,33 @@ def adjacent_repeats(rows: DataFrame, key: str, text: str) -> DataFrame:
     return marked.withColumn("island", F.sum("new").over(order)).groupBy(key, "island").agg(F.first("line").alias("line"), F.count("*").alias("times"))
 
 
-def log_summary(lines: DataFrame, failure: str, summary: str, text: str = "value") -> DataFrame:
-    """Of a test log: its lines, those that report failures, and the first summary line."""
-    return lines.agg(F.count("*").alias("lines"), F.count_if(F.col(text).rlike(failure)).alias("failures"), F.min(F.when(F.col(text).rlike(summary), F.col(text))).alias("summary"))
+def log_summary(lines: DataFrame, failure: str, summary: str, text: str = "value", keys: list[str] | None = None, at: str | None = None) -> DataFrame:
+    """Of each test log: its lines, those that report failures, and the first summary line. at: what orders the lines; without it, as they were read."""
+    hit = F.col(text).rlike(summary)
+    order = F.col(at) if at else F.monotonically_increasing_id()
+    rows = lines.withColumn("_order", order)
+    return rows.groupBy(*(keys or [])).agg(F.count("*").alias("lines"), F.count_if(F.col(text).rlike(failure)).alias("failures"), F.min_by(text, F.when(hit, F.col("_order"))).alias("summary"))
+
+
+def status_summary(records: DataFrame, keys: list[str], text: str = "value") -> DataFrame:
+    """Of records of a working tree's state (`1 XY ... path`, `2 ...` for renames, `? path`, `! path`): staged, unstaged, untracked and ignored ones."""
+    kind, xy = F.left(text, F.lit(1)), F.split_part(F.col(text), F.lit(" "), F.lit(2))
+    changed = kind.isin("1", "2")
+    return records.groupBy(*keys).agg(
+        F.count_if(changed & F.substring(xy, 1, 1).rlike("[MADRC]")).alias("staged"), F.count_if(changed & F.substring(xy, 2, 1).rlike("[MD]")).alias("unstaged"),
+        F.count_if(kind == "?").alias("untracked"), F.count_if(kind == "!").alias("ignored"),
+    )
+
+
+def listing_summary(lines: DataFrame, keys: list[str], text: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Of long listings (mode bits first): (files, folders and links of each key; its files by extension, `(none)` without one). Other lines, `.` and `..` don't count."""
+    row = r"^([-dlbcps])[-rwxsStT]{9}\S*\s+\d+\s+\S+\s+\S+\s+\S+\s+\S+\s+\S+\s+\S+\s+(.+)$"
+    kind, name = F.regexp_extract(text, row, 1), F.regexp_extract(text, row, 2)
+    rows = lines.select(*keys, kind.alias("kind"), F.when(kind == "l", F.substring_index(name, " -> ", 1)).otherwise(name).alias("name")).where("kind <> '' AND name NOT IN ('.', '..')")
+    counts = rows.groupBy(*keys).agg(F.count_if(~F.col("kind").isin("d", "l")).alias("files"), F.count_if(F.col("kind") == "d").alias("folders"), F.count_if(F.col("kind") == "l").alias("links"))
+    extension = F.regexp_extract("name", r"[^/]\.([^./]*)$", 1)
+    dotted = F.col("name").rlike(r"[^/]\.[^./]*$")
+    return counts, rows.where("kind NOT IN ('d', 'l')").groupBy(*keys, F.when(dotted, extension).otherwise("(none)").alias("extension")).agg(F.count("*").alias("n"))
 
 
 def change_summary(numstat: DataFrame, text: str = "value", top: int = 5) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.storage import small
+
 MOST_CHARS = 4000
 CHUNK = "path string, label string, start_line int, end_line int, text string"
 
@@ -24,13 +26,16 @@ def paragraphs(files: DataFrame) -> DataFrame:
     return merged.select("path", F.concat(F.lit("paragraph "), (F.col("first") + 1).cast("string")).alias("label"), (F.col("first") + 1).cast("int").alias("start_line"), (F.col("last") + 1).cast("int").alias("end_line"), F.array_join(F.transform("l", lambda s: s["line"]), "\n").alias("text"))
 
 
-def sections(files: DataFrame) -> DataFrame:
-    """Markdown sections: a heading and the lines up to the next one; lines before the first are `preamble`."""
+HEADING = r"^#{1,6}\s+(.+?)\s*#*\s*$"
+
+
+def sections(files: DataFrame, heading: str = HEADING) -> DataFrame:
+    """Markdown sections: a heading and the lines up to the next one; lines before the first are `preamble`. heading: what starts one; its group 1 is the label."""
     from pyspark.sql import Window
 
     lines = files.select("path", F.posexplode(F.split("text", "\r?\n")).alias("at", "line"))
     order = Window.partitionBy("path").orderBy("at")
-    head = F.regexp_extract("line", r"^#{1,6}\s+(.+?)\s*#*\s*$", 1)
+    head = F.regexp_extract("line", heading, 1)
     rows = lines.withColumn("head", head).withColumn("part", F.sum(F.when(F.col("head") != "", 1).otherwise(0)).over(order))
     merged = rows.groupBy("path", "part").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max("head").alias("head"), F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
     text = F.array_join(F.transform("l", lambda s: s["line"]), "\n")
@@ -38,10 +43,44 @@ def sections(files: DataFrame) -> DataFrame:
 
 
 def statements(files: DataFrame) -> DataFrame:
-    """SQL statements between semicolons at a line's end."""
-    parts = files.select("path", F.posexplode(F.split("text", r";[ \t]*(?:\r?\n|$)")).alias("at", "text")).where(F.trim("text") != "")
+    """SQL statements between semicolons at a line's end, with the lines that they take."""
+    from pyspark.sql import Window
+
+    parts = files.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s).+?(?:;[ \t]*(?:\r?\n|\z)|\z)"), F.lit(0))).alias("at", "raw"))
+    breaks = F.length("raw") - F.length(F.replace("raw", F.lit("\n"), F.lit("")))
+    before = F.sum(breaks).over(Window.partitionBy("path").orderBy("at")) - breaks
+    lead = F.regexp_extract("raw", r"^\s*", 0)
+    text = F.regexp_replace(F.regexp_replace("raw", r";[ \t]*(?:\r?\n)?$", ""), r"^\s+|\s+$", "")
+    skipped = F.length(lead) - F.length(F.replace(lead, F.lit("\n"), F.lit("")))
+    rows = parts.select("path", "at", (before + skipped + 1).cast("int").alias("start_line"), text.alias("text")).where("text <> ''")
     name = F.regexp_extract("text", r"(?is)^\s*(?:--[^\n]*\n\s*)*(create|alter|insert|update|delete|select|drop|with)\b[^;]*?\b(?:table|index|view|into|from|update)\s+(?:if\s+(?:not\s+)?exists\s+)?([A-Za-z_][\w.]*)", 2)
-    return parts.select("path", F.when(name != "", name).otherwise(F.concat(F.lit("statement "), (F.col("at") + 1).cast("string"))).alias("label"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.trim("text").alias("text"))
+    label = F.when(name != "", name).otherwise(F.concat(F.lit("statement "), (F.col("at") + 1).cast("string")))
+    last = F.col("start_line") + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return rows.select("path", label.alias("label"), "start_line", last.cast("int").alias("end_line"), "text")
+
+
+SCRIPT = r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\*?\s+|class\s+|(?:const|let|var)\s+(?=[\w$]+\s*=\s*(?:async\s*)?(?:\(|function\b|[\w$]+\s*=>)))([\w$]+)"
+
+
+def script_symbols(files: DataFrame) -> DataFrame:
+    """JavaScript and TypeScript: top-level functions, classes and arrow functions, each up to the next; lines before the first are `preamble`."""
+    return sections(files, SCRIPT)
+
+
+# Which extensions are cut in which way; all others by paragraphs.
+BY_EXTENSION = {"python": ["py"], "script": ["js", "ts", "jsx", "tsx", "cjs", "mjs"], "sql": ["sql"], "markdown": ["md", "mdx", "markdown"]}
+
+
+def chunked(files: DataFrame, most: int = MOST_CHARS) -> DataFrame:
+    """Chunks of (path, text), cut by what the extension says and split where longer than `most`. Blank and null texts have none."""
+    extension = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
+    rows = files.where(F.trim("text") != "").select("path", "text", extension.alias("_ext"))
+    of = lambda kind: rows.where(F.col("_ext").isin(BY_EXTENSION[kind])).drop("_ext")
+    others = rows.where(~F.col("_ext").isin([e for some in BY_EXTENSION.values() for e in some])).drop("_ext")
+    out = python_symbols(of("python")).drop("dependencies")
+    for some in (script_symbols(of("script")), statements(of("sql")), sections(of("markdown")), paragraphs(others)):
+        out = out.unionByName(some)
+    return split_oversized(out, most)
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
@@ -98,6 +137,11 @@ def described(chunks: DataFrame, most: int = 240) -> DataFrame:
 
 
 def findings(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows (rule_id, domain, severity, path, dedup_key) of a small table of rules (rule_id, domain, severity, pattern) against files."""
-    hits = files.join(F.broadcast(rules), F.expr("text RLIKE pattern"))
+    """Rows (rule_id, domain, severity, path, dedup_key) of rules (rule_id, domain, severity, pattern) against files."""
+    hits = files.join(small(rules), F.expr("text RLIKE pattern"))
     return hits.select("rule_id", "domain", "severity", "path", F.concat_ws(":", "rule_id", F.sha1(F.col("path").cast("binary"))).alias("dedup_key"))
+
+
+def new_findings(found: DataFrame, known: DataFrame) -> DataFrame:
+    """One row for each key of findings that no open or ticketed one of known (dedup_key, status) has."""
+    return found.dropDuplicates(["dedup_key"]).join(known.where(F.col("status").isin("open", "ticketed")).select("dedup_key"), "dedup_key", "left_anti").select(*found.columns)

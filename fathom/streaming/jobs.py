@@ -81,9 +81,15 @@ def last_n(events: DataFrame, n: int) -> DataFrame:
     return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
 
 
+EXEMPT = "WATCHDOG_EXEMPT"
+
+
 def stale_claims(tasks: DataFrame, now, hours: int = 48) -> DataFrame:
-    """Tasks in progress that were claimed too long ago, as the watchdog sends them back."""
-    return tasks.where((F.col("status") == "in_progress") & (F.col("claimed_at") < F.lit(now) - F.make_dt_interval(hours=F.lit(hours)))).withColumn("status", F.lit("pending"))
+    """Tasks in progress that were claimed too long ago, as the watchdog sends them back. Those whose notes (text, if there is such a column) say EXEMPT stay."""
+    late = (F.col("status") == "in_progress") & (F.col("claimed_at") < F.lit(now) - F.make_dt_interval(hours=F.lit(hours)))
+    if "notes" in tasks.columns:
+        late &= ~F.coalesce(F.col("notes").contains(EXEMPT), F.lit(False))
+    return tasks.where(late).withColumn("status", F.lit("pending"))
 
 
 def run_available(stream: DataFrame, each, checkpoint: str):

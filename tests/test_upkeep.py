@@ -5,7 +5,7 @@ import difflib
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.operators import evaluate, modules, store, tasks
+from fathom.operators import chunking, evaluate, modules, plans_on_disk, store, tasks
 from fathom.streaming import jobs
 
 
@@ -85,3 +85,24 @@ def test_trigger():
     each("third", 2)
     jobs.when_over(lambda: 499, done.append)("none", 3)
     assert done == ["first", "third"]
+
+
+def test_script_chunks_and_dispatch(spark):
+    code = "import x\n\nexport async function load(a) {\n  return a\n}\nclass Box {\n  m() {}\n}\nconst f = (a) => a\nconst n = 3\n"
+    files = spark.createDataFrame([("a/x.ts", code), ("m.py", "def g():\n    pass\n"), ("q.sql", "\nSELECT 1;\nDELETE FROM t\nWHERE a = 1;\n"), ("r.MD", "# T\nx"), ("n", "a\n\nb"), ("e.md", ""), ("z.py", None)], "path string, text string")
+    got = {(r.path, r.label): (r.start_line, r.end_line) for r in chunking.chunked(files).collect()}
+    assert got == {
+        ("a/x.ts", "preamble"): (1, 2), ("a/x.ts", "load"): (3, 5), ("a/x.ts", "Box"): (6, 8), ("a/x.ts", "f"): (9, 11), ("m.py", "g"): (1, 2),
+        ("q.sql", "statement 1"): (2, 2), ("q.sql", "t"): (3, 4), ("r.MD", "T"): (1, 2), ("n", "paragraph 1"): (1, 1), ("n", "paragraph 3"): (3, 3),
+    }
+
+
+def test_roadmaps(spark):
+    text = "# Map v1.2\n- [x] **Phase 1: A**\n- [ ] Phase 04\n### Phase 1: A\n**Goal:** g\n## Phase 2A: B (inserted)\n"
+    maps = spark.createDataFrame([("r", text), ("null", None), ("empty", "")], "path string, text string")
+    phases = plans_on_disk.roadmap_phases(maps)
+    assert [tuple(r) for r in phases.orderBy("at").collect()] == [("r", 0, "1", "A", "g", None, True), ("r", 1, "2A", "B", None, None, False)]
+    folders = plans_on_disk.phase_folders(spark.createDataFrame([("r", "02A-b", "02A-RESEARCH.md"), ("r", "notes", "x.md"), ("r", "3", "PLAN.md")], "path string, folder string, file string"))
+    assert [(r.number, r.state) for r in plans_on_disk.phase_states(phases, folders).orderBy("at").collect()] == [("1", "complete"), ("2A", "researched")]
+    got = {(r.number, r.rule) for r in plans_on_disk.drift(phases, plans_on_disk.ticks(maps), folders).collect()}
+    assert got == {("4", "box_without_heading"), ("1", "phase_without_folder"), ("3", "folder_without_phase")}
