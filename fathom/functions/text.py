@@ -70,3 +70,22 @@ def cosine(a: Column, b: Column) -> Column:
     """In double precision; null if a norm is 0."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm)
+
+
+# Words and phrases that say nothing.
+ARTICLES = ["a", "an", "the"]
+FILLERS = ["just", "simply", "basically", "essentially", "very", "quite", "rather", "somewhat", "actually", "really", "certainly", "definitely", "probably", "literally", "practically"]
+HEDGES = ["it is important to note that", "it should be noted that", "it is possible that", "may want to consider", "could potentially", "might want to", "you might consider", "please note that", "keep in mind that", "you may want to(?! consider(?!\\w))"]
+#: Code between back ticks, addresses, and paths.
+PROTECTED = r"`[^`\n]+`|(?:https?|ftp)://(?:`[^`\n]+`|\S)+|(?<!\S)(?:\.{1,2}/|/|~/)\S+"
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def stripped_line(line: Column) -> Column:
+    """Without articles, fillers and hedges; code, addresses and paths stay. Of a run of blanks its last one is left."""
+    idle = "|".join([*HEDGES, *ARTICLES, *FILLERS])
+    out = F.regexp_replace(line, rf"({PROTECTED})|(?<![\p{{L}}\p{{N}}_])(?i:{idle})(?![\p{{L}}\p{{N}}_])", "$1")
+    return trimmed(F.regexp_replace(out, rf"({PROTECTED})|[ \t]+(?=[ \t])", "$1"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.functions import text as words
 from fathom.storage import small
 
 MOST_CHARS = 4000
@@ -145,3 +146,32 @@ def findings(files: DataFrame, rules: DataFrame) -> DataFrame:
 def new_findings(found: DataFrame, known: DataFrame) -> DataFrame:
     """One row for each key of findings that no open or ticketed one of known (dedup_key, status) has."""
     return found.dropDuplicates(["dedup_key"]).join(known.where(F.col("status").isin("open", "ticketed")).select("dedup_key"), "dedup_key", "left_anti").select(*found.columns)
+
+
+def grammar_stripped(files: DataFrame) -> DataFrame:
+    """Texts of (path, text), path distinct, with words and phrases that say nothing taken out of their lines.
+
+    Fenced code and lines that are a tag stay as they are. From the first line `---` outside a fence to the next one (or the end), lines are
+    front matter: only their plain or quoted values change. Null stays null. The lines of a text meet in one task, as the text itself does.
+    """
+    from pyspark.sql import Window
+
+    whole = Window.partitionBy("path")
+    before = whole.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    bare = words.trimmed(F.col("line"))
+    lines = files.select("path", F.posexplode_outer(F.split("text", "\n")).alias("at", "line"))
+    rows = lines.withColumn("fence", bare.startswith("```")).withColumn("rule", bare == "---")
+    odd = lambda c: F.coalesce(F.sum(c.cast("int")).over(before), F.lit(0)) % 2 == 1
+    rows = rows.withColumn("coded", odd(F.col("fence")))
+    rows = rows.withColumn("first", F.min(F.when(F.col("rule") & ~F.col("coded"), F.col("at"))).over(whole))
+    rows = rows.withColumn("last", F.min(F.when(F.col("rule") & (F.col("at") > F.col("first")), F.col("at"))).over(whole))
+    front = F.coalesce((F.col("at") > F.col("first")) & (F.col("last").isNull() | (F.col("at") < F.col("last"))), F.lit(False))
+    rows = rows.withColumn("front", front).withColumn("coded", odd(F.col("fence") & ~F.col("front")))
+    line, field = F.col("line"), r"(?s)^(\s*[\p{L}\p{N}_-]+\s*:\s*)(.*)$"
+    key, value = F.regexp_extract(line, field, 1), F.regexp_extract(line, field, 2)
+    quote, inner = F.regexp_extract(words.trimmed(value), r"^([\"'])(.*)\1$", 1), F.regexp_extract(words.trimmed(value), r"^([\"'])(.*)\1$", 2)
+    clean = F.concat(key, F.when(value.rlike(r"^[\[{|>]"), value).when(quote != "", F.concat(quote, words.stripped_line(inner), quote)).otherwise(words.stripped_line(value)))
+    kept = (F.col("at") == F.col("first")) | (F.col("at") == F.col("last"))
+    new = F.when(F.coalesce(kept, F.lit(False)), line).when(F.col("front"), F.when(key == "", line).otherwise(clean)).when(F.col("fence") | F.col("coded") | line.rlike(r"^\s*<[^>]+>\s*$"), line).otherwise(words.stripped_line(line))
+    done = rows.select("path", "at", new.alias("line")).groupBy("path").agg(F.max("at").alias("n"), F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
+    return done.select("path", F.when(F.col("n").isNotNull(), F.array_join(F.transform("l", lambda s: s["line"]), "\n")).alias("text"))

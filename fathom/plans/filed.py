@@ -6,6 +6,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
+from fathom.functions import text as words
 from fathom.operators import analytics, chunking, plans_on_disk, store
 from fathom.streaming import jobs
 
@@ -179,3 +180,21 @@ UNION ALL SELECT path, '1', 'summary_without_plan' FROM p WHERE doc_id % 3 = 0 A
 def roadmap_drift(spark, d):
     maps = _roadmaps(spark, d)
     return plans_on_disk.drift(plans_on_disk.roadmap_phases(maps), plans_on_disk.ticks(maps), _folders(spark, d))
+
+
+_PLAIN = "|".join(h.split("(")[0] for h in words.HEDGES)
+_TOKEN = rf"`[^`]+`|(?:https?|ftp)://\S+|^(?:\.{{1,2}}/|/|~/)\S+|\s(?:\.{{1,2}}/|/|~/)\S+|(?i:{_PLAIN})\b|[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]"
+_IDLE = "|".join([*(h.split("(")[0] for h in words.HEDGES), *words.ARTICLES, *words.FILLERS])
+
+
+@query(
+    f"""WITH src AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Please note that the very ~/a/the x ' || text ELSE text END AS text, doc_id % 4 = 1 AS coded FROM documents), lines AS (SELECT doc_id, coded, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS nr FROM src),
+s AS (SELECT doc_id, nr, CASE WHEN coded OR regexp_matches(line, '^\\s*<[^>]+>\\s*$') THEN line ELSE regexp_replace(regexp_replace(array_to_string(list_filter(regexp_extract_all(line, '{_TOKEN}'), lambda t: NOT regexp_full_match(lower(t), '{_IDLE}')), ''), '[ \\t]+([ \\t])', '\\1', 'g'), '^\\s+|\\s+$', '', 'g') END AS line FROM lines)
+SELECT doc_id, md5(CASE WHEN doc_id % 4 = 1 THEN '```' || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY nr)) AS digest FROM s GROUP BY 1"""
+)
+def grammar_stripped(spark, d):
+    """A fence is opened before every fourth document and never closed, so it stays as it is."""
+    n = F.col("doc_id")
+    text = F.when(n % 3 == 0, F.concat(F.lit("Please note that the very ~/a/the x "), "text")).otherwise(F.col("text"))
+    files = table(spark, d, "documents").select(n.alias("path"), F.when(n % 4 == 1, F.concat(F.lit("```\n"), text)).otherwise(text).alias("text"))
+    return chunking.grammar_stripped(files).select(F.col("path").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest"))

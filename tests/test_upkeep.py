@@ -106,3 +106,11 @@ def test_roadmaps(spark):
     assert [(r.number, r.state) for r in plans_on_disk.phase_states(phases, folders).orderBy("at").collect()] == [("1", "complete"), ("2A", "researched")]
     got = {(r.number, r.rule) for r in plans_on_disk.drift(phases, plans_on_disk.ticks(maps), folders).collect()}
     assert got == {("4", "box_without_heading"), ("1", "phase_without_folder"), ("3", "folder_without_phase")}
+
+
+def test_grammar_stripped(spark):
+    text = "---\ntitle: The very \"x\" of it\nname: 'an actual the end'\nlist: [the, a]\n\n---\nThe plan, you may want to consider a `the  code` at https://h/the/a and /the/a  now.\n<the>\n```py\nthe code\n```\nit is possible that thé Panda is quite   real\n---\nthe end"
+    files = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "```\n---\nthe x\n```\nthe y\n---\nk: the z")], "path int, text string")
+    got = {r.path: r.text for r in chunking.grammar_stripped(files).collect()}
+    assert got[1] == "---\ntitle: \"x\" of it\nname: 'actual end'\nlist: [the, a]\n\n---\nplan, you `the  code` at https://h/the/a and /the/a now.\n<the>\n```py\nthe code\n```\nthé Panda is real\n---\nend"
+    assert (got[2], got[3], got[4]) == (None, "", "```\n---\nthe x\n```\ny\n---\nk: z")
