@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fathom.functions import scalars
@@ -131,3 +132,10 @@ def title_guard(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("title"), "p_size")
     first = p.groupBy("title", "p_size").agg(F.min("p_partkey").alias("p_partkey"))
     return p.join(first, ["title", "p_size", "p_partkey"], "left_semi").select("title").distinct()
+
+
+@query(f"WITH {EVENTS} SELECT task_id, id, outcome, CAST(row_number() OVER (PARTITION BY task_id ORDER BY at_s DESC, id DESC) AS INTEGER) AS place FROM log WHERE gate_failed IS NOT NULL OR outcome = 'pass'")
+def validation_history(spark, d):
+    """Each task's validations, the newest first."""
+    place = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("at_s"), F.desc("id")))
+    return events(spark, d).where("gate_failed IS NOT NULL OR outcome = 'pass'").select("task_id", "id", "outcome", place.alias("place"))

@@ -182,3 +182,15 @@ def novelty_filter(spark, d):
 @query(rf"SELECT doc_id, len({_tokens('text')}) AS n FROM documents")
 def identifier_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n"))
+
+
+@query(
+    f"""WITH {_VECTORS} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, similarity, similarity >= 0.6 AS used, age_days FROM (SELECT y.id AS query_id, x.id, x.id % 200 AS age_days, row_number() OVER (PARTITION BY y.id ORDER BY round({_COSINE}, 6) DESC, x.id) AS rank, round({_COSINE}, 6) AS similarity
+  FROM vectors x JOIN vectors y ON y.id % 50 = 0 AND x.id <> y.id WHERE x.id % 200 <= 90) WHERE rank <= 3"""
+)
+def recent_neighbours(spark, d):
+    """The three nearest rows of the last 90 days, and whether they are alike enough to be used, of every row whose id is divisible by 50; rows are id modulo 200 days old."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    near = evaluate.nearest_per_query(asked, v.where("id % 200 <= 90"), F.round(text.cosine(F.col("embedding"), F.col("q")), 6), 3)
+    return near.withColumn("used", F.col("similarity") >= 0.6).withColumn("age_days", F.col("id") % 200)
