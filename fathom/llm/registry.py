@@ -7,6 +7,7 @@ from .embed_dedup import OP5_SQL, op5_embeddings
 from .language import op6_language
 from .minhash import OP2_SQL, op2_minhash
 from .packing import op9_packing
+from .periodic import OP11_SQL, op11_periodic_runs
 from .quality import op8_quality
 from .secrets import op4_secrets
 from .sharding import OP3_SQL, op3_sharding
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_minhash": OP2_SQL, "op3_sharding": OP3_SQL, "op5_embeddings": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_minhash": OP2_SQL, "op3_sharding": OP3_SQL, "op5_embeddings": OP5_SQL, "op11_periodic_runs": OP11_SQL}
