@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import scalars
-from fathom.storage import stored
+from fathom.storage import forget, stored
 
 
 def resolved_edges(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -37,27 +37,30 @@ def neighbours(edges: DataFrame, most: int = 50, most_out: int | None = None) ->
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(id, rank). Ranks of nodes without edges out are dealt out evenly; stops when the change per node is below the tolerance.
 
-    Raises if that isn't reached in so many rounds; a tolerance of 0 asks for all rounds. Each round is one job that stores the
-    ranks and sums up, on its way, the change and the rank of nodes without edges out.
+    The change is looked at every fourth round; raises if it is still above after all rounds. A tolerance of 0 asks for all rounds.
+    A round is one job, which also sums up the rank of nodes without edges out in the round before; older rounds are deleted.
     """
     edges = edges.select("src", "dst").distinct()
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
     links = stored(edges.join(degree, "src"), "links")
-    nodes = stored(nodes.select("id").distinct().join(degree.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left").withColumn("dangling", F.coalesce("dangling", F.lit(True))), "nodes")
-    n, loose = nodes.agg(F.count("*"), F.count_if(F.col("dangling"))).first()
-    rank = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("rank"), "dangling")
-    lost, moved = loose / max(n, 1), 0.0
-    for _ in range(rounds if n else 0):
+    nodes = nodes.select("id").distinct().join(degree.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left").withColumn("dangling", F.coalesce("dangling", F.lit(True)))
+    nodes = stored(nodes, "nodes")
+    if not (n := nodes.count()):
+        return nodes.select("id", F.lit(0.0).alias("rank"))
+    rank, moved = stored(nodes.select("id", F.lit(1.0 / n).alias("rank"), "dangling", F.lit(0.0).alias("change")), "rank"), 0.0
+    for i in range(rounds):
         shared = links.join(rank, links.src == rank.id).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        value = alpha * (F.coalesce("got", F.lit(0.0)) + lost / n) + (1 - alpha) / n
-        seen = Observation()
-        new = rank.join(shared, rank.id == shared.dst, "left").select("id", value.alias("rank"), "dangling", F.abs(value - F.col("rank")).alias("change"))
-        rank = stored(new.observe(seen, F.sum("change").alias("moved"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost")).drop("change"), "rank")
-        moved, lost = seen.get["moved"], seen.get["lost"]
-        if moved < n * tolerance:
-            break
+        lost = F.broadcast(rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))  # one row
+        value = alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n) + (1 - alpha) / n
+        new = rank.join(shared, rank.id == shared.dst, "left").crossJoin(lost)
+        before, rank = rank, stored(new.select("id", value.alias("rank"), "dangling", F.abs(value - F.col("rank")).alias("change")), "rank")
+        forget(before)
+        if tolerance and (i % 4 == 3 or i == rounds - 1):
+            moved = rank.agg(F.sum("change")).first()[0]
+            if moved < n * tolerance:
+                break
     else:
-        if n and tolerance:
+        if tolerance:
             raise RuntimeError(f"ranks still change by {moved} after {rounds} rounds")
     return rank.select("id", "rank")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import tempfile
+import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -18,18 +18,10 @@ HOT = 100_000
 #: So many queries of a stated set are broadcast at a time.
 BLOCK = 10_000
 
-_own_dir: list[str] = []
-
-
 def work_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Where it is unset: in local mode a folder of our own, on a cluster one in the warehouse, which is shared."""
-    if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        return f"{spark.conf.get('spark.sql.warehouse.dir')}/_fathom"
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="fathom-"))
-    return f"file://{_own_dir[0]}"
+    """spark.checkpoint.dir; where it is unset, a folder in the warehouse, which is shared too."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_fathom"
+    return re.sub("^file:/+", "file:///", root)
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -43,6 +35,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes what stored() wrote for df. For rounds of a loop whose successor is written: nothing reads them any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def small(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """df (stored, narrow) with a broadcast hint if it has at most so many rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
