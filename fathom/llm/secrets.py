@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import new_path, stored, table
 
 LABELLED, TREES, DEPTH, SEED = 6_000, 24, 7, 11
 THRESHOLD = 0.5
@@ -182,9 +182,12 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, seed: int = SEED)
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> RandomForestClassificationModel:
+    """The forest, as it is read from the shared folder: one fresh from fit() holds its training summary, and with it the session, which can't always be sent to tasks."""
     rows = with_features(stored(candidates(findings, ["label"], path_col="path"), "findings")).select("label", *_INPUTS)
     data = VectorAssembler(inputCols=_INPUTS, outputCol="features").transform(rows.coalesce(1))
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(data.select("label", "features"))
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(data.select("label", "features"))
+    forest.write().save(path := new_path(findings.sparkSession, "forest"))
+    return RandomForestClassificationModel.load(path)
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, keep: list[str], threshold: float = THRESHOLD, text_col: str = "text", path_col: str | None = "source") -> DataFrame:

@@ -299,3 +299,18 @@ def test_secrets_whole(spark):
         for value in sorted(secret[name][1], key=len, reverse=True):
             text = text.replace(value, secrets.MARK)
         assert clean[name] == text
+
+
+def test_secrets_after_an_observation(spark):
+    """Once a session has used an Observation it can't be serialized; the forest must not hold it."""
+    from pyspark.sql import Observation
+
+    import corpus_pipeline
+
+    seen = Observation()
+    spark.range(5).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 5
+    sf = "/root/testdata/sf0.001"
+    assert secrets.op4_secrets(spark, sf).count() > 0
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert corpus_pipeline.without_secrets(spark, docs, sf).count() == docs.count()
