@@ -48,7 +48,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_co
     total = placed.count()
     if not total:
         return mixed.select("doc_id", "source", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    shard = F.floor(F.col("place") * shards / total) if total * shards >= 1 << 53 else F.expr(f"place * {shards} DIV {total}")
+    shard = F.expr(f"place * {shards} DIV {total}")  # exact while rows times shards are below 2 ** 63
     start = F.expr(f"(shard * {total} + {shards - 1}) DIV {shards}")  # the first place whose shard it is
     return mixed.withColumn("shard", shard).withColumn("slot", F.col("place") - start).select("doc_id", "source", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot")
 

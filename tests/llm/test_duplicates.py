@@ -202,3 +202,14 @@ def test_written_shards(spark, tmp_path):
     placed = sharding.assign_shards(docs, shards=4)
     sharding.write_shards(docs, placed, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("_shard").agg(F.count("*").alias("n")).where("n = 5").count() == 4
+
+
+def test_shard_arithmetic_beyond_doubles():
+    """place * shards DIV total, where a double would be one off."""
+    total, shards = (1 << 56) + 3, 40
+    for place in (total - 1, total // 2, total // 40 * 39 + 39):
+        shard = place * shards // total
+        start = (shard * total + shards - 1) // shards
+        assert 0 <= place - start
+        assert start * shards // total == shard
+        assert (start - 1) * shards // total == shard - 1
