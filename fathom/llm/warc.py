@@ -35,6 +35,7 @@ _HEAD = re.compile(rb"WARC/1\.[01]\r\n(?:(?:[!-9;-~]+:|[ \t])[^\r\n]*\r\n)*+(\r\
 _LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d{1,18})[ \t]*\r\n", re.I)
 LEAST_BYTES, FILE_BYTES, RANGE_BYTES, BATCH_BYTES = 100, 32 << 20, 8 << 20, 4 << 20
 _HEADER_BYTES, _STEP = 1 << 20, 1 << 16
+_MOST_TASKS = 20_000
 _DATE = "1970-01-01T00:00:00Z"
 _NAME = "urn:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -168,10 +169,16 @@ def _candidates(batches):
             yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * len(a), pa.string()), pa.array(a), pa.array(b), pa.array(jumped(a, b))], names=["file", "at", "next", "leaves"])
 
 
+def _dealt(rows: DataFrame, files: DataFrame, range_bytes: int) -> DataFrame:
+    """Rows of places in files, spread by them over about a task per range: so few rows mean so much reading that Spark, which goes by their bytes, would put them together."""
+    n = files.agg(F.sum(F.expr(f"(size + {range_bytes - 1}) DIV {range_bytes}"))).first()[0] or 1
+    return rows.repartition(min(n, _MOST_TASKS), "file", rows.columns[2])
+
+
 def _ranges(files: DataFrame, range_bytes: int) -> DataFrame:
     begin = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
     cut = files.where("size > 0").select("file", "size", begin.alias("begin")).withColumn("end", F.least(F.col("begin") + range_bytes, F.col("size")))
-    return cut.repartition("file", "begin")
+    return _dealt(cut, files, range_bytes)
 
 
 def candidates(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -241,7 +248,7 @@ def _records():
 
 def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The records of files (file, size): file, at, type, record_id, refers_to, url, digest (as headed), full_bytes (of the payload; of a revisit's as its HTTP head says), payload."""
-    entries = chain_entries(files, range_bytes).repartition("file", "at")
+    entries = _dealt(chain_entries(files, range_bytes).select("file", "size", "at", "end"), files, range_bytes)
     return entries.mapInArrow(_records(), "file string, at long, type string, record_id string, refers_to string, url string, digest string, full_bytes long, payload binary")
 
 
