@@ -41,3 +41,11 @@ def nearest_per_query(queries: DataFrame, rows: DataFrame, similarity: Column, k
         return scored.withColumn("rank", place).where(F.col("rank") <= k)
 
     return in_blocks(queries, search, block)
+
+
+def known_items(rows: DataFrame, queries: DataFrame, label: str = "label") -> DataFrame:
+    """(query_id, id): of each query (query_id, label) the least other id of its label. Each label's two least ids are kept, so no label is joined with itself."""
+    least = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.min("id").alias("first"))
+    second = rows.join(least, label).where("id <> first").groupBy(label).agg(F.min("id").alias("second"))
+    both = least.join(second, label, "left")
+    return queries.join(both, label).select("query_id", F.when(F.col("first") != F.col("query_id"), F.col("first")).otherwise(F.col("second")).alias("id")).where("id IS NOT NULL")

@@ -100,10 +100,14 @@ def write_ops(writes: DataFrame, near: DataFrame, threshold: float) -> DataFrame
     return writes.join(top, "query_id", "left").select("query_id", F.when(F.col("existing_id").isNotNull(), "NOOP").otherwise("ADD").alias("op"), "existing_id", "similarity")
 
 
-def semantic_search(found: DataFrame, memory: DataFrame, as_of: Column, limit: int = 10, exclude: tuple[str, ...] = ("task_event", "rpetd_phase")) -> DataFrame:
-    """(query_id, id, similarity, score): of the 4 * limit nearest of each query (query_id, id, similarity) those that are valid and wanted, by composite score."""
-    rows = memory.where("invalid_s IS NULL AND (project_id IS NULL OR project_id <> '__test__')").where(~F.coalesce(F.col("source"), F.lit("agent")).isin(*exclude))
-    near = best_per_query(found.join(rows, "id"), 4 * limit, "similarity")
+def searchable(memory: DataFrame, exclude: tuple[str, ...] = ("task_event", "rpetd_phase")) -> DataFrame:
+    """Rows that are valid, no test's, and of a source that searches show."""
+    return memory.where("invalid_s IS NULL AND (project_id IS NULL OR project_id <> '__test__')").where(~F.coalesce(F.col("source"), F.lit("agent")).isin(*exclude))
+
+
+def semantic_search(found: DataFrame, rows: DataFrame, as_of: Column, limit: int = 10) -> DataFrame:
+    """(query_id, id, similarity, score, rank): the best of each query's nearest rows (query_id, id, similarity; 4 * limit of each) by composite score. rows: the searchable ones."""
+    near = found.join(rows, "id")
     score = composite(F.col("similarity") * 10, F.col("source"), F.col("applied_count"), scalars.age_days("created_at", as_of))
     return best_per_query(near.select("query_id", "id", F.round("similarity", 4).alias("similarity"), score.alias("score")), limit)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathom.functions import scalars, text
-from fathom.operators import evaluate, retrieval
+from fathom.operators import retrieval, vectors
 from fathom.storage import in_blocks
 
 from .base import query, table
@@ -43,7 +43,7 @@ _FUSED = f"{_BM25}, {_VECTORS}, {_NEAR}, fused AS (SELECT query_id, id, rank_bm2
 def _near(spark, d, k):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    return evaluate.nearest_per_query(asked, v, F.round(text.cosine(F.col("embedding"), F.col("q")), 6), k)
+    return vectors.search(vectors.built(v), asked, k)
 
 
 def _fused(spark, d):
@@ -75,8 +75,9 @@ def lexical_search_rows(spark, d):
 def semantic_search(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    near = lambda block: v.crossJoin(block).where("query_id <> id").select("query_id", "id", F.round(text.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
-    return in_blocks(asked, lambda block: retrieval.semantic_search(near(block), memory(spark, d), as_of()))
+    rows = retrieval.searchable(memory(spark, d))
+    near = vectors.search(vectors.built(v.join(rows.select("id"), "id", "left_semi")), asked, 40).drop("rank")
+    return retrieval.semantic_search(near, rows, as_of())
 
 
 _HIGH = "('lesson-learned', 'best-practice', 'auto_learning', 'web_search_result', 'session-learning', 'distilled')"
@@ -106,7 +107,7 @@ def write_ops(spark, d):
     """What a write does: nothing if an earlier row of its project is as near as 0.95, else it is added."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     asked = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("project"))
-    near = evaluate.nearest_per_query(asked, v, F.round(text.cosine(F.col("embedding"), F.col("q")), 6), 3, "id < query_id AND label = project")
+    near = vectors.search(vectors.built(v, group=F.col("label")), asked, 3, group=F.col("project"), earlier=True)
     return retrieval.write_ops(asked.select("query_id"), near, 0.95)
 
 
@@ -142,6 +143,6 @@ def similar_invocations(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(past, "id")
     q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), F.col("skill").alias("q_skill"))
     recent = v.where(F.col("at_s") > AS_OF_S - 90 * 86_400)
-    near = evaluate.nearest_per_query(q, recent, F.round(text.cosine(F.col("embedding"), F.col("q")), 6), 10, "query_id <> id AND skill = q_skill")
+    near = vectors.search(vectors.built(recent, group=F.col("skill")), q, 10, group=F.col("q_skill"))
     found = retrieval.similar_invocations(_lexical(spark, d), near.select("query_id", "id", F.col("similarity").alias("score")), past, asked, AS_OF_S)
     return found.withColumn("rrf_score", F.round("rrf_score", 6))

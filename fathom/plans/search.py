@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathom.functions import scalars, text
-from fathom.operators import evaluate, retrieval, similarity
+from fathom.operators import evaluate, retrieval, similarity, vectors
 
 from .base import query, table
 from .views import AS_OF_S, MEMORY, as_of, memory
@@ -98,18 +98,28 @@ def vector_knn(spark, d):
     return _knn(spark, d, 3)
 
 
+_KNN = f"WITH {_VECTORS} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, similarity FROM (SELECT y.id AS query_id, x.id, row_number() OVER (PARTITION BY y.id ORDER BY round({_COSINE}, 6) DESC, x.id) AS rank, round({_COSINE}, 6) AS similarity FROM vectors x JOIN vectors y ON y.id % 50 = 0 AND x.id <> y.id) WHERE rank <= 10"
+
+
+@query(_KNN)
+def vector_index_knn(spark, d):
+    """The ten nearest rows of every row whose id is divisible by 50, from an index of 16 cells that is read in rounds."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    return vectors.search(vectors.built(v, cells=16), asked, 10)
+
+
 def _knn(spark, d, k):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    return evaluate.nearest_per_query(asked, v, F.round(text.cosine(F.col("embedding"), F.col("q")), 6), k)
+    return vectors.search(vectors.built(v), asked, k)
 
 
 @query(f"WITH {_VECTORS}, r AS (SELECT y.id AS query_id, x.id, row_number() OVER (PARTITION BY y.id ORDER BY round({_COSINE}, 6) DESC, x.id) AS rank, x.label = y.label AS good FROM vectors x JOIN vectors y ON y.id % 50 = 0 AND x.id <> y.id), e AS (SELECT query_id, min(id) AS id FROM r WHERE good GROUP BY 1) SELECT count(*) AS queries, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr FROM e JOIN r USING (query_id, id)")
 def known_item_mrr(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", "label")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    expected = v.join(q, "label").where("vec_id <> query_id").groupBy("query_id").agg(F.min("vec_id").alias("id"))
-    return evaluate.reciprocal_rank(_knn(spark, d, 10), expected, 10)
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "label")
+    return evaluate.reciprocal_rank(_knn(spark, d, 10), evaluate.known_items(v, q), 10)
 
 
 @query(f"WITH {_VECTORS}, r AS (SELECT y.id AS query_id, x.id, row_number() OVER (PARTITION BY y.id ORDER BY round({_COSINE}, 6) DESC, x.id) AS rank FROM vectors x JOIN vectors y ON y.id % 50 = 0 AND x.id <> y.id), f AS (SELECT id, count(*) AS n FROM r WHERE rank = 1 GROUP BY 1) SELECT sum(n)::BIGINT AS answered, count(*) AS distinct_top1, round(max(n) / CAST(sum(n) AS DOUBLE), 6) AS largest_share FROM f")
@@ -192,5 +202,5 @@ def recent_neighbours(spark, d):
     """The three nearest rows of the last 90 days, and whether they are alike enough to be used, of every row whose id is divisible by 50; rows are id modulo 200 days old."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    near = evaluate.nearest_per_query(asked, v.where("id % 200 <= 90"), F.round(text.cosine(F.col("embedding"), F.col("q")), 6), 3)
+    near = vectors.search(vectors.built(v.where("id % 200 <= 90")), asked, 3)
     return near.withColumn("used", F.col("similarity") >= 0.6).withColumn("age_days", F.col("id") % 200)
