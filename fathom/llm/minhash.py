@@ -7,7 +7,7 @@ its bins is empty, which for n shingles takes about t ln t / n rounds.
 
 Banding: documents that agree in all rows of a band share a bucket. In each bucket the smallest id is
 compared with all others; members that this leaves in different components are then all compared with
-each other, block against block inside a task, so that no pair of a bucket stays undecided unless it is
+each other, block against block inside a task, but for the bucket's largest component, whose rows only meet those of others, so that no pair of a bucket stays undecided unless it is
 connected already. A task compares full shingle sets and sends one link of any two components that it finds
 linked, never all pairs; a large bucket is dealt out as pairs of blocks. A pair is a link only if the full sets
 (64-bit hashes of all shingles) say so.
@@ -174,14 +174,30 @@ def _bridges(percent: int):
     return run
 
 
+def dealt(named: DataFrame) -> DataFrame:
+    """id, n, comp, mine, lo, hi, task: rows of buckets (key) with several components, dealt out as pairs of blocks.
+
+    Rows of a bucket's largest component are linked already, so they meet only the rows outside it; these meet all. One
+    stray row in a bucket of very many linked ones costs a comparison with each of them, not all pairs of blocks.
+    """
+    parts = named.groupBy("key", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("members"))
+    blocks = lambda rows, members: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(members * 8 / BLOCK_BYTES))
+    largest = F.max(F.struct("rows", "members", "comp")).alias("most")
+    mixed = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("rows").alias("rows"), F.sum("members").alias("members"), largest).where("comps > 1")
+    rest_rows, rest_members = F.col("rows") - F.col("most.rows"), F.col("members") - F.col("most.members")
+    mixed = mixed.select("key", F.col("most.comp").alias("main"), blocks(rest_rows, rest_members).alias("few"), blocks(F.col("most.rows"), F.col("most.members")).alias("many"))
+    # Blocks 0 to few - 1 have the rows outside the largest component, the next `many` its own.
+    rest = named.join(mixed, "key").withColumn("inside", F.col("comp") == F.col("main"))
+    hashed = F.xxhash64("id", "key")
+    rest = rest.withColumn("mine", F.when(F.col("inside"), F.col("few") + F.pmod(hashed, F.col("many"))).otherwise(F.pmod(hashed, F.col("few"))))
+    last = F.when(F.col("inside"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    return rest.select("id", "n", "comp", "mine", "lo", "hi", F.xxhash64("key", "lo", "hi").alias("task"))
+
+
 def bridges(named: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) between different components, by full sets, from all buckets (key, id, n, comp) with several components."""
-    size = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), size.alias("blocks")).where("low < high").select("key", "blocks")
-    rest = named.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
-    # Block i meets each block j: a row goes to the pairs of blocks that have its own on either side.
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
-    rest = stored(rest.select("id", "n", "comp", "mine", "lo", "hi", F.xxhash64("key", "lo", "hi").alias("task")), "mixed")
+    rest = stored(dealt(named), "mixed")
     sets = _sets(semi(docs, stored(rest.select("id").distinct(), "ids"), "id"), shingle)
     tasks = rest.join(sets, "id").repartition("task").sortWithinPartitions("task")
     return tasks.mapInArrow(_bridges(percent), "a long, b long").distinct()
