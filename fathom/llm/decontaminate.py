@@ -10,7 +10,8 @@ least `coverage` of the item's words. An item shorter than `min_match` words mat
 Documents are scanned once, whatever the benchmark's size: a bit map of the items' seeds, of at most MOST_BITS
 bits, is broadcast, and a document that has seeds in it is kept as the hashes of the words that they cover, with
 a mark at each gap. So passages count however far they lie apart, and a long document costs no more than what it
-may share. Its seeds are joined with the items' (salted, beyond `block_chars` characters of benchmark), which
+may share. Its seeds are joined with the items' rarer ones (salted, beyond `block_chars` characters of benchmark), so many that a
+document which covers enough of an item has one of them. This
 also removes what the bit map lets through by chance, and a pair is tiled if the seeds that it shares could
 cover enough of the item.
 
@@ -30,7 +31,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import PLAIN_TABLE, Words, by_chunk, chunks, mix, runs, stored, table
@@ -193,14 +194,33 @@ def _kept_documents(bit_map, lengths: list[int]):
     return run
 
 
+def rare_seeds(seeds: DataFrame, hits: DataFrame, min_match: int, coverage: float) -> DataFrame:
+    """(seed, item): of each item so many of its seeds, those in the fewest documents first, that a document which covers enough of it has one of them.
+
+    Tiles of min_match words or more that cover c words hold c / min_match of the item's seed places at least, so all places but one
+    less than those may be left out: a line that very many documents and items share brings nobody together. An item's own
+    seeds, ordered by a window, are as many as its words.
+    """
+    size = F.least("n", F.lit(min_match))
+    places = F.greatest(F.ceil(F.col("n") * coverage / size), F.lit(1)) - 1  # that may be left out
+    common = hits.groupBy("seed").agg(F.count("*").alias("documents"))
+    met = seeds.join(common, "seed").withColumn("spare", places)  # seeds that no document has are of no use as keys
+    # A row stays if those before and after it, in that order, could not all be done without.
+    after = F.sum("times").over(Window.partitionBy("item").orderBy(F.desc("documents"), "seed").rowsBetween(Window.unboundedPreceding, 0))
+    return met.withColumn("after", after).where(F.col("after") > F.col("spare")).select("seed", "item")
+
+
 def _tiled(min_match: int, coverage: float):
     """A mapInArrow function over pairs of documents and items: those that tiles cover enough of."""
 
     def run(batches):
         for rows in batches:
             keep, out = [], []
-            for n, (doc, places, item) in enumerate(zip(rows.column("words"), rows.column("places"), rows.column("item_words"), strict=True)):
-                doc, places, item = (x.values.to_numpy() for x in (doc, places, item))
+            for n, row in enumerate(zip(*(rows.column(c) for c in ("words", "places", "seeds", "item_words", "item_seeds", "times")), strict=True)):
+                doc, places, seeds, item, item_seeds, times = (x.values.to_numpy() for x in row)
+                reach = int(times[np.isin(item_seeds, seeds)].sum()) * min(min_match, len(item))  # words of the item in seeds that the document has, at most
+                if reach < coverage * len(item):
+                    continue
                 got = tiles(doc.view(np.uint64), item.view(np.uint64), min_match, places < 0)
                 covered = sum(k for _, _, k in got)
                 if covered and covered >= coverage * len(item):
@@ -237,16 +257,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     hits = kept.select("row", F.explode("seeds").alias("seed"))
     few = chars <= block_chars
+    keys = stored(rare_seeds(seeds, hits, min_match, coverage), "keys")
     if few:
-        met = hits.join(F.broadcast(seeds), "seed")
+        met = hits.join(F.broadcast(keys), "seed")
     else:
         salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-        met = hits.withColumn("salt", F.pmod("row", F.lit(SALTS))).join(seeds.withColumn("salt", salts), ["seed", "salt"])
-    size = F.least(F.first("n"), F.lit(min_match))
-    pairs = met.groupBy("row", "item").agg((F.sum("times") * size).alias("reach"), F.first("n").alias("n")).where(F.col("reach") >= coverage * F.col("n")).select("row", "item")
-    of = items.select("item", "item_id", F.col("words").alias("item_words"))
-    both = pairs.join(F.broadcast(of) if few else of, "item").join(kept.select("row", "doc_id", "words", "places"), "row")
-    return both.select("doc_id", "item_id", "words", "places", "item_words").mapInArrow(_tiled(min_match, coverage), schema)
+        met = hits.withColumn("salt", F.pmod("row", F.lit(SALTS))).join(keys.withColumn("salt", salts), ["seed", "salt"])
+    pairs = met.select("row", "item").distinct()
+    of = items.select("item", "item_id", F.col("words").alias("item_words"), F.col("seeds").alias("item_seeds"), "times")
+    both = pairs.join(F.broadcast(of) if few else of, "item").join(kept.select("row", "doc_id", "words", "places", "seeds"), "row")
+    return both.select("doc_id", "item_id", "words", "places", "seeds", "item_words", "item_seeds", "times").mapInArrow(_tiled(min_match, coverage), schema)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

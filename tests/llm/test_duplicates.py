@@ -213,3 +213,49 @@ def test_shard_arithmetic_beyond_doubles():
         assert 0 <= place - start
         assert start * shards // total == shard
         assert (start - 1) * shards // total == shard - 1
+
+
+def test_a_stray_row_in_a_large_bucket_is_linear(spark):
+    """20,000 linked rows and one other, a tenth of a block of others, or all apart."""
+    from pyspark.sql import functions as F
+
+    from fathom.llm import minhash
+
+    n = 20_000
+    named = spark.range(n).select(F.lit(5).cast("long").alias("key"), "id", F.lit(9).cast("long").alias("n"), F.lit(0).cast("long").alias("comp"))
+    stray = lambda k: spark.range(n, n + k).select(F.lit(5).cast("long").alias("key"), "id", F.lit(9).cast("long").alias("n"), F.col("id").alias("comp"))
+    blocks = -(-n // minhash.BLOCK_ROWS)
+    assert minhash.dealt(named).count() == 0
+    for k in (1, 100):
+        tasks = minhash.dealt(named.unionByName(stray(k))).cache()
+        assert tasks.count() == n + k * (1 + blocks)
+        met = tasks.where(f"comp = {n}").select("task").join(tasks.where("comp = 0").select("task", "id"), "task")
+        assert met.select("id").distinct().count() == n
+
+
+def test_common_lines_bring_no_pairs(spark):
+    """One line in every document and every item: only documents that hold an item meet it, and all of those are found."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from fathom.llm import decontaminate
+
+    draw = random.Random(3)
+    words = lambda k: [draw.choice("abcdefgh") + str(draw.randrange(4000)) for _ in range(k)]
+    line = words(12)
+    items = [words(44) + line + words(44) for _ in range(40)]
+    docs = [words(60) + line + words(60) for _ in range(300)]
+    for i, at in enumerate(range(0, 300, 15)):
+        docs[at] = words(20) + items[i][50:] + line + words(9) + items[i][:25]
+    frame = lambda rows: spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "k long, text string")
+    bench = frame(items).withColumnRenamed("k", "item_id")
+    seeds = bench.withColumn("item", F.col("item_id")).mapInArrow(decontaminate._item_seeds(5), "item_id long, item long, words array<long>, seeds array<long>, times array<long>")
+    seeds = seeds.select("item", F.size("words").alias("n"), F.explode(F.arrays_zip("seeds", "times")).alias("s")).select("item", "n", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times"))
+    every = frame(docs).withColumn("item_id", F.col("k")).withColumn("item", F.col("k")).mapInArrow(decontaminate._item_seeds(5), "item_id long, item long, words array<long>, seeds array<long>, times array<long>")
+    hits = every.select(F.col("item").alias("row"), F.explode("seeds").alias("seed"))
+    keys = decontaminate.rare_seeds(seeds, hits, 5, 0.5)
+    assert hits.join(keys, "seed").select("row", "item").distinct().count() <= 40
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(docs), bench, id_col="k").collect()}
+    assert got == {(at, i) for i, at in enumerate(range(0, 300, 15))}
+    assert got == {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(docs), bench, id_col="k", block_chars=10).collect()}
