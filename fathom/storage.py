@@ -28,10 +28,10 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read from there: its lineage is cut, and a lost executor costs nothing."""
+def stored(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
+    """df written to the shared folder and read from there: its lineage is cut, and a lost executor costs nothing. codec: Parquet's, if not the session's."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
