@@ -28,6 +28,8 @@ from .common import by_chunk, new_path, stored, table
 
 MAGIC = b"FTOK0001"
 IDS_PER_FILE = 4_000_000
+#: Range partitions at most; their number has seven digits in a file's name.
+MOST_PARTS = 8_192
 _SHIFTS = np.array([0, 2, 4, 6], dtype=np.uint8)
 #: The four lengths that each control byte stands for.
 LENGTHS = (((np.arange(256)[:, None] >> _SHIFTS) & 3) + 1).astype(np.int64)
@@ -87,7 +89,7 @@ def put(path: str, blob: bytes) -> None:
     store.move(own, inner)
 
 
-def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, end_id: int = tokens.END_ID, ids_per_file: int = IDS_PER_FILE) -> None:
+def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, end_id: int = tokens.END_ID, ids_per_file: int = IDS_PER_FILE, most_parts: int = MOST_PARTS) -> None:
     """Encodes the documents and writes their ids to files under path (a URI that driver and executors share)."""
     from pyarrow import fs
 
@@ -102,7 +104,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         data, ends = ids.astype(kind).tobytes(), (2 * np.cumsum(n)).tolist()
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([data[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary()), pa.array(n, pa.int64())], names=["doc_id", "ids", "n"])
 
-    coded = stored(docs.mapInArrow(by_chunk(encode), "doc_id long, ids binary, n long"), "ids")
+    coded = stored(docs.mapInArrow(by_chunk(encode), "doc_id long, ids binary, n long"), "ids", "zstd")
 
     def count(batches):
         total = np.zeros(1 << 16, dtype=np.int64)
@@ -126,7 +128,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         def flush():
             nonlocal number, size
             ranks = rank[np.concatenate(held)]
-            put(f"{path}/{part:07d}-{number:05d}.tok", file_bytes(ids, np.array(n), ranks))
+            put(f"{path}/{part:07d}-{number:09d}.tok", file_bytes(ids, np.array(n), ranks))
             number, size = number + 1, 0
             ids.clear(), n.clear(), held.clear()
 
@@ -143,7 +145,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], names=["part"])
 
     total = coded.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, math.ceil(total / ids_per_file))
+    parts = min(most_parts, max(1, math.ceil(total / ids_per_file)))  # beyond, a part writes several files
     ordered = coded.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
     ordered.mapInArrow(write, "part int").write.format("noop").mode("overwrite").save()
 
@@ -176,13 +178,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def with_starts(rows: DataFrame) -> DataFrame:
     """Adds start: the ids of all documents before, by the totals of files, summed up within groups of files and then over the groups.
 
-    A file's name begins with its part's seven digits; those of 1,000 parts make a group, so no window takes more than 10,000 groups
-    or the files of 1,000 parts.
+    A file's name begins with its part's seven digits; the files of a part make a group, so no window takes more than MOST_PARTS groups
+    or the files of one part.
     """
-    files = stored(rows.groupBy("file").agg(F.sum("n_tokens").alias("total")).withColumn("group", F.substring("file", 1, 4)), "files")
+    files = stored(rows.groupBy("file").agg(F.sum("n_tokens").alias("total")).withColumn("group", F.substring("file", 1, 7)), "files")
     before = lambda w: F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = files.groupBy("group").agg(F.sum("total").alias("total")).select("group", before(Window.orderBy("group")).alias("group_before"))
-    placed = files.select("file", "group", before(Window.partitionBy("group").orderBy("file")).alias("in_group")).join(F.broadcast(groups), "group")  # 10,000 groups at most
+    placed = files.select("file", "group", before(Window.partitionBy("group").orderBy("file")).alias("in_group")).join(F.broadcast(groups), "group")  # MOST_PARTS groups at most
     earlier = placed.select("file", (F.col("group_before") + F.col("in_group")).alias("earlier"))
     return rows.join(earlier, "file").withColumn("start", F.col("earlier") + F.col("before")).drop("earlier", "before")
 

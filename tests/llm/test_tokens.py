@@ -78,3 +78,15 @@ def test_token_files_round_trip(spark, clashing):
     empty = new_path(spark, "t")
     token_files.write_token_files(docs.limit(0), empty)
     assert token_files.with_starts(token_files.read_token_files(spark, empty)).count() == 0
+
+
+def test_token_files_of_few_parts(spark):
+    """Three range partitions that write more than twenty files: their order is that of the documents."""
+    rows = [(i, f"word{i} " * (i % 7 + 1)) for i in range(120)]
+    path = new_path(spark, "t")
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, ids_per_file=30, most_parts=3)
+    got = token_files.with_starts(token_files.read_token_files(spark, path)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == list(range(120))
+    files = {r.file for r in got}
+    assert len(files) > 20 and len({f[:7] for f in files}) <= 3
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
