@@ -84,6 +84,65 @@ def in_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().join(levels(nodes, edges), "id", "left_anti")
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, comp) of the nodes of edges (src, dst): comp is the greatest node that a node reaches and is reached by (itself, if no other).
+
+    Nodes without edges in or out among those left are components of their own and go first. Then each node takes the greatest node that
+    reaches it as its colour, and those of a colour that reach its own node are a component. Both walks go on until nothing
+    changes, so rounds follow the longest shortest path; a round is stored, and the one before is deleted. Null ends are left out.
+    """
+    left = stored(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct(), "edges")
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).where("id IS NOT NULL").distinct()
+    done = []
+    while True:
+        while True:  # trim
+            ends = left.select(F.col("src").alias("id"), F.lit(1).alias("out")).union(left.select("dst", F.lit(0)))
+            both = stored(ends.groupBy("id").agg((F.max("out") * (1 - F.min("out"))).alias("both")).where("both = 1").select("id"), "inner")
+            inner = left.join(both.withColumnRenamed("id", "src"), "src", "left_semi").join(both.withColumnRenamed("id", "dst"), "dst", "left_semi")
+            before, left = left, stored(inner.select("src", "dst"), "edges")
+            gone = before.count() - left.count()
+            forget(before)
+            forget(both)
+            if not gone:
+                break
+        if left.isEmpty():
+            break
+        colour = stored(left.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")), "colour")
+        while True:
+            reached = left.join(colour, left.src == colour.id).groupBy("dst").agg(F.max("colour").alias("near"))
+            new = stored(colour.join(reached, colour.id == reached.dst, "left").select("id", F.greatest("colour", "near").alias("colour"), (F.col("near") > F.col("colour")).alias("moved")), "colour")
+            forget(colour)
+            colour = new.select("id", "colour")
+            if not new.where("moved").limit(1).count():
+                break
+        # Within a colour, from its own node against the edges.
+        inside = left.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("cd")), "dst")
+        inside = stored(inside.where("cs = cd").select("src", "dst"), "inside")
+        found = stored(colour.where("id = colour"), "found")
+        n = found.count()
+        while True:
+            back = inside.join(found.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "colour")
+            more = stored(found.union(back).distinct(), "found")
+            forget(found)
+            found, was, n = more, n, more.count()
+            if n == was:
+                break
+        done.append(found)
+        rest = left.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti")
+        left = stored(rest.select("src", "dst"), "edges")
+    for found in done:
+        nodes = nodes.join(found.withColumnRenamed("colour", "_c"), "id", "left").withColumn("comp", F.coalesce("_c", *(["comp"] if "comp" in nodes.columns else []))).drop("_c")
+    return nodes.select("id", F.coalesce("comp" if done else F.lit(None), "id").alias("comp"))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(id, comp) of the nodes that lie on a cycle themselves: components of several nodes, and nodes with an edge to themselves."""
+    comps = stored(strong_components(edges), "components")
+    large = comps.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").select("comp")
+    own = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
+    return comps.join(large, "comp", "left_semi").select("id", "comp").union(comps.join(own, "id", "left_semi").select("id", "comp")).distinct()
+
+
 def version_range(spec: Column, zero_minor: bool = True) -> Column:
     """Half-open (low, high) of ^1.2.3, ~1.2.3, >=1.2.3 or 1.2.3. ^0.0.3 allows nothing but itself, or all of 0.0 if not zero_minor."""
     op, v = F.regexp_extract(spec, r"^(\^|~|>=)?", 1), scalars.semver(F.regexp_replace(spec, r"^(\^|~|>=)", ""))
