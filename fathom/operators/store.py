@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.functions import text
+from fathom.operators import similarity
 from fathom.storage import small, stored
 
 # Fixed values.
@@ -145,3 +147,21 @@ def backfill_pending(rows: DataFrame, model: str, tokens: Column, budget: int |
     if budget is None or total > budget:
         raise ValueError(f"{total} tokens are to be embedded, the budget is {budget}")
     return pending
+
+
+def write_log(writes: DataFrame, duplicate: float = 0.6) -> DataFrame:
+    """(id, op, other_id, similarity) of a finished log of writes (id, project, text) in the order of ids: SKIP for a row that is as alike as `duplicate`, by
+    trigrams, to a row of its project that was added before (the most alike one, or the least id of them), else ADD.
+
+    What the stream of writes decides row by row is here found from all pairs of alike rows, settled in rounds, so no project is walked through by one task.
+    """
+    project = F.coalesce("project", F.lit(""))
+    grams = F.transform(text.trigrams(F.coalesce("text", F.lit(""))), lambda t: F.xxhash64(project, t))  # of different projects, so no pair
+    rows = stored(writes.select("id", grams.alias("tokens")), "writes")
+    pairs = stored(similarity.similar_pairs(rows, duplicate), "pairs")
+    leaders = similarity.greedy_leaders(rows.select("id"), pairs)
+    kept = leaders.where("id = leader").select("id")
+    skipped = pairs.join(leaders.where("id <> leader").select(F.col("id").alias("b")), "b", "left_semi").join(kept.withColumnRenamed("id", "a"), "a", "left_semi")
+    best = skipped.groupBy(F.col("b").alias("id")).agg(F.min(F.struct((-F.col("similarity")).alias("minus"), F.col("a").alias("other"))).alias("best"))
+    joined = writes.select("id").join(best, "id", "left")
+    return joined.select("id", F.when(F.col("best").isNull(), "ADD").otherwise("SKIP").alias("op"), F.col("best.other").alias("other_id"), F.round(-F.col("best.minus"), 4).alias("similarity"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathom.operators import graph, running
+from fathom.operators import graph, running, store
 
 from .base import query, table
 from .relations import _supply
+from .search import _TRI
 
 _TOOL = "^[AEIOUÉÈÊ]"
 
@@ -58,3 +59,19 @@ _EDGES = "pairs AS (SELECT DISTINCT l_partkey AS k, 'p' || l_partkey AS p, 's' |
 def strong_components(spark, d):
     """Strongly connected components of parts and suppliers; every third part has edges back."""
     return graph.strong_components(_supply(spark, d)[1])
+
+
+@query(
+    f"""WITH RECURSIVE s AS (SELECT p_partkey AS id, p_brand AS project, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, {_TRI.format(c="(p_name || ' ' || p_partkey % 40)")} AS t FROM part),
+near AS (SELECT y.id, list(x.id) AS earlier FROM s x JOIN s y ON x.project = y.project AND x.id < y.id AND len(list_intersect(x.t, y.t)) >= 0.6 * len(list_distinct(list_concat(x.t, y.t))) GROUP BY y.id),
+rows_ AS (SELECT s.*, coalesce(earlier, []) AS earlier FROM s LEFT JOIN near USING (id)),
+r(project, n, kept) AS (SELECT DISTINCT project, 0::BIGINT, []::BIGINT[] FROM s UNION ALL SELECT r.project, p.n, CASE WHEN len(list_intersect(p.earlier, r.kept)) > 0 THEN r.kept ELSE list_append(r.kept, p.id) END FROM r JOIN rows_ p ON p.project = r.project AND p.n = r.n + 1),
+kept AS (SELECT unnest(kept) AS id FROM r QUALIFY row_number() OVER (PARTITION BY project ORDER BY n DESC) = 1),
+best AS (SELECT y.id, x.id AS other_id, len(list_intersect(x.t, y.t)) / CAST(len(list_distinct(list_concat(x.t, y.t))) AS DOUBLE) AS similarity FROM (SELECT id, unnest(earlier) AS e FROM rows_ WHERE id NOT IN (SELECT id FROM kept)) y0 JOIN s y USING (id) JOIN s x ON x.id = y0.e WHERE x.id IN (SELECT id FROM kept) QUALIFY row_number() OVER (PARTITION BY y.id ORDER BY similarity DESC, x.id) = 1)
+SELECT id, CASE WHEN other_id IS NULL THEN 'ADD' ELSE 'SKIP' END AS op, other_id, round(similarity, 4) AS similarity FROM s LEFT JOIN best USING (id)"""
+)
+def memory_writes(spark, d):
+    """A finished log of writes, worked off as the stream does it: a duplicate of a row that was kept before in its project is skipped."""
+    name = F.concat_ws(" ", "p_name", (F.col("p_partkey") % 40).cast("string"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("project"), name.alias("text"))
+    return store.write_log(rows, 0.6)
