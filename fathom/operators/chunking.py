@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import text as words
-from fathom.storage import small
+from fathom.operators import scan
 
 MOST_CHARS = 4000
 CHUNK = "path string, label string, start_line int, end_line int, text string"
@@ -138,8 +138,8 @@ def described(chunks: DataFrame, most: int = 240) -> DataFrame:
 
 
 def findings(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows (rule_id, domain, severity, path, dedup_key) of rules (rule_id, domain, severity, pattern) against files."""
-    hits = files.join(small(rules), F.expr("text RLIKE pattern"))
+    """Rows (rule_id, domain, severity, path, dedup_key) of rules (rule_id, domain, severity, pattern) against files (path, text)."""
+    hits = scan.matches(files.select("path", "text"), rules)
     return hits.select("rule_id", "domain", "severity", "path", F.concat_ws(":", "rule_id", F.sha1(F.col("path").cast("binary"))).alias("dedup_key"))
 
 

@@ -1,10 +1,10 @@
-"""Running budgets over conversations, batches of pending rows, and cycles of a graph."""
+"""Running budgets over conversations, batches of pending rows, cycles of a graph, finished logs of writes, and many patterns over all texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathom.operators import graph, running, store
+from fathom.operators import graph, running, scan, store
 
 from .base import query, table
 from .relations import _supply
@@ -75,3 +75,25 @@ def memory_writes(spark, d):
     name = F.concat_ws(" ", "p_name", (F.col("p_partkey") % 40).cast("string"))
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("project"), name.alias("text"))
     return store.write_log(rows, 0.6)
+
+
+_PHRASE = r"list_slice(regexp_extract_all(text, '[A-Za-z]+'), {a}, {b})"
+
+
+@query(rf"""WITH rules AS (SELECT item_id AS rule_id, array_to_string({_PHRASE.format(a=1, b=3)}, '\W+') AS pattern FROM benchmark UNION ALL SELECT item_id + 1000000, '(?i)' || array_to_string({_PHRASE.format(a=2, b=3)}, '[^a-z]+') || '|' || array_to_string({_PHRASE.format(a=6, b=8)}, ' ') FROM benchmark)
+SELECT doc_id, rule_id FROM documents JOIN rules ON regexp_matches(text, pattern)""")
+def phrase_findings(spark, d):
+    """Two rules for each benchmark item, from words of its text, over all documents."""
+    words = lambda a, n: F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), a, n)
+    items = table(spark, d, "benchmark")
+    first = items.select(F.col("item_id").alias("rule_id"), F.array_join(words(1, 3), r"\W+").alias("pattern"))
+    second = items.select((F.col("item_id") + 1_000_000).alias("rule_id"), F.concat(F.lit("(?i)"), F.array_join(words(2, 2), "[^a-z]+"), F.lit("|"), F.array_join(words(6, 3), " ")).alias("pattern"))
+    return scan.matches(table(spark, d, "documents").select("doc_id", "text"), first.unionByName(second)).select("doc_id", "rule_id")
+
+
+@query(r"""WITH files AS (SELECT 'd' || doc_id % 9 || '/' || regexp_extract(text, '[A-Za-z]{3,}') || '.md' AS path, text FROM documents), asked AS (SELECT DISTINCT path, regexp_extract(path, '/([^/]*)\.md$', 1) AS name FROM files),
+words AS (SELECT DISTINCT path AS src, unnest(regexp_extract_all(text, '[\p{L}\p{N}_-]+')) AS name FROM files) SELECT DISTINCT path FROM asked a WHERE NOT EXISTS (SELECT 1 FROM words w WHERE w.name = a.name AND w.src <> a.path)""")
+def unreferenced_files(spark, d):
+    """Files, named by the first word of their text, whose name no other file has as a word."""
+    path = F.concat(F.lit("d"), (F.col("doc_id") % 9).cast("string"), F.lit("/"), F.regexp_extract("text", "[A-Za-z]{3,}", 0), F.lit(".md"))
+    return scan.unreferenced(table(spark, d, "documents").select(path.alias("path"), "text")).distinct()

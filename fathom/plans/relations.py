@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fathom.operators import analytics, evaluate, graph, store
+from fathom.operators import analytics, evaluate, graph, scan, store
 from fathom.operators import tasks as task_ops
 
 from .base import query, table
@@ -172,7 +172,7 @@ def set_union(spark, d):
 @query("SELECT page_id, max_by(r.kind, r.specificity * 100 + r.prio) AS kind FROM pages p JOIN (VALUES ('^https?://blog\\.', 'blog', 2, 1), ('^https?://', 'web', 0, 1), ('/de/', 'german', 1, 5), ('[?&]page=', 'listing', 1, 9)) r(pattern, kind, specificity, prio) ON regexp_matches(p.url, r.pattern) GROUP BY page_id")
 def pattern_routing(spark, d):
     rules = spark.createDataFrame([(r"^https?://blog\.", "blog", 2, 1), ("^https?://", "web", 0, 1), ("/de/", "german", 1, 5), ("[?&]page=", "listing", 1, 9)], "pattern string, kind string, specificity int, prio int")
-    hits = table(spark, d, "pages").join(F.broadcast(rules), F.expr("url RLIKE pattern"))  # a handful of rules
+    hits = scan.matches(table(spark, d, "pages").select("page_id", "url"), rules, "url")
     return hits.groupBy("page_id").agg(F.max_by("kind", F.struct("specificity", "prio")).alias("kind"))
 
 
