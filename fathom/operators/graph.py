@@ -65,6 +65,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: in
     return rank.select("id", "rank")
 
 
+def hubs(ranks: DataFrame, nodes: DataFrame, top: int = 20) -> DataFrame:
+    """(file, pagerank) of the files whose nodes (id, file) have most rank (id, rank) together."""
+    sums = ranks.join(nodes.select("id", F.coalesce("file", F.lit("unknown")).alias("file")), "id").groupBy("file").agg(F.round(F.sum("rank"), 6).alias("pagerank"))
+    return sums.orderBy(F.desc("pagerank"), "file").limit(top)
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Topological levels: (id, level) of the nodes (id) whose dependencies (src needs dst) are all on lower levels; a node in or behind a cycle has none."""
     left = stored(nodes.select("id").distinct(), "left")

@@ -100,6 +100,22 @@ def write_ops(writes: DataFrame, near: DataFrame, threshold: float) -> DataFrame
     return writes.join(top, "query_id", "left").select("query_id", F.when(F.col("existing_id").isNotNull(), "NOOP").otherwise("ADD").alias("op"), "existing_id", "similarity")
 
 
+def reranked_per_query(found: DataFrame, queries: DataFrame, texts: DataFrame, limit: int = 10, chars: int = 500) -> DataFrame:
+    """(query_id, id, score_composite, rerank_score, score, rank): each query's best 2 * limit rows (query_id, id, score), of which the `limit` that are most
+    relevant get 4 * relevance on top; then the best `limit`. Relevance is the share of the query's words (query_id, query) in the first `chars` characters of
+    the text (id, text), which is what a reranker is sent; the others keep their score and have no rerank_score."""
+    window = best_per_query(found.select("query_id", "id", "score"), 2 * limit).drop("rank")
+    words = text.white_tokens(F.coalesce("query", F.lit("")))
+    asked = queries.select("query_id", words.alias("words"))
+    rows = window.join(texts.select("id", F.left(F.coalesce("text", F.lit("")), F.lit(chars)).alias("text")), "id").join(asked, "query_id")
+    relevance = F.size(F.array_intersect("words", text.white_tokens(F.col("text")))) / F.greatest(F.size("words"), F.lit(1))
+    rows = rows.withColumn("relevance", relevance)
+    chosen = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), F.desc("score"), "id")) <= limit
+    rows = rows.withColumn("rerank_score", F.when(chosen, F.round("relevance", 4)))
+    final = F.when(F.col("rerank_score").isNotNull(), F.round(F.col("score") + RERANK_BLEND * F.col("relevance"), 2)).otherwise(F.col("score"))
+    return best_per_query(rows.select("query_id", "id", F.col("score").alias("score_composite"), "rerank_score", final.alias("score")), limit)
+
+
 def searchable(memory: DataFrame, exclude: tuple[str, ...] = ("task_event", "rpetd_phase")) -> DataFrame:
     """Rows that are valid, no test's, and of a source that searches show."""
     return memory.where("invalid_s IS NULL AND (project_id IS NULL OR project_id <> '__test__')").where(~F.coalesce(F.col("source"), F.lit("agent")).isin(*exclude))

@@ -165,3 +165,14 @@ def write_log(writes: DataFrame, duplicate: float = 0.6) -> DataFrame:
     best = skipped.groupBy(F.col("b").alias("id")).agg(F.min(F.struct((-F.col("similarity")).alias("minus"), F.col("a").alias("other"))).alias("best"))
     joined = writes.select("id").join(best, "id", "left")
     return joined.select("id", F.when(F.col("best").isNull(), "ADD").otherwise("SKIP").alias("op"), F.col("best.other").alias("other_id"), F.round(-F.col("best.minus"), 4).alias("similarity"))
+
+
+def patched(rows: DataFrame, patches: DataFrame, allowed: dict[str, list[str] | None], key: str = "id") -> DataFrame:
+    """rows after patches (key, field, value, at, seq): of each field the last patch counts. Fields that are not in allowed, and values that a field
+    doesn't allow (None: any), are refused, as are patches of rows that aren't there. A null value is a value where any is allowed."""
+    fine = F.lit(False)
+    for name, values in allowed.items():
+        fine |= (F.col("field") == name) & (F.lit(True) if values is None else F.coalesce(F.col("value").isin(values), F.lit(False)))
+    last = patches.where(fine).groupBy(F.col(key).alias("_key")).pivot("field", sorted(allowed)).agg(F.max_by(F.struct("value"), F.struct("at", "seq")))
+    out = rows.join(last.select("_key", *[F.col(n).alias(f"_new_{n}") for n in sorted(allowed)]), rows[key] == F.col("_key"), "left")
+    return out.select(*[F.when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}.value")).otherwise(rows[c]).alias(c) if c in allowed else rows[c] for c in rows.columns])
