@@ -84,7 +84,7 @@ def test_similarities(spark):
     assert text.sanitized_query('a [b]  "c"^~') == "a b c"
 
 
-def test_preamble(spark):
+def test_preamble_first(spark):
     assert one(spark, scalars.stripped_preamble(F.lit("Sure! Here is the answer: The cat."))) == "The cat."
 
 

@@ -99,7 +99,7 @@ def test_greedy_leaders(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
 
 
-def test_similar_pairs_brute(spark):
+def test_similar_pairs_brute_first(spark):
     import itertools
     import random
 
@@ -110,7 +110,7 @@ def test_similar_pairs_brute(spark):
     assert {(r.a, r.b) for r in got.collect()} == want
 
 
-def test_task_rules(spark):
+def test_task_rules_first(spark):
     t = spark.createDataFrame([(1, "pending", "critical", 5, 1, "a", [2, 99], 0, None), (2, "in_progress", "low", 1, 1, "a", [], 0, None), (3, "failed", "low", 3, 3, "a", [], 0, 1000), (4, "pending", "low", None, None, "b", [1, 1], 0, None)], "id long, status string, priority string, importance int, urgency int, assigned_to string, dependencies array<long>, created_s long, due_s long")
     scores = {r.id: r.score for r in tasks.scored(t, 1000).collect()}
     assert scores == {1: 2.0 + 0.3 + 0.6, 2: 0.4 + 0.3 + 0.3, 3: 1.2 + 1.5, 4: 1.2 + 0.9}
