@@ -1,11 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words become symbols: insult, threat, target (a person addressed or spoken of), negation, report (a verb
-of saying) or other. Five transducers read a clause. The first one reads it from its end and marks insults and
+of saying) or other. Six transducers read a clause. The phrase transducer makes insults and threats of phrases whose words say
+nothing alone ("hope you die", "waste of space"), with one other word between at most. The second one reads from the clause's end and marks insults and
 threats that a target follows ("idiots like you"); the others read on from its start: negation marks what stands
 in its scope, report marks what is told of others, target marks what follows it, and the pattern transducer
-names the matched pattern. These four are composed into one transducer. Both machines run over each clause that
-holds an insult or a threat; others match nothing. Arcs have weights: a mark counts for less the farther its
+names the matched pattern. These four are composed into one transducer. The machines run over each clause that
+holds an insult, a threat or two words of phrases; others match nothing. Arcs have weights: a mark counts for less the farther its
 trigger stands (NEARNESS). A match adds the weight of its word times that of its arcs to its pattern; a
 document's score is a logistic function of its patterns' sums. So a negated or reported insult counts for less
 than one that is aimed at somebody, as far as the labels say so: the patterns' weights are fitted, from the
@@ -59,6 +60,18 @@ REPORTS = (
     "said says say saying wrote writes written claimed claims alleged quoted quotes called calls reported reports stated told testified recounted sagte sagt schrieb schreibt behauptete behauptet nannte zitierte berichtete "
     "dit disait écrit affirme affirmait cité raconte appelait dijo dice decía escribió afirma afirmó citó contó llamó"
 ).split()
+PHRASE_THREATS = (
+    "hope you die|hope you suffer|hope you rot|deserve to die|deserves to die|should be dead|find where you live|know where you live|come for you|coming for you|come after you|watch your back|make you pay|make you suffer|end your life|put you down|wipe you out|blow you up|sleep with one eye open|you are dead|your days are numbered|"
+    "verdienst den tod|weiß wo du wohnst|wissen wo du wohnst|mach dich fertig|mache dich fertig|hoffe du stirbst|du bist tot|pass auf dich auf wenn|wirst es bereuen|"
+    "mérite de crever|mérites de crever|sais où tu habites|savons où tu habites|vais te faire payer|espère que tu crèves|tu es mort|vas le regretter|"
+    "mereces morir|sé dónde vives|sabemos dónde vives|vas a pagar|ojalá te mueras|estás muerto|te vas a arrepentir"
+).split("|")
+PHRASE_INSULTS = (
+    "waste of space|waste of air|piece of work you|sack of lies|shut your mouth|go to hell|nobody likes you|no one likes you|good for nothing|not worth the air|sub human|brain dead|lower than dirt|crawl back under|"
+    "halt die klappe|halt dein maul|geh zur hölle|nichts im kopf|zu nichts zu gebrauchen|"
+    "ferme ta gueule|va en enfer|bon à rien|bonne à rien|rien dans la tête|"
+    "cierra la boca|vete al infierno|bueno para nada|no vales nada|hijo de mala"
+).split("|")
 _CLAUSE_END = splitter(b".;:!?\n\r")
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -94,6 +107,38 @@ class Transducer:
         return Transducer(start, arcs)
 
 
+#: What a phrase with another word between its own weighs.
+LOOSE = 0.8
+_PHRASES = {tuple(p.split()): kind for kind, phrases in ((THREAT, PHRASE_THREATS), (INSULT, PHRASE_INSULTS)) for p in phrases}
+#: Words of phrases, numbered from 1; 0 is any other word.
+PHRASE_WORDS = sorted({w for p in _PHRASES for w in p})
+_NUMBER = {w: i + 1 for i, w in enumerate(PHRASE_WORDS)}
+
+
+def phrase_machine() -> Transducer:
+    """Reads (class, number of the phrase word) and writes classes; the last word of a phrase becomes an insult or a threat.
+
+    A state is the longest beginning of a phrase that has been read, and whether another word has been passed over in it.
+    """
+    whole = {tuple(_NUMBER[w] for w in p): kind for p, kind in _PHRASES.items()}
+    begun = {p[:k] for p in whole for k in range(len(p) + 1)}
+    arcs: dict = {}
+    for prefix in begun:
+        for passed in (False, True) if prefix else (False,):
+            for word in range(len(PHRASE_WORDS) + 1):
+                if not word:
+                    then, kind = ((prefix, True) if prefix and not passed else ((), False)), None
+                else:
+                    read = (*prefix, word)
+                    longest = next(read[i:] for i in range(len(read) + 1) if read[i:] in begun)
+                    on = len(longest) == len(read)
+                    kind = next((whole[longest[i:]] for i in range(len(longest)) if longest[i:] in whole and (on or not passed or i >= len(longest) - 1)), None)
+                    then = (longest, passed and on)
+                for c in range(6):
+                    arcs[(prefix, passed), (c, word)] = (then, (c if kind is None or c in (INSULT, THREAT) else kind,), LOOSE if passed and kind is not None else 1.0)
+    return Transducer(((), False), arcs)
+
+
 # Symbols are tuples: the word's class, then the marks that transducers put on it.
 _BASE = [(c,) for c in range(6)]
 
@@ -146,6 +191,7 @@ def grammar() -> tuple[Transducer, Transducer]:
 
 
 GRAMMAR = grammar()
+PHRASES = phrase_machine()
 
 
 def run(machine: Transducer, symbols: list) -> tuple[list, list[float]]:
@@ -157,9 +203,13 @@ def run(machine: Transducer, symbols: list) -> tuple[list, list[float]]:
     return out, weights
 
 
-def match(symbols: list[int], weights: list[float], machines: tuple[Transducer, Transducer] = GRAMMAR) -> dict[str, float]:
-    """The patterns of one clause, with the weights of their words."""
+def match(symbols: list[int], weights: list[float], machines: tuple[Transducer, Transducer] = GRAMMAR, words: list[int] | None = None) -> dict[str, float]:
+    """The patterns of one clause, with the weights of their words. words: the numbers of phrase words; none are looked for without."""
     back, ahead = machines
+    if words is not None:
+        said, arcs = run(PHRASES, list(zip(symbols, words, strict=True)))
+        weights = [w if kind == c else a for (kind,), c, w, a in zip(said, symbols, weights, arcs, strict=True)]
+        symbols = [kind for (kind,) in said]
     said, first = run(back, [(s,) for s in reversed(symbols)])
     said, then = run(ahead, said[::-1])
     out: dict[str, float] = {}
@@ -183,14 +233,17 @@ class Lexicon:
             closed |= dict.fromkeys(_word_hash(words).tolist(), kind)
         self.closed = np.array(sorted(closed), dtype=np.uint64)
         self.kind = np.array([closed[h] for h in self.closed.tolist()], dtype=np.int8)
+        phrase = {h: _NUMBER[w] for w in PHRASE_WORDS for h in _word_hash([w]).tolist()}
+        self.phrase = np.array(sorted(phrase), dtype=np.uint64)
+        self.number = np.array([phrase[h] for h in self.phrase.tolist()])
         mined = {(0, h): 1.0 for h in _word_hash(INSULTS).tolist()} | mined  # a mined weight replaces the fixed one
         self.stems = {}
         for size in sorted({s for s, _ in mined}):
             keys = sorted(h for s, h in mined if s == size)
             self.stems[size] = np.array(keys, dtype=np.uint64), np.array([mined[size, h] for h in keys])
 
-    def symbols(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's symbol and weight."""
+    def symbols(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's symbol and weight, and its number as a word of phrases."""
         h = w.hashes()
         at = np.minimum(np.searchsorted(self.closed, h), len(self.closed) - 1)
         out = np.where(self.closed[at] == h, self.kind[at], OTHER).astype(np.int8)
@@ -203,7 +256,8 @@ class Lexicon:
             hit = keys[at] == g
             out[long[hit]] = INSULT
             weight[long[hit]] = np.maximum(weight[long[hit]], worth[at[hit]])
-        return out, weight
+        at = np.minimum(np.searchsorted(self.phrase, h), len(self.phrase) - 1)
+        return out, weight, np.where(self.phrase[at] == h, self.number[at], 0)
 
 
 def _texts(texts: list) -> Words:
@@ -216,15 +270,17 @@ def patterns(texts: list, lexicon: Lexicon) -> np.ndarray:
     out = np.zeros((len(texts), len(PATTERNS)))
     if not len(w.starts):
         return out
-    symbol, weight = lexicon.symbols(w)
+    symbol, weight, word = lexicon.symbols(w)
     clause = np.cumsum(_CLAUSE_END[w.data])[w.starts]
     new = np.concatenate([[True], (clause[1:] != clause[:-1]) | (w.doc[1:] != w.doc[:-1])])
     first = np.flatnonzero(new)
     of = np.cumsum(new) - 1
     last = np.concatenate([first[1:], [len(symbol)]])
-    for c in np.unique(of[(symbol == INSULT) | (symbol == THREAT)]).tolist():
+    phrased = np.add.reduceat((word > 0).astype(np.int64), first) > 1
+    marked = np.add.reduceat(((symbol == INSULT) | (symbol == THREAT)).astype(np.int64), first) > 0
+    for c in np.flatnonzero(marked | phrased).tolist():
         a, b = first[c], last[c]
-        for name, x in match(symbol[a:b].tolist(), weight[a:b].tolist()).items():
+        for name, x in match(symbol[a:b].tolist(), weight[a:b].tolist(), words=word[a:b].tolist() if phrased[c] else None).items():
             out[w.doc[a], _NAMES.index(name)] += x
     return out
 

@@ -316,3 +316,27 @@ def test_secrets_after_an_observation(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     clean = corpus_pipeline.without_secrets(spark, docs, sf).where(F.col("text").contains(secrets.MARK))
     assert clean.count() == found.select("doc_id").distinct().count()
+
+
+def test_toxic_phrases():
+    """Phrases whose words say nothing alone, in order and with one word between at most; then negation, report and target work on them as on words."""
+    plain = toxicity.Lexicon({})
+    names = list(toxicity.PATTERNS)
+    sums = lambda text: {n: x for n, x in zip(names, toxicity.patterns([text], plain)[0].tolist(), strict=True) if x}
+    assert set(sums("I hope you die")) == {"threat_at"}
+    assert set(sums("find where you live")) == {"threat_at"}
+    assert sums("hope you all die")["threat_at"] == pytest.approx(0.8 * sums("hope you die")["threat_at"])
+    for text in ("hope. you die", "hope that all of you may die", "die you hope", "you live", "waste of time and space", "", "where you live"):
+        assert sums(text) == {}, text
+    assert set(sums("such a waste of space")) == {"insult"}
+    assert set(sums("he said we know where you live")) == {"reported"}
+    assert set(sums("they never should be dead")) == {"denied"}
+    assert set(sums("ich weiß wo du wohnst")) == {"threat_at"}
+    # Every phrase is found in running words; without its last word it isn't.
+    for phrase, kind in toxicity._PHRASES.items():
+        number = lambda words: [toxicity._NUMBER.get(w, 0) for w in words]
+        for words in (phrase, ("zz", *phrase, "zz"), (phrase[0], *phrase)):
+            said = [k for (k,) in toxicity.run(toxicity.PHRASES, [(toxicity.OTHER, n) for n in number(words)])[0]]
+            assert kind in said, words
+        short = [k for (k,) in toxicity.run(toxicity.PHRASES, [(toxicity.OTHER, n) for n in number(phrase[:-1])])[0]]
+        assert kind not in short or any(phrase[:-1][i : i + len(q)] == q for q in toxicity._PHRASES for i in range(len(phrase)))
