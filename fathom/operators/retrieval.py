@@ -190,3 +190,18 @@ def reranked(found: DataFrame, query: str, relevance: Column | None = None, text
     words = text.white_tokens(F.lit(query))
     rel = relevance if relevance is not None else F.size(F.array_intersect(words, text.white_tokens(F.col(text_col)))) / F.greatest(F.size(words), F.lit(1))
     return found.orderBy(F.desc("score"), "id").limit(take).withColumn("score", F.col("score") + RERANK_BLEND * rel).orderBy(F.desc("score"), "id").limit(top)
+
+
+def detected_domains(queries: DataFrame, vocabulary: DataFrame, first: list[str]) -> DataFrame:
+    """(query_id, domain, overlap): the domain of vocabulary (domain, keyword, place) that shares most different words of three letters or more with the query; 'unknown' where none does.
+
+    A domain's own name is one of its words. Of domains that tie, those in `first` come before others, in that order, and the others by their place.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("query", F.lit(""))), F.lit(r"[A-Za-z0-9_]{3,}"), F.lit(0)))).alias("word"))
+    places = vocabulary.groupBy("domain").agg(F.min("place").alias("place"))
+    words = vocabulary.select("domain", F.lower("keyword").alias("word")).union(places.select("domain", F.lower("domain"))).distinct()
+    shared = asked.join(words, "word").groupBy("query_id", "domain").agg(F.count("*").alias("overlap")).join(places, "domain")
+    order = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, d in enumerate(first) for x in (d, i)]), F.col("domain")), F.lit(len(first)))
+    best = shared.groupBy("query_id").agg(F.min(F.struct((-F.col("overlap")).alias("minus"), order.alias("first"), "place", "domain")).alias("best"))
+    rows = queries.select("query_id").join(best, "query_id", "left")
+    return rows.select("query_id", F.coalesce("best.domain", F.lit("unknown")).alias("domain"), F.coalesce(-F.col("best.minus"), F.lit(0)).cast("long").alias("overlap"))

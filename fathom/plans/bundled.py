@@ -146,3 +146,26 @@ def context_versions(spark, d):
     n = F.col("doc_id").cast("string")
     version = condensed.context_version(F.concat(F.lit("T"), n), F.col("text"), F.array("source", "lang"), F.lit(None).cast("string"), F.array().cast("array<string>"), F.array(F.concat(F.lit("f"), n, F.lit(".md"))), F.array("lang"))
     return table(spark, d, "documents").select("doc_id", version.alias("version"))
+
+
+_DOMAINS = ["security", "database", "testing", "caching", "frontend", "unmapped"]
+
+
+@query(
+    f"""WITH {_BM25}, q AS (SELECT query_id, array_to_string(words, ' ') AS query FROM questions), v AS (SELECT (['{"','".join(_DOMAINS)}'])[doc_id % 6 + 1] AS domain, unnest(regexp_extract_all(text, '\\w+')[1:40]) AS word, doc_id AS place FROM documents WHERE doc_id % 97 = 1),
+p AS (SELECT domain, min(place) AS place FROM v GROUP BY 1), w AS (SELECT DISTINCT domain, lower(word) AS word FROM (SELECT domain, word FROM v UNION ALL SELECT domain, domain FROM p)),
+o AS (SELECT query_id, domain, count(*) AS overlap FROM (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[A-Za-z0-9_]{{3,}}')) AS word FROM q) JOIN w USING (word) GROUP BY 1, 2),
+d AS (SELECT query_id, domain, overlap FROM o JOIN p USING (domain) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, coalesce(list_position(['database', 'api', 'security', 'frontend', 'backend', 'infrastructure'], domain), 99), place) = 1),
+t AS (SELECT query_id, coalesce(domain, 'unknown') AS domain, coalesce(overlap, 0) AS overlap, query, CASE WHEN domain IN ('database', 'caching') THEN 'cross-domain' WHEN domain = 'security' THEN 'constraint-removal' ELSE 'lateral' END AS third FROM q LEFT JOIN d USING (query_id)),
+u AS (SELECT *, unnest([{{'type': 'inversion', 'query': query || ' failures common mistakes'}}, {{'type': 'anti-pattern', 'query': query || ' anti-patterns worst practices'}}, {{'type': third, 'query': CASE third WHEN 'lateral' THEN 'natural systems analogy ' || query WHEN 'cross-domain' THEN 'alternative approaches ' || query || ' tradeoffs' ELSE 'unlimited resources approach ' || query END}}]) AS x FROM t)
+SELECT query_id, domain, overlap, x.type AS type, array_to_string(string_split(x.query, ' ')[1:8], ' ') AS variant FROM u"""
+)
+def query_variants(spark, d):
+    """The domain of every question by its words, and three other questions. The vocabulary comes from every 97th document."""
+    docs = table(spark, d, "documents").where("doc_id % 97 = 1")
+    domain = F.element_at(F.array(*map(F.lit, _DOMAINS)), (F.col("doc_id") % 6 + 1).cast("int"))
+    vocabulary = docs.select(domain.alias("domain"), F.explode(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)), 1, 40)).alias("keyword"), F.col("doc_id").alias("place"))
+    asked = _questions(spark, d)
+    found = retrieval.detected_domains(asked, vocabulary, condensed.FIRST_DOMAINS).join(asked, "query_id")
+    rows = found.select("query_id", "domain", "overlap", F.explode(condensed.query_variants(F.col("query"), F.col("domain"))).alias("v"))
+    return rows.select("query_id", "domain", "overlap", F.col("v.type").alias("type"), F.col("v.query").alias("variant"))
