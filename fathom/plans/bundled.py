@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathom.functions import condensed, scalars
-from fathom.operators import backfill, graph, hydration, retrieval, store, vectors
+from fathom.operators import backfill, calibration, graph, hydration, retrieval, store, vectors
 from fathom.storage import new_path
 
 from .asked import _BM25, _NEAR, _lexical, _questions
@@ -169,3 +169,28 @@ def query_variants(spark, d):
     found = retrieval.detected_domains(asked, vocabulary, condensed.FIRST_DOMAINS).join(asked, "query_id")
     rows = found.select("query_id", "domain", "overlap", F.explode(condensed.query_variants(F.col("query"), F.col("domain"))).alias("v"))
     return rows.select("query_id", "domain", "overlap", F.col("v.type").alias("type"), F.col("v.query").alias("variant"))
+
+
+@query(
+    f"""WITH RECURSIVE {_VECTORS}, f AS (SELECT vec_id AS id, embedding, list_transform(range(8), lambda j: CAST((vec_id * (j + 3) + label * j) % (5 + j) AS DOUBLE)) AS x, CAST(label % 3 = 0 AS DOUBLE) AS y FROM embeddings),
+near AS (SELECT y.id AS query_id, x.id, round({_COSINE}, 6) AS similarity, row_number() OVER (PARTITION BY y.id ORDER BY round({_COSINE}, 6) DESC, x.id) AS rank FROM vectors x JOIN vectors y ON y.id % 50 = 0 AND x.id <> y.id AND x.id % 3 > 0 QUALIFY rank <= 20),
+s AS (SELECT query_id, count(*) AS n, avg(similarity) AS mean, list(f.x ORDER BY rank) AS x, list(f.y ORDER BY rank) AS y FROM near JOIN f USING (id) GROUP BY query_id),
+m AS (SELECT s.*, t.x AS target, list_transform(range(1, 9), lambda j: CASE list_max(list_transform(s.x, lambda r: r[j])) WHEN 0 THEN 1.0::DOUBLE ELSE list_max(list_transform(s.x, lambda r: r[j])) END) AS most FROM s JOIN f t ON t.id = s.query_id),
+z AS (SELECT query_id, n, mean, y, list_transform(x, lambda r: list_transform(range(1, 9), lambda j: r[j] / most[j])) AS x, list_transform(range(1, 9), lambda j: target[j] / most[j]) AS target FROM m),
+r AS (SELECT query_id, 0 AS step, list_transform(range(8), lambda j: 0.0::DOUBLE) AS w FROM z
+  UNION ALL SELECT query_id, step + 1, list_transform(range(1, 9), lambda j: w[j] - 0.05::DOUBLE * (list_sum(list_transform(range(1, n + 1), lambda i: x[i][j] * (1 / (1 + exp(-list_dot_product(x[i], w))) - y[i]))) / n + 0.01::DOUBLE / n * w[j])) FROM r JOIN z USING (query_id) WHERE step < 50),
+p AS (SELECT query_id, n, mean, 1 / (1 + exp(-list_dot_product(target, w))) AS p FROM r JOIN z USING (query_id) WHERE step = 50),
+q AS (SELECT p.*, CAST(query_id * 7 % 101 AS INTEGER) AS raw, mean < 0.26 AS cold FROM p),
+c AS (SELECT *, CASE WHEN cold THEN CASE WHEN raw <= 30 THEN 31 WHEN raw <= 60 THEN 61 ELSE raw END WHEN p > 0.7 THEN greatest(raw - 5, 0) WHEN p < 0.3 THEN least(raw + 10, 100) ELSE raw END AS score FROM q)
+SELECT query_id, score::INT AS calibrated_score, CASE WHEN cold THEN 0 ELSE round(p, 8) END AS confidence, n::INT AS neighbour_count, cold AS cold_start, (score - raw)::INT AS adjustment FROM c"""
+)
+def calibrated_tasks(spark, d):
+    """Scores of the tasks whose id is divisible by 50, calibrated by the 20 completions (ids not divisible by 3) nearest to each."""
+    j = F.sequence(F.lit(0), F.lit(7))
+    x = F.transform(j, lambda i: ((F.col("vec_id") * (i + 3) + F.col("label") * i) % (5 + i)).cast("double"))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", x.alias("features"), (F.col("label") % 3 == 0).alias("passed"))
+    tasks = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), "features", (F.col("id") * 7 % 101).cast("int").alias("raw_score"))
+    done = rows.where("id % 3 > 0")
+    near = vectors.search(vectors.built(done), tasks, calibration.NEIGHBOURS)
+    out = calibration.calibrated_scores(tasks, done, near, [30, 60, 100], least_similarity=0.26)
+    return out.withColumn("confidence", F.round("confidence", 8))
