@@ -6,7 +6,7 @@ nothing alone ("hope you die", "waste of space"), with one other word between at
 threats that a target follows ("idiots like you"); the others read on from its start: negation marks what stands
 in its scope, report marks what is told of others, target marks what follows it, and the pattern transducer
 names the matched pattern. These four are composed into one transducer. The machines run over each clause that
-holds an insult, a threat or two words of phrases; others match nothing. Arcs have weights: a mark counts for less the farther its
+holds an insult, a threat, or two words of phrases with the longest of one among them; others match nothing. Arcs have weights: a mark counts for less the farther its
 trigger stands (NEARNESS). A match adds the weight of its word times that of its arcs to its pattern; a
 document's score is a logistic function of its patterns' sums. So a negated or reported insult counts for less
 than one that is aimed at somebody, as far as the labels say so: the patterns' weights are fitted, from the
@@ -113,6 +113,8 @@ _PHRASES = {tuple(p.split()): kind for kind, phrases in ((THREAT, PHRASE_THREATS
 #: Words of phrases, numbered from 1; 0 is any other word.
 PHRASE_WORDS = sorted({w for p in _PHRASES for w in p})
 _NUMBER = {w: i + 1 for i, w in enumerate(PHRASE_WORDS)}
+#: The longest word of each phrase: a clause without any of them holds no phrase.
+_KEYS = {max(p, key=len) for p in _PHRASES}
 
 
 def phrase_machine() -> Transducer:
@@ -236,14 +238,15 @@ class Lexicon:
         phrase = {h: _NUMBER[w] for w in PHRASE_WORDS for h in _word_hash([w]).tolist()}
         self.phrase = np.array(sorted(phrase), dtype=np.uint64)
         self.number = np.array([phrase[h] for h in self.phrase.tolist()])
+        self.keys = np.array(sorted(h for w in _KEYS for h in _word_hash([w]).tolist()), dtype=np.uint64)
         mined = {(0, h): 1.0 for h in _word_hash(INSULTS).tolist()} | mined  # a mined weight replaces the fixed one
         self.stems = {}
         for size in sorted({s for s, _ in mined}):
             keys = sorted(h for s, h in mined if s == size)
             self.stems[size] = np.array(keys, dtype=np.uint64), np.array([mined[size, h] for h in keys])
 
-    def symbols(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each word's symbol and weight, and its number as a word of phrases."""
+    def symbols(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's symbol and weight, its number as a word of phrases, and whether it is the longest of one."""
         h = w.hashes()
         at = np.minimum(np.searchsorted(self.closed, h), len(self.closed) - 1)
         out = np.where(self.closed[at] == h, self.kind[at], OTHER).astype(np.int8)
@@ -257,7 +260,11 @@ class Lexicon:
             out[long[hit]] = INSULT
             weight[long[hit]] = np.maximum(weight[long[hit]], worth[at[hit]])
         at = np.minimum(np.searchsorted(self.phrase, h), len(self.phrase) - 1)
-        return out, weight, np.where(self.phrase[at] == h, self.number[at], 0)
+        word = np.where(self.phrase[at] == h, self.number[at], 0)
+        key = np.zeros(len(h), dtype=bool)
+        some = np.flatnonzero(word)
+        key[some] = np.isin(h[some], self.keys)
+        return out, weight, word, key
 
 
 def _texts(texts: list) -> Words:
@@ -270,13 +277,13 @@ def patterns(texts: list, lexicon: Lexicon) -> np.ndarray:
     out = np.zeros((len(texts), len(PATTERNS)))
     if not len(w.starts):
         return out
-    symbol, weight, word = lexicon.symbols(w)
+    symbol, weight, word, key = lexicon.symbols(w)
     clause = np.cumsum(_CLAUSE_END[w.data])[w.starts]
     new = np.concatenate([[True], (clause[1:] != clause[:-1]) | (w.doc[1:] != w.doc[:-1])])
     first = np.flatnonzero(new)
     of = np.cumsum(new) - 1
     last = np.concatenate([first[1:], [len(symbol)]])
-    phrased = np.add.reduceat((word > 0).astype(np.int64), first) > 1
+    phrased = (np.add.reduceat((word > 0).astype(np.int64), first) > 1) & (np.add.reduceat(key.astype(np.int64), first) > 0)
     marked = np.add.reduceat(((symbol == INSULT) | (symbol == THREAT)).astype(np.int64), first) > 0
     for c in np.flatnonzero(marked | phrased).tolist():
         a, b = first[c], last[c]

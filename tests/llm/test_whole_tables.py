@@ -42,7 +42,7 @@ def plain_patterns(text, lexicon):
     """Marks by looking back and ahead from each insult and threat, without machines."""
     t, sums = toxicity, dict.fromkeys(toxicity.PATTERNS, 0.0)
     w = t._texts([text])
-    symbol, weight, word = lexicon.symbols(w)
+    symbol, weight, word, _ = lexicon.symbols(w)
     ends = np.cumsum(t._CLAUSE_END[w.data])[w.starts]
     for clause in sorted(set(ends.tolist())):
         at = np.flatnonzero(ends == clause)
