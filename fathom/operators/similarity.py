@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text
@@ -82,3 +82,33 @@ def novel(rows: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     pairs = similar_pairs(tagged, threshold).where((F.col("a") % 2) != (F.col("b") % 2))
     hit = pairs.select(F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("x")).select((F.col("x") / 2).cast("long").alias("id")).distinct()
     return rows.join(hit, "id", "left_anti")
+
+
+def distilled(entries: DataFrame, threshold: float = 0.7, least: int = 5, most: int = 4_000) -> DataFrame:
+    """One row for each group of several alike entries (id, text, source, applied_count, structured, citations: array of task_id and at): leader, n, ids, applied_count,
+    sources, citations (the first of each task), kept (id of the longest text) and text (that text with the begins of the others below).
+
+    Entries that are distilled already, or structured, take no part; with fewer than `least` others there are no groups. An entry joins the first one before it that leads and is as alike as
+    `threshold` by words. Of texts of one length the first is kept; the others follow by length.
+    """
+    rows = stored(entries.where("source IS DISTINCT FROM 'distilled' AND NOT coalesce(structured, false)"), "entries")
+    if rows.limit(least).count() < least:
+        rows = rows.limit(0)
+    sets = rows.select("id", text.word_set(F.coalesce("text", F.lit(""))).alias("tokens"))
+    pairs = stored(similar_pairs(sets, threshold).select("a", "b"), "pairs")
+    leaders = stored(greedy_leaders(rows.select("id"), pairs), "leaders")
+    groups = leaders.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1")
+    members = rows.join(leaders.join(groups, "leader"), "id").withColumn("size", F.length(F.coalesce("text", F.lit(""))))
+    cited = members.select("leader", F.inline("citations")).where("task_id IS NOT NULL").groupBy("leader", "task_id").agg(F.min("at").alias("at"))
+    cited = cited.groupBy("leader").agg(F.array_sort(F.collect_list(F.struct("at", "task_id"))).alias("citations"))
+    # Only so many of a group's texts as fit are put together, whatever the group's size: each gives a line of its source and 200 characters at most.
+    place = F.row_number().over(Window.partitionBy("leader").orderBy(F.desc("size"), "id"))
+    shown = members.withColumn("place", place).where(F.col("place") <= most // 16)
+    line = F.when(F.col("place") == 1, F.coalesce("text", F.lit(""))).otherwise(F.concat(F.lit("[merged from "), F.coalesce("source", F.lit("")), F.lit("]: "), F.left(F.coalesce("text", F.lit("")), F.lit(200))))
+    texts = shown.groupBy("leader").agg(F.min_by("id", "place").alias("kept"), F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
+    body = F.transform("lines", lambda x: x["line"])
+    merged = F.left(F.concat(body[0], F.lit("\n---\n"), F.array_join(F.slice(body, 2, most), "\n")), F.lit(most))
+    sums = members.groupBy("leader").agg(F.first("n").alias("n"), F.sum("applied_count").alias("applied_count"), F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_list("id")).alias("ids"))
+    out = sums.join(texts, "leader").join(cited, "leader", "left")
+    none = F.array().cast("array<struct<at:bigint,task_id:bigint>>")
+    return out.select("leader", "n", "ids", "applied_count", "sources", F.coalesce(F.col("citations").cast("array<struct<at:bigint,task_id:bigint>>"), none).alias("citations"), "kept", merged.alias("text"))

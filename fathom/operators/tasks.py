@@ -69,6 +69,27 @@ def next_tasks(tasks: DataFrame, now_s: int) -> DataFrame:
     return out.select("assigned_to", "best.id", (-F.col("best.minus")).alias("score"), F.when(F.col("best.tier") == 0, "next").otherwise("retry").alias("kind"))
 
 
+def queue_heads(tasks: DataFrame, agents: DataFrame, now_s: int, validator: str = "validator") -> DataFrame:
+    """(agent, kind, id, score, cooling) of every agent (agent distinct): what it is told when it asks for work.
+
+    kind: next (a pending task with dependencies met that doesn't cool down after a failed gate), else retry (a failed one), else, for the validator,
+    validate (any agent's task that awaits it), else empty, with the number of its tasks that cool down. Of several the best score, the earliest and the least id. Names are compared in lower case.
+    """
+    rows = with_deps_met(scored(tasks, now_s))
+    cooling = F.coalesce(F.lit(now_s) - F.col("gate_fail_s") < COOLDOWN_S, F.lit(False)) if "gate_fail_s" in tasks.columns else F.lit(False)
+    rows = rows.withColumn("agent", F.lower(F.coalesce("assigned_to", F.lit("")))).withColumn("cooling", cooling & (F.col("status") == "pending"))
+    tier = F.when((F.col("status") == "pending") & F.col("deps_met") & ~F.col("cooling"), 0).when(F.col("status") == "failed", 1)
+    order = F.struct("tier", (-F.col("score")).alias("minus"), "created_s", "id")
+    own = rows.withColumn("tier", tier).groupBy("agent").agg(F.min(F.when(F.col("tier").isNotNull(), order)).alias("best"), F.count_if(F.col("cooling")).alias("cooling"))
+    waiting = rows.where("status = 'validation'").withColumn("tier", F.lit(2)).agg(F.min(order).alias("waiting"))  # one row
+    asked = agents.select("agent", F.lower("agent").alias("_agent"))
+    found = asked.join(own, F.col("_agent") == own["agent"], "left").drop(own["agent"]).crossJoin(F.broadcast(waiting))
+    own, queue = F.col("best").isNotNull(), (F.col("_agent") == validator) & F.col("waiting").isNotNull()
+    kind = F.when(own, F.when(F.col("best.tier") == 0, "next").otherwise("retry")).when(queue, "validate").otherwise("empty")
+    pick = lambda name: F.when(own, F.col(f"best.{name}")).when(queue, F.col(f"waiting.{name}"))
+    return found.select("agent", kind.alias("kind"), pick("id").alias("id"), (-pick("minus")).alias("score"), F.coalesce("cooling", F.lit(0)).alias("cooling"))
+
+
 def board(tasks: DataFrame, now_s: int, limit: int = 5) -> DataFrame:
     """Per state its count and share of complete tasks, and its best tasks in order."""
     rows = scored(tasks, now_s)

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathom.functions import condensed, scalars
-from fathom.operators import backfill, calibration, graph, hydration, retrieval, store, vectors
+from fathom.operators import backfill, calibration, graph, hydration, retrieval, similarity, store, vectors
+from fathom.operators import tasks as task_ops
 from fathom.storage import new_path
 
+from .aggregates import _SCORED
 from .asked import _BM25, _NEAR, _lexical, _questions
 from .base import SQL, query, table
 from .relations import _supply
 from .search import _COSINE, _TERMS, _VECTORS
-from .views import EVENTS, MEMORY, as_of, events, memory
+from .search import _NEAR as _PAIRS
+from .views import AS_OF_S, EVENTS, MEMORY, as_of, events, memory, tasks
 
 _WHITE = r"list_distinct(list_filter(regexp_split_to_array(lower({c}), '\s+'), lambda t: t <> ''))"
 
@@ -194,3 +197,36 @@ def calibrated_tasks(spark, d):
     near = vectors.search(vectors.built(done), tasks, calibration.NEIGHBOURS)
     out = calibration.calibrated_scores(tasks, done, near, [30, 60, 100], least_similarity=0.26)
     return out.withColumn("confidence", F.round("confidence", 8))
+
+
+@query(
+    f"""WITH RECURSIVE {MEMORY}, {_PAIRS}, e AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM memory WHERE source IS DISTINCT FROM 'distilled' AND id % 9 > 0),
+ew AS (SELECT e.*, coalesce((SELECT list(a) FROM near WHERE b = e.id AND a IN (SELECT id FROM e)), []) AS earlier FROM e),
+r(n, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT ew.n, CASE WHEN len(list_intersect(ew.earlier, r.kept)) > 0 THEN r.kept ELSE list_append(r.kept, ew.id) END FROM r JOIN ew ON ew.n = r.n + 1),
+k AS (SELECT unnest(kept) AS id FROM r WHERE n = (SELECT max(n) FROM r)), l AS (SELECT ew.*, coalesce((SELECT min(x) FROM (SELECT unnest(list_intersect(ew.earlier, (SELECT list(id) FROM k))) AS x)), ew.id) AS leader FROM ew),
+g AS (SELECT l.*, count(*) OVER (PARTITION BY leader) AS c, row_number() OVER (PARTITION BY leader ORDER BY length(text) DESC, id) AS p FROM l QUALIFY c > 1),
+cite AS (SELECT leader, string_agg(task_id || '@' || at_, ',' ORDER BY at_, task_id) AS citations FROM (SELECT leader, id % 13 AS task_id, min(id % 50) AS at_ FROM g GROUP BY 1, 2) GROUP BY leader)
+SELECT leader, any_value(c)::BIGINT AS n, string_agg(id, ',' ORDER BY id) AS ids, sum(applied_count)::BIGINT AS applied_count, coalesce(array_to_string(list_sort(list(DISTINCT source)), ','), '') AS sources, any_value(citations) AS citations, max(CASE WHEN p = 1 THEN id END) AS kept,
+  substr(max(CASE WHEN p = 1 THEN text END) || chr(10) || '---' || chr(10) || string_agg(CASE WHEN p > 1 THEN '[merged from ' || coalesce(source, '') || ']: ' || substr(text, 1, 200) END, chr(10) ORDER BY p), 1, 4000) AS text FROM g JOIN cite USING (leader) GROUP BY leader"""
+)
+def distill_merge(spark, d):
+    """Groups of alike memories merged; every ninth row is structured, and each is cited once."""
+    cite = F.array(F.struct((F.col("id") % 13).alias("task_id"), (F.col("id") % 50).alias("at")))
+    rows = memory(spark, d).withColumn("structured", F.col("id") % 9 == 0).withColumn("citations", cite)
+    out = similarity.distilled(rows)
+    citations = F.array_join(F.transform("citations", lambda c: F.concat_ws("@", c["task_id"].cast("string"), c["at"].cast("string"))), ",")
+    return out.select("leader", "n", F.array_join("ids", ",").alias("ids"), "applied_count", F.array_join("sources", ",").alias("sources"), citations.alias("citations"), "kept", "text")
+
+
+@query(
+    f"""WITH {_SCORED}, g AS (SELECT s.*, b.id IS NULL AS met, status = 'pending' AND id % 7 = 0 AS cooling FROM scored s LEFT JOIN blocked b USING (id)),
+own AS (SELECT assigned_to, id, score, CASE WHEN status = 'failed' THEN 'retry' ELSE 'next' END AS kind FROM g WHERE (status = 'pending' AND met AND NOT cooling) OR status = 'failed' QUALIFY row_number() OVER (PARTITION BY assigned_to ORDER BY status = 'failed', score DESC, created_s, id) = 1),
+v AS (SELECT 'validator' AS assigned_to, id, score, 'validate' AS kind FROM g WHERE status = 'validation' ORDER BY score DESC, created_s, id LIMIT 1), c AS (SELECT assigned_to, count(*) FILTER (WHERE cooling) AS cooling FROM g GROUP BY 1),
+a AS (SELECT DISTINCT assigned_to FROM g UNION SELECT 'validator' UNION SELECT 'idle')
+SELECT a.assigned_to AS agent, coalesce(o.kind, v.kind, 'empty') AS kind, coalesce(o.id, v.id) AS id, coalesce(o.score, v.score) AS score, coalesce(cooling, 0) AS cooling FROM a LEFT JOIN own o USING (assigned_to) LEFT JOIN v ON v.assigned_to = a.assigned_to LEFT JOIN c ON c.assigned_to = a.assigned_to"""
+)
+def queue_heads(spark, d):
+    """What every agent, the validator and one without tasks are told; every seventh pending task cools down."""
+    rows = tasks(spark, d).withColumn("gate_fail_s", F.when(F.col("id") % 7 == 0, AS_OF_S - 60))
+    agents = rows.select(F.col("assigned_to").alias("agent")).distinct().union(spark.createDataFrame([("validator",), ("idle",)], "agent string"))
+    return task_ops.queue_heads(rows, agents, AS_OF_S)

@@ -114,3 +114,14 @@ def test_grammar_stripped(spark):
     got = {r.path: r.text for r in chunking.grammar_stripped(files).collect()}
     assert got[1] == "---\ntitle: \"x\" of it\nname: 'actual end'\nlist: [the, a]\n\n---\nplan, you `the  code` at https://h/the/a and /the/a now.\n<the>\n```py\nthe code\n```\nthé Panda is real\n---\nend"
     assert (got[2], got[3], got[4]) == (None, "", "```\n---\nthe x\n```\ny\n---\nk: z")
+
+
+def test_distilled_edges(spark):
+    from fathom.operators import similarity
+
+    same = "one two three four five six seven eight nine ten"
+    rows = [(1, same, "a", 2, False, [(7, 5)]), (2, same + " more", None, 1, None, [(7, 1), (8, 2), (None, 3)]), (3, same, "distilled", 9, False, []), (4, same, "b", 9, True, []), (5, "else", "a", 0, False, []), (6, None, "a", 0, False, None), (7, "other words here", "a", 0, False, [])]
+    schema = "id long, text string, source string, applied_count int, structured boolean, citations array<struct<task_id:bigint,at:bigint>>"
+    out = similarity.distilled(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.leader, r.n, r.ids, r.applied_count, r.sources, [tuple(c) for c in r.citations], r.kept, r.text) for r in out] == [(1, 2, [1, 2], 3, ["a"], [(1, 7), (2, 8)], 2, f"{same} more\n---\n[merged from a]: {same}")]
+    assert similarity.distilled(spark.createDataFrame(rows[:4], schema)).count() == 0  # two entries that count
