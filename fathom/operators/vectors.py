@@ -7,7 +7,7 @@ that is left can beat its k-th row. Where `probes` is given, it reads so many ce
 
 Centres are fitted by k-means on the first `sample` rows in the order of a hash; every row is indexed. Rows are stored
 sorted by cell, so a filter on cells skips files and row groups; a cell of any size is split among tasks. Queries come in blocks,
-which are broadcast (BLOCK_CELLS entries of queries times cells at most); each task keeps k rows of a query.
+which are broadcast (BLOCK_CELLS numbers at most); each task keeps k rows of a query.
 
 Vectors that are null, zero, hold null or non-finite components, or have another number of components than the index, are
 not indexed, and as queries find nothing. Ties in the similarity, rounded to `digits`, go to the smaller id. Ids are longs; rows with
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from fathom.storage import stored
 
 SAMPLE, LLOYD_ROUNDS, ROWS_PER_CELL, MOST_CELLS, SEED = 32_768, 6, 2_000, 1_024, 7
-#: Queries times cells of a block, at most.
+#: Queries of a block times cells, components or k, whichever are most, at most.
 BLOCK_CELLS = 4_000_000
 #: Up to so many cells are named in a filter of the scan.
 MOST_NAMED = 256
@@ -213,7 +213,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int, query_id: str = "quer
     size = index.centres.shape[1]
     rows = queries.select(F.col(query_id).cast("long").alias("query_id"), (F.lit(0).cast("long") if group is None else F.xxhash64(group)).alias("group"), unit(vector_col, size).alias("q")).where("q IS NOT NULL AND query_id IS NOT NULL")
     rows = stored(rows, "queries")
-    blocks = max(1, math.ceil(rows.count() * len(index.centres) / BLOCK_CELLS))
+    blocks = max(1, math.ceil(rows.count() * max(len(index.centres), size, k) / BLOCK_CELLS))
     parts = []
     for b in range(blocks):
         t = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).orderBy("query_id").toArrow()  # a block
