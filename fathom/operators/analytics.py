@@ -15,9 +15,21 @@ def tag_histogram(rows: DataFrame, top: int, tags: str = "tags") -> DataFrame:
     return counts.orderBy(F.desc("n"), "tag").limit(top).crossJoin(F.broadcast(kinds))  # kinds is one row
 
 
+def exact_mean(column: str) -> Column:
+    """The mean of a column of doubles as ten-digit decimals, so that a tie in what is rounded doesn't hang on the order of the sum; in double precision where a value is no such decimal."""
+    exact = F.expr(f"try_cast({column} AS DECIMAL(28, 10))")
+    same = F.count(column) == F.count_if(exact.cast("double") == F.col(column))
+    return F.when(same, (F.try_sum(exact) / F.count(column)).cast("double")).otherwise(F.avg(column))
+
+
+def share_of(part: Column) -> Column:
+    """part of all rows of a group, to three digits; rounded as a double, as the SQL does, and not by its decimal digits."""
+    return F.round(part / F.count("*") * 1000) / 1000
+
+
 def agent_summary(log: DataFrame) -> DataFrame:
     passed = F.count_if(F.col("outcome") == "pass")
-    return log.groupBy("agent_id").agg(F.count("*").alias("total"), passed.alias("passed"), F.count_if(F.col("outcome") == "fail").alias("failed"), F.round(F.avg("value"), 1).alias("avg_minutes"), F.round(passed / F.count("*"), 3).alias("pass_rate"))
+    return log.groupBy("agent_id").agg(F.count("*").alias("total"), passed.alias("passed"), F.count_if(F.col("outcome") == "fail").alias("failed"), F.round(exact_mean("value"), 1).alias("avg_minutes"), share_of(passed).alias("pass_rate"))
 
 
 def agent_metrics(log: DataFrame) -> DataFrame:
