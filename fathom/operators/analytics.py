@@ -33,8 +33,8 @@ def agent_summary(log: DataFrame) -> DataFrame:
 
 
 def agent_metrics(log: DataFrame) -> DataFrame:
-    share = lambda what: F.round(F.count_if(F.col("outcome") == what) / F.count("*"), 3)
-    return log.groupBy("agent_id").agg(F.count("*").alias("n"), F.round(F.avg("value")).cast("int").alias("avg_time"), F.round(F.avg("k")).cast("int").alias("avg_tokens"), share("fail").alias("error_rate"), share("pass").alias("pass_rate"))
+    share = lambda what: share_of(F.count_if(F.col("outcome") == what))
+    return log.groupBy("agent_id").agg(F.count("*").alias("n"), F.round(exact_mean("value")).cast("int").alias("avg_time"), F.round(F.avg("k")).cast("int").alias("avg_tokens"), share("fail").alias("error_rate"), share("pass").alias("pass_rate"))
 
 
 def coverage(rows: DataFrame, column: str) -> DataFrame:

@@ -296,5 +296,6 @@ def test_reports_round_ties_as_their_sql(spark):
     log = spark.createDataFrame([("a", "pass" if i < 201 else "fail", values[i] if i < len(values) else None, 1) for i in range(400)], "agent_id string, outcome string, value double, k int").coalesce(1)
     got = analytics.agent_summary(log).first()
     assert got.avg_minutes == 14.1 and got.pass_rate == 0.502  # 0.5025 * 1000 is less than 502.5 as a double
+    assert analytics.agent_metrics(log).first().pass_rate == 0.502
     odd = spark.createDataFrame([("a", "pass", x, 1) for x in (float("inf"), 1.0)] + [("b", "pass", None, 1), ("c", "pass", 0.5, 1), ("c", "pass", 2.5, 1)], "agent_id string, outcome string, value double, k int")
     assert {r.agent_id: r.avg_minutes for r in analytics.agent_summary(odd).collect()} == {"a": float("inf"), "b": None, "c": 1.5}
