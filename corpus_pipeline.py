@@ -9,20 +9,37 @@ without an id counts by its text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import decontaminate, minhash, packing, quality, secrets
-from fathom.llm.common import small, stored, table, without
+from fathom.llm.common import small, small_batches, stored, table, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def lean(stage: Stage) -> Stage:
+    """The stage in small batches: all stages run in one application, whose Python workers and direct memory keep the largest size they had."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@lean
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     return quality.filtered(docs.select(*COLUMNS), quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@lean
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, 0.8) the document with the smallest id, once. Rows without an id come after all others."""
     digest = F.xxhash64("text")
@@ -36,6 +53,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select(*COLUMNS)
 
 
+@lean
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item is tiled in."""
     rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_digest"))
@@ -44,12 +62,14 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return rows.join(small(found), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), "left_anti").select(*COLUMNS)
 
 
+@lean
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced by a mark and n_chars counted anew where the text changed."""
     clean = secrets.redacted(docs.select(*COLUMNS).withColumn("_was", F.col("text")), secrets.train(secrets.labelled_findings(spark)))
     return clean.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col("_was")), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
+@lean
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of power-of-two lengths with their ids."""
     cut = packing.pieces(docs).withColumn("ids_crc32", F.crc32("ids"))

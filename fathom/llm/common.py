@@ -5,6 +5,7 @@ Numpy code here runs inside Spark tasks on one bounded chunk of rows at a time.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ __all__ = ["HOT", "looked_up", "new_path", "small", "stored"]
 
 #: Bytes of text that a task handles at once.
 CHUNK_BYTES = 1 << 18
+#: Bytes of rows that Spark hands to a Python worker at once. Its default (64 MB) is held by the JVM and by the worker, for each task; chunks are smaller anyway.
+BATCH_BYTES = "2m"
 #: ASCII white space: tab to carriage return, and space.
 SPACES = bytes([9, 10, 11, 12, 13, 32])
 
@@ -26,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands BATCH_BYTES of rows to Python workers at once, or less if it was set so."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.fullmatch(r"(\d+)\s*([kmg]?)b?", spark.conf.get(key).strip().lower())
+    if not held or int(held[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[held[2]] > 2 << 20:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def semi(left: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Rows of left whose key is in ids (distinct and stored). Broadcast only if ids is small enough, else shuffled."""
     return left.join(small(ids), on, "left_semi")

@@ -92,3 +92,22 @@ def test_toxicity_of_a_whole_table(spark):
         assert r.predicted == int(r.score >= 0.5)
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
     assert found > 3
+
+
+def test_pipeline_hands_small_batches_to_python(spark):
+    import corpus_pipeline
+    from fathom.llm import common
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        assert {stage.__name__ for _, stage in corpus_pipeline.STAGES if hasattr(stage, "__wrapped__")} == {stage.__name__ for _, stage in corpus_pipeline.STAGES}
+        common.small_batches(spark)
+        rows = spark.range(3000).coalesce(1).selectExpr("repeat('x', 4000) AS text")
+        sizes = [r.n for r in rows.mapInArrow(lambda batches: (b.__class__.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+        assert sum(sizes) >= 12_000_000 and max(sizes) < 4 << 20
+        spark.conf.set(key, "1m")
+        common.small_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
