@@ -25,14 +25,14 @@ def _questions(spark, d):
     return table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(text.tokens(F.col("text")), 1, 6), " ").alias("query"))
 
 
-def _lexical(spark, d):
-    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "id")
-    return retrieval.bm25(docs, _questions(spark, d)).select("query_id", "id", F.round("score", 6).alias("score"))
+def _lexical(spark, d, k, **limits):
+    """The k best rows of every question by words, of all or within limits (see retrieval.bm25_best)."""
+    return retrieval.bm25_best(memory(spark, d), limits.pop("asked", _questions(spark, d)), k, **limits)
 
 
 @query(f"WITH {_BM25} SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, score FROM bm25 QUALIFY rank <= 10")
 def bm25_rows(spark, d):
-    return retrieval.best_per_query(_lexical(spark, d), 10).select("query_id", "id", "rank", "score")
+    return _lexical(spark, d, 10).select("query_id", "id", "rank", "score")
 
 
 _NEAR = f"pairs AS MATERIALIZED (SELECT y.id AS query_id, x.id, round({_COSINE}, 6) AS score FROM vectors x JOIN vectors y ON y.id % 50 = 0 AND x.id <> y.id)"
@@ -47,7 +47,7 @@ def _near(spark, d, k):
 
 
 def _fused(spark, d):
-    return retrieval.fused_per_query(_lexical(spark, d), _near(spark, d, 20).select("query_id", "id", F.col("similarity").alias("score")))
+    return retrieval.fused_per_query(_lexical(spark, d, 20).drop("rank"), _near(spark, d, 20).select("query_id", "id", F.col("similarity").alias("score")))
 
 
 @query(f"WITH {_FUSED} SELECT query_id, id, rank_bm25, rank_vector, round(rrf, 6) AS rrf_score FROM fused")
@@ -66,7 +66,7 @@ def memory_search_rows(spark, d):
 @query(f"WITH {MEMORY}, {_BM25}, best AS (SELECT * FROM bm25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 40), s AS (SELECT query_id, id, b.score AS text_rank, round(b.score * 10 + {_TERMS}, 2) AS score FROM best b JOIN memory USING (id)) SELECT query_id, id, 1 AS rank_bm25, text_rank, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10")
 def lexical_search_rows(spark, d):
     """The lexical rung alone, for all queries: no vectors, a constant rank, text_rank times 10 as relevance."""
-    best = retrieval.best_per_query(_lexical(spark, d), 40).drop("rank").withColumnRenamed("score", "text_rank").join(memory(spark, d), "id")
+    best = _lexical(spark, d, 40).drop("rank").withColumnRenamed("score", "text_rank").join(memory(spark, d), "id")
     score = retrieval.composite(F.col("text_rank") * 10, F.col("source"), F.col("applied_count"), scalars.age_days("created_at", as_of()))
     return retrieval.best_per_query(best.select("query_id", "id", F.lit(1).alias("rank_bm25"), "text_rank", score.alias("score")), 10).drop("rank")
 
@@ -87,10 +87,11 @@ _HIGH = "('lesson-learned', 'best-practice', 'auto_learning', 'web_search_result
 def cross_project_search(spark, d):
     """Of other projects than the query's own, the rows of valued sources, by lexical rank, with the composite score."""
     m = memory(spark, d)
-    own = m.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("project_id").alias("own"))
-    rows = _lexical(spark, d).withColumnRenamed("score", "text_rank").join(m.where(f"source IN {_HIGH}"), "id").join(own, "query_id").where("own IS NULL OR project_id IS NULL OR project_id <> own")
+    own = m.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("project_id").alias("grp"))
+    asked = _questions(spark, d).join(own, "query_id")
+    rows = _lexical(spark, d, 20, asked=asked, among=F.expr(f"source IN {_HIGH}"), group=F.col("project_id"), relation="other").drop("rank").withColumnRenamed("score", "text_rank").join(m, "id")
     score = retrieval.composite(F.col("text_rank") * 10, F.col("source"), F.col("applied_count"), scalars.age_days("created_at", as_of()))
-    return retrieval.best_per_query(rows.select("query_id", "id", "text_rank", score.alias("score")), 20, "text_rank").select("query_id", "id", "score")
+    return rows.select("query_id", "id", score.alias("score"))
 
 
 @query(f"WITH {_FUSED}, placed AS (SELECT query_id, f.id, CASE WHEN rank_bm25 IS NOT NULL THEN rrf * (1 - 0.05::DOUBLE * least(1.0::DOUBLE, (f.id % 100) / 99.0::DOUBLE)) END AS decayed FROM fused f JOIN documents ON doc_id = f.id WHERE lang IN ('en', 'de')) SELECT query_id, id, round(coalesce(decayed, 0), 4) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY decayed IS NULL, round(decayed, 9) DESC, id) AS INTEGER) AS place FROM placed")
@@ -144,5 +145,7 @@ def similar_invocations(spark, d):
     q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), F.col("skill").alias("q_skill"))
     recent = v.where(F.col("at_s") > AS_OF_S - 90 * 86_400)
     near = vectors.search(vectors.built(recent, group=F.col("skill")), q, 10, group=F.col("q_skill"))
-    found = retrieval.similar_invocations(_lexical(spark, d), near.select("query_id", "id", F.col("similarity").alias("score")), past, asked, AS_OF_S)
+    skill = F.coalesce("source", F.lit("agent"))
+    words = _lexical(spark, d, 10, asked=_questions(spark, d).join(asked.withColumnRenamed("skill", "grp"), "query_id"), among=F.col("created_s") > AS_OF_S - 90 * 86_400, group=skill, relation="same").drop("rank")
+    found = retrieval.similar_invocations(words, near.select("query_id", "id", F.col("similarity").alias("score")), past, asked, AS_OF_S)
     return found.withColumn("rrf_score", F.round("rrf_score", 6))

@@ -58,8 +58,9 @@ def semantic_reranked(spark, d):
     scored = lambda found, relevance: found.join(rows, "id").select("query_id", "id", retrieval.composite(relevance, F.col("source"), F.col("applied_count"), days).alias("score"))
     near = scored(vectors.search(vectors.built(v.join(rows.select("id"), "id", "left_semi")), asked, 40), F.col("similarity") * 10)
     first = retrieval.reranked_per_query(near, _questions(spark, d), rows.select("id", "text"))
-    words = _lexical(spark, d).join(rows.select("id"), "id", "left_semi").join(near.select("query_id").distinct(), "query_id", "left_anti")
-    second = retrieval.best_per_query(scored(retrieval.best_per_query(words, 40).drop("rank").withColumnRenamed("score", "text_rank"), F.col("text_rank") * 10), 10)
+    shown = F.expr("invalid_s IS NULL AND (project_id IS NULL OR project_id <> '__test__')") & ~F.coalesce("source", F.lit("agent")).isin("task_event", "rpetd_phase")
+    words = _lexical(spark, d, 40, asked=_questions(spark, d).join(near.select("query_id").distinct(), "query_id", "left_anti"), among=shown)
+    second = retrieval.best_per_query(scored(words.drop("rank").withColumnRenamed("score", "text_rank"), F.col("text_rank") * 10), 10)
     second = second.select("query_id", "id", F.col("score").alias("score_composite"), F.lit(None).cast("double").alias("rerank_score"), "score", "rank", F.lit("text_fallback").alias("engine"))
     return first.withColumn("engine", F.lit("vector+rerank")).unionByName(second)
 
