@@ -255,23 +255,40 @@ def repeated_titles(writes: DataFrame, tasks: DataFrame, block: int = BLOCK) ->
     writes: query_id (distinct), agent, title; tasks: id, agent, status, title. Nearly: the ratio of matching blocks of both titles is
     0.7 or more, or 0.6 of the longer one's words (without stop words) are in both. Titles without words or text overlap with none.
     Agents are compared in lower case; a write without an agent is compared with all. Pairs whose lengths rule the ratio out are left to the words.
+    Equal titles of an agent are compared once, each by its two first tasks: one of them is no write's own.
     """
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+        met: dict[tuple[str, str], float] = {}  # a title meets another for many agents
+        out, last, match = [], None, difflib.SequenceMatcher()
+        for pair in zip(a, b, strict=True):
+            if (r := met.get(pair)) is None:
+                if pair[1] != last:
+                    match.set_seq2(last := pair[1])
+                match.set_seq1(pair[0])
+                r = met[pair] = match.ratio() if match.quick_ratio() >= LEAST_RATIO else 0.0
+            out.append(r)
+        return pd.Series(out, dtype=float)
 
     clean = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    open_ = tasks.where(F.col("status").isin("pending", "in_progress")).select("id", F.lower(F.coalesce("agent", F.lit(""))).alias("agent"), clean("title").alias("title"), _title_words(clean("title")).alias("words"))
-    asked = writes.select("query_id", F.lower(F.coalesce("agent", F.lit(""))).alias("q_agent"), clean("title").alias("q_title"), _title_words(clean("title")).alias("q_words"))
+    open_ = tasks.where(F.col("status").isin("pending", "in_progress")).select("id", F.lower(F.coalesce("agent", F.lit(""))).alias("agent"), clean("title").alias("title"))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("id"))
+    first = open_.withColumn("n", place("agent", "title")).where("n <= 2").groupBy("agent", "title").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    first = stored(first.withColumn("words", _title_words(F.col("title"))), "titles")
+    asked = stored(writes.select("query_id", F.lower(F.coalesce("agent", F.lit(""))).alias("q_agent"), clean("title").alias("q_title")), "asked")
+    kinds = asked.groupBy("q_agent", "q_title").agg(F.min("query_id").alias("query_id")).withColumn("q_words", _title_words(F.col("q_title")))
 
     def search(queries: DataFrame) -> DataFrame:
-        pairs = open_.join(queries, F.col("query_id") != F.col("id")).where("q_agent = '' OR q_agent = agent")
+        own, any_ = first.join(queries, F.col("q_agent") == F.col("agent")).where("q_agent <> ''"), first.join(queries, F.col("q_agent") == "")
+        pairs = own.unionByName(any_)
         most = F.greatest(F.size("words"), F.size("q_words"))
         pairs = pairs.withColumn("alike", F.coalesce((F.size("words") > 0) & (F.size("q_words") > 0) & (F.size(F.array_intersect("words", "q_words")) / F.greatest(most, F.lit(1)) >= LEAST_OVERLAP), F.lit(False)))
         lengths = F.length("title") + F.length("q_title")
         near = pairs.where(~F.col("alike") & ((lengths == 0) | (2 * F.least(F.length("title"), F.length("q_title")) / F.greatest(lengths, F.lit(1)) >= LEAST_RATIO)))
         near = near.where(ratio("q_title", "title") >= LEAST_RATIO)
-        return pairs.where("alike").select("query_id", "id").unionByName(near.select("query_id", "id")).groupBy("query_id").agg(F.min("id").alias("duplicate_of"))
+        each = pairs.where("alike").select("q_agent", "q_title", F.explode("ids").alias("id")).unionByName(near.select("q_agent", "q_title", F.explode("ids").alias("id")))
+        return each.withColumn("n", place("q_agent", "q_title")).where("n <= 2").groupBy("q_agent", "q_title").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
-    return writes.select("query_id").join(in_blocks(asked, search, block), "query_id", "left")
+    found = asked.join(in_blocks(kinds, search, block), ["q_agent", "q_title"], "left")
+    return found.select("query_id", F.get(F.filter("ids", lambda i: i != F.col("query_id")), F.lit(0)).alias("duplicate_of"))

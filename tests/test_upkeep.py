@@ -42,6 +42,17 @@ def test_repeated_titles(spark):
     assert sum(v is not None for v in got.values()) > 5
 
 
+def test_repeated_titles_of_copies(spark, monkeypatch):
+    """Equal titles of an agent are compared once, not each of 2,000 writes with each of 2,000 tasks."""
+    seen = []
+    blocks = tasks.in_blocks
+    monkeypatch.setattr(tasks, "in_blocks", lambda queries, work, most: seen.append(queries.count()) or blocks(queries, lambda q: seen.append(work(q).count()) or work(q), most))
+    df = spark.range(2000).select("id", F.lit("a").alias("agent"), F.lit("pending").alias("status"), F.concat(F.lit("rebuild index number "), F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("id") % 4 + 1).cast("int"))).alias("title"))
+    out = tasks.repeated_titles(df.select(F.col("id").alias("query_id"), "agent", "title"), df)
+    assert {r.query_id: r.duplicate_of for r in out.collect()} == {i: 0 if i else 1 for i in range(2000)}
+    assert seen == [4, 4]
+
+
 def test_install_order(spark):
     m = spark.createDataFrame([("a", "1.0.0", 1), ("b", "1.2.0", 2), ("c", "0.0.7", 3)], "name string, version string, at int")
     r = "name string, dep string, spec string"
