@@ -68,12 +68,22 @@ def with_vectors(rows: DataFrame, store: str, embed: Embed = hashed_vectors, mod
     return out, {"texts": texts, "different": kinds, "from_store": kinds - new, "embedded": new}
 
 
-def run(pending: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, budget: int | None, most_rows: int = 100, most_tokens: int = 50_000, wave: int = 64) -> dict:
+def _done(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
+    """Folders of finished waves, and the first and last wave of each. One that broke off has no mark and doesn't count, whatever files it has."""
+    if not exists(spark, f"{path}/out"):
+        return {}
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/out")
+    names = [f.getPath().getName() for f in where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(where)]
+    ends = {n: n.removeprefix("wave=").split("-") for n in names if n.startswith("wave=")}
+    return {f"{path}/out/{n}": (int(e[0]), int(e[-1])) for n, e in ends.items() if exists(spark, f"{path}/out/{n}/_SUCCESS")}
+
+
+def run(pending: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, budget: int | None, most_rows: int = 100, most_tokens: int = 50_000, wave: int = 64, together: int = 1) -> dict:
     """Works off pending rows (id, tokens, ...) in the order of ids; returns what this run did: status ('done' or 'stopped'), waves, tokens, and the tokens that are left.
 
-    path: the job's own folder. The first run stores the plan there, later ones go on with it whatever `pending` is then. work gets the rows of a wave
-    with their batch. A run ends before the wave that would go beyond its budget. Results are read by `results`. A job must not
-    be run twice at once.
+    path: the job's own folder. The first run stores the plan there, later ones go on with it whatever `pending` is then. work gets the rows of a wave, or of
+    `together` waves that follow each other, with their batch: these are one job, and done anew if it breaks off. A run ends before the wave that would go
+    beyond its budget. Results are read by `results`. A job must not be run twice at once.
     """
     if not budget or budget <= 0:
         raise ValueError("a backfill needs a budget of tokens")
@@ -84,19 +94,31 @@ def run(pending: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, b
         cut.repartitionByRange("batch").sortWithinPartitions("batch", "id").write.mode("overwrite").parquet(plan)
     rows = spark.read.parquet(plan)
     waves = rows.groupBy(F.expr(f"batch DIV {wave}").alias("wave")).agg(F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens")).orderBy("wave")
+    done = {w for first, last in _done(spark, path).values() for w in range(first, last + 1)}
     did, spent, left = 0, 0, 0
+    group: list[int] = []
+
+    def finish() -> None:
+        if group:
+            first, last = group[0], group[-1]
+            name = f"{first}" if first == last else f"{first}-{last}"
+            work(rows.where(F.col("batch").between(first * wave, last * wave + wave - 1))).write.mode("overwrite").parquet(f"{path}/out/wave={name}")
+            group.clear()
+
     for w in waves.toLocalIterator():
-        out = f"{path}/out/wave={w.wave}"
-        if exists(spark, f"{out}/_SUCCESS"):
+        if w.wave in done:
             continue
         if left or spent + w.tokens > budget:
             left += w.tokens
             continue
-        work(rows.where(F.col("batch").between(w.wave * wave, w.wave * wave + wave - 1))).write.mode("overwrite").parquet(out)
+        if group and (len(group) == together or w.wave != group[-1] + 1):
+            finish()
+        group.append(w.wave)
         did, spent = did + 1, spent + w.tokens
+    finish()
     return {"status": "stopped" if left else "done", "waves": did, "tokens": spent, "left": left}
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
     """What all runs of a job have made so far."""
-    return spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out/wave=*").drop("wave")
+    return spark.read.parquet(*sorted(_done(spark, path)))

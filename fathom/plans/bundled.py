@@ -105,7 +105,7 @@ def resumed_backfill(spark, d):
     path, total = new_path(spark, "backfill"), rows.agg(F.sum("tokens")).first()[0] or 1
     embed = lambda wave: wave.withColumn("digest", F.col("id").cast("string")).join(backfill.hashed_vectors(wave.select(F.col("id").cast("string").alias("digest"), "text")), "digest").select("id", "tokens", "vector")
     for budget in (max(1, total // 2), max(1, total // 3), total):
-        backfill.run(rows, embed, path, budget, most_rows=500, most_tokens=400_000, wave=1)
+        backfill.run(rows, embed, path, budget, most_rows=500, most_tokens=400_000, wave=1, together=128)
     return backfill.results(spark, path).select("id", "tokens")
 
 

@@ -65,6 +65,27 @@ def test_job_is_resumed(spark):
             backfill.run(rows, work, whole, budget)
 
 
+def test_waves_together(spark):
+    rows = spark.createDataFrame([(i, 10 + i % 7) for i in range(500)], "id long, tokens int")
+    path, calls = new_path(spark, "job"), []
+
+    def work(df, fails=False):
+        calls.append(df.agg(F.min("id"), F.max("id")).first())
+        return df.select("id", F.raise_error(F.lit("killed")).cast("int").alias("x") if fails else F.lit(1).alias("x"))
+
+    want = {"rows": sorted(range(500)), "tokens": sum(10 + i % 7 for i in range(500))}
+    first = backfill.run(rows, work, path, want["tokens"] // 2, 20, 200, wave=1, together=8)
+    assert first["status"] == "stopped" and first["tokens"] <= want["tokens"] // 2 and first["waves"] > 8
+    assert len(calls) == -(-first["waves"] // 8)  # jobs, not one for each wave
+    with pytest.raises(Exception, match="killed"):
+        backfill.run(rows, lambda df: work(df, True), path, 10**9, 20, 200, wave=1, together=8)
+    # What broke off left files without a mark, under a name that no later run takes.
+    rows.where("id > 400").select("id", F.lit(2).alias("x")).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/out/wave={first['waves']}-9999")
+    last = backfill.run(rows, work, path, 10**9, 20, 200, wave=1, together=5)
+    assert last["status"] == "done" and first["tokens"] + last["tokens"] == want["tokens"]
+    assert sorted(r.id for r in backfill.results(spark, path).collect()) == want["rows"]
+
+
 def test_registry_source(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.json").write_text(json.dumps({"registry_version": "1.0", "entries": [{"name": "m", "version": 2, "maintainer": None, "tags": ["x", 1], "extra": {}}, {}]}))
