@@ -179,8 +179,7 @@ def _sets(spark, d):
 @query()
 def distill_clusters(spark, d):
     m = memory(spark, d)
-    pairs = similarity.similar_pairs(_sets(spark, d), 0.7).select("a", "b").persist()
-    return similarity.merged_clusters(m, similarity.greedy_leaders(m.select("id"), pairs)).where("n > 1").select("leader", "n", "applied_count", F.array_join("ids", ",").alias("ids"))
+    return similarity.merged_clusters(m, similarity.leaders(m.select("id"), _sets(spark, d), 0.7)).where("n > 1").select("leader", "n", "applied_count", F.array_join("ids", ",").alias("ids"))
 
 
 @query(f"WITH {_NEAR}, hit AS (SELECT CASE WHEN a % 2 = 0 THEN a ELSE b END AS id FROM near WHERE a % 2 <> b % 2) SELECT id FROM toks WHERE id % 2 = 0 AND id NOT IN (SELECT id FROM hit)")

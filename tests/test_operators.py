@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -299,3 +300,23 @@ def test_reports_round_ties_as_their_sql(spark):
     assert analytics.agent_metrics(log).first().pass_rate == 0.502
     odd = spark.createDataFrame([("a", "pass", x, 1) for x in (float("inf"), 1.0)] + [("b", "pass", None, 1), ("c", "pass", 0.5, 1), ("c", "pass", 2.5, 1)], "agent_id string, outcome string, value double, k int")
     assert {r.agent_id: r.avg_minutes for r in analytics.agent_summary(odd).collect()} == {"a": float("inf"), "b": None, "c": 1.5}
+
+
+def test_leaders_and_novel_rows_of_copies(spark, monkeypatch):
+    """Copies follow their class's first row, and are never expanded into pairs."""
+    draw = random.Random(4)
+    base = [frozenset(draw.sample("abcdefghijklmnopqrst", draw.randrange(1, 14))) for _ in range(25)]
+    sets = [draw.choice(base) ^ frozenset(draw.choice("abcdefghijklmnopqrst") for _ in range(draw.randrange(2))) for _ in range(300)] + [frozenset()] * 3
+    near = lambda x, y: bool(x and y) and len(x & y) >= 0.7 * len(x | y)
+    want, heads = {}, []
+    for i, x in enumerate(sets):
+        want[i] = next((j for j in heads if near(sets[j], x)), i)
+        if want[i] == i:
+            heads.append(i)
+    df = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "id long, tokens array<string>")
+    pairs = {(i, j) for j in range(len(sets)) for i in range(j) if near(sets[i], sets[j])}
+    assert {(r.a, r.b) for r in similarity.similar_pairs(df, 0.7).collect()} == pairs
+    monkeypatch.setattr(similarity, "similar_pairs", None)
+    assert {r.id: r.leader for r in similarity.leaders(df.select("id"), df, 0.7).collect()} == want
+    new = {i for i in range(0, len(sets), 3) if not any(near(sets[i], sets[j]) for j in range(len(sets)) if j % 3)}
+    assert {r.id for r in similarity.novel(df.where("id % 3 = 0"), df.where("id % 3 > 0"), 0.7).collect()} == new
