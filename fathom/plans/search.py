@@ -148,12 +148,14 @@ _ASK = "The threat of and the ing token with disgusting stha"
 
 @query(f"WITH s AS (SELECT doc_id, {_WHITE.format(c='text')} AS a, {_WHITE.format(c=repr(_ASK))} AS b FROM documents) SELECT doc_id, round({_JACCARD}, 6) AS similarity FROM s")
 def jaccard_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(text.jaccard(text.white_tokens(F.col("text")), text.white_tokens(F.lit(_ASK))), 6).alias("similarity"))
+    rows = table(spark, d, "documents").select("doc_id", text.white_tokens(F.col("text")).alias("tokens"))  # once a row, not at each use
+    return rows.select("doc_id", F.round(text.jaccard(F.col("tokens"), text.white_tokens(F.lit(_ASK))), 6).alias("similarity"))
 
 
 @query(f"WITH s AS (SELECT doc_id, {_WORDS.format(c='text')} AS a, {_WORDS.format(c=repr(_ASK))} AS b FROM documents) SELECT doc_id, round({_JACCARD}, 6) AS similarity FROM s")
 def jaccard_words(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(text.jaccard(text.word_set(F.col("text")), text.word_set(F.lit(_ASK))), 6).alias("similarity"))
+    rows = _sets(spark, d).withColumnRenamed("id", "doc_id")  # words once a row, not at each use
+    return rows.select("doc_id", F.round(text.jaccard(F.col("tokens"), text.word_set(F.lit(_ASK))), 6).alias("similarity"))
 
 
 _TRI = r"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"

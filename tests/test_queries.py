@@ -23,6 +23,12 @@ def test_agrees(spark, duck, name):
         assert df.count() > 0
 
 
+@pytest.mark.parametrize("name,work", [("jaccard_words", "regexp_replace("), ("jaccard_tokens", "split(")])
+def test_sets_of_words_are_made_once_a_row(spark, name, work):
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(work) == 1
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
