@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import scalars
-from fathom.storage import forget, stored
+from fathom.storage import BROADCAST_IDS, bucketed, forget, stored
+
+#: A node with more edges out than this is a hub: its rank goes to the tasks that have its edges' ends, not to each end.
+HUB = 64
+#: With more nodes than this, ranks are joined by hash tables of their buckets; with fewer, Spark may broadcast them.
+MANY_NODES = 100_000
 
 
 def resolved_edges(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -39,21 +44,31 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: in
 
     The change is looked at every fourth round; raises if it is still above after all rounds. A tolerance of 0 asks for all rounds.
     A round is one job, which also sums up the rank of nodes without edges out in the round before; older rounds are deleted.
+    Edges are dealt out twice before the rounds, all by their source and those of hubs by their end too, and stay where they are: a round shuffles ranks only, and
+    for each task and end one sum of what the sources there give it.
     """
-    edges = edges.select("src", "dst").distinct()
-    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    links = stored(edges.join(degree, "src"), "links")
-    nodes = nodes.select("id").distinct().join(degree.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left").withColumn("dangling", F.coalesce("dangling", F.lit(True)))
-    nodes = stored(nodes, "nodes")
+    n_parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = bucketed(edges.select("src", "dst").repartition(n_parts, "src").distinct(), "links", "src")
+    degree = links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    nodes = stored(nodes.select("id").distinct().join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree")), "nodes")
     if not (n := nodes.count()):
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    rank, moved = stored(nodes.select("id", F.lit(1.0 / n).alias("rank"), "dangling", F.lit(0.0).alias("change")), "rank"), 0.0
+    hubs = nodes.where(F.col("degree") > HUB).select(F.col("id").alias("src"))
+    few = 0 < hubs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    spread = bucketed(links.join(F.broadcast(hubs), "src", "left_semi"), "hub-links", "dst") if few else None
+    rank, moved = stored(nodes.select("id", "degree", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("change")), "rank"), 0.0
     for i in range(rounds):
-        shared = links.join(rank, links.src == rank.id).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        lost = F.broadcast(rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))  # one row
-        value = alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n) + (1 - alpha) / n
-        new = rank.join(shared, rank.id == shared.dst, "left").crossJoin(lost)
-        before, rank = rank, stored(new.select("id", value.alias("rank"), "dangling", F.abs(value - F.col("rank")).alias("change")), "rank")
+        share = rank.where("degree > 0").select(F.col("id").alias("src"), (F.col("rank") / F.col("degree")).alias("share"), (F.col("degree") > HUB).alias("hub"))
+        by_source = share.where("NOT hub") if few else share
+        shared = links.join(by_source.hint("shuffle_hash") if n > MANY_NODES else by_source, "src").groupBy("dst").agg(F.sum("share").alias("got"))
+        new = rank.join(shared.withColumnRenamed("dst", "id"), "id", "left")
+        got = F.coalesce("got", F.lit(0.0))
+        if few:
+            from_hubs = spread.join(F.broadcast(share.where("hub")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("more"))
+            new, got = new.join(from_hubs, "id", "left"), got + F.coalesce("more", F.lit(0.0))
+        lost = F.broadcast(rank.where("degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))  # one row
+        value = alpha * (got + F.col("lost") / n) + (1 - alpha) / n
+        before, rank = rank, stored(new.crossJoin(lost).select("id", "degree", value.alias("rank"), F.abs(value - F.col("rank")).alias("change")), "rank")
         forget(before)
         if tolerance and (i % 4 == 3 or i == rounds - 1):
             moved = rank.agg(F.sum("change")).first()[0]

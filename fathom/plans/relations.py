@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.operators import analytics, evaluate, graph, scan, store
 from fathom.operators import tasks as task_ops
+from fathom.storage import stored
 
 from .base import query, table
 from .views import AS_OF_S, EVENTS, MEMORY, TASKS, events, memory, tasks
@@ -41,7 +42,8 @@ def graph_neighbours_whole(spark, d):
 
 def _supply(spark, d):
     """Nodes and edges of parts and their suppliers."""
-    pairs = table(spark, d, "lineitem").select("l_partkey", F.concat(F.lit("p"), "l_partkey").alias("p"), F.concat(F.lit("s"), "l_suppkey").alias("s")).where("p IS NOT NULL AND s IS NOT NULL").distinct()
+    keys = stored(table(spark, d, "lineitem").select("l_partkey", "l_suppkey").where("l_partkey IS NOT NULL AND l_suppkey IS NOT NULL").distinct(), "pairs")
+    pairs = keys.select("l_partkey", F.concat(F.lit("p"), "l_partkey").alias("p"), F.concat(F.lit("s"), "l_suppkey").alias("s"))
     nodes = pairs.select(F.col("p").alias("id")).union(pairs.select("s"))
     return nodes, pairs.select(F.col("p").alias("src"), F.col("s").alias("dst")).union(pairs.where("l_partkey % 3 = 0").select("s", "p"))
 

@@ -67,6 +67,37 @@ def test_pagerank_matches_power_iteration(spark):
     assert [x.rank for x in got.orderBy("id").collect()] == pytest.approx(r.tolist(), abs=1e-4)
 
 
+def shuffled_rows(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None).iterator()
+    total = 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteRecords()
+    return total
+
+
+def test_pagerank_shuffles_edges_once(spark):
+    """Hubs and others, nodes without edges out, and edges of unknown nodes; the edges are dealt out before the rounds only."""
+    import numpy as np
+
+    n = 420
+    edges = [(s, t) for s in range(300) for t in range(200, 400)] + [(s, s + 1) for s in range(300, 399)] + [(0, 200), (400, 0), (0, 999), (998, 1)]
+    m = np.zeros((1000, n))
+    for s, t in edges:
+        m[t, s if s < n else 0] = max(m[t, s if s < n else 0], s < n)
+    out = m.sum(axis=0)
+    r = np.full(n, 1 / n)
+    for _ in range(6):
+        r = 0.85 * ((m @ np.where(out > 0, r / np.maximum(out, 1), 0))[:n] + r[out == 0].sum() / n) + 0.15 / n
+    before, limit = shuffled_rows(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = graph.pagerank(spark.range(n), spark.createDataFrame(edges, "src long, dst long"), rounds=6, tolerance=0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert [x["rank"] for x in got.orderBy("id").collect()] == pytest.approx(r.tolist(), rel=1e-9)
+    assert shuffled_rows(spark) - before < 3 * len(edges)
+
+
 def test_edges_states(spark):
     s = spark.createDataFrame([(1, "a.f"), (2, "b.f"), (3, "c.g")], "id long, symbol string")
     w = spark.createDataFrame([(1, "c.g"), (1, "g"), (1, "f"), (1, "zz"), (3, "c.g"), (2, "a.f")], "src long, name string")
