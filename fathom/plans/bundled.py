@@ -87,7 +87,7 @@ def status_patches(spark, d):
 def hub_files(spark, d):
     """The 20 files with most PageRank after twelve rounds; the first three characters of a node name its file."""
     ranks = graph.pagerank(*_supply(spark, d), rounds=12, tolerance=0)
-    return graph.hubs(ranks, _supply(spark, d)[0].distinct().select("id", F.substring("id", 1, 3).alias("file")))
+    return graph.hubs(ranks, ranks.select("id", F.substring("id", 1, 3).alias("file")))
 
 
 @query("SELECT 1 AS run, count(*) AS texts, count(DISTINCT text) AS different, 0::BIGINT AS from_store, count(DISTINCT text) AS embedded FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 2, count(*), count(DISTINCT text), (SELECT count(DISTINCT text) FROM documents WHERE doc_id % 2 = 0), count(DISTINCT text) - (SELECT count(DISTINCT text) FROM documents WHERE doc_id % 2 = 0) FROM documents")
