@@ -5,10 +5,11 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import text as words
+from fathom.functions.condensed import _bound as bound
 from fathom.operators import scan
 
 MOST_CHARS = 4000
@@ -152,26 +153,42 @@ def grammar_stripped(files: DataFrame) -> DataFrame:
     """Texts of (path, text), path distinct, with words and phrases that say nothing taken out of their lines.
 
     Fenced code and lines that are a tag stay as they are. From the first line `---` outside a fence to the next one (or the end), lines are
-    front matter: only their plain or quoted values change. Null stays null. The lines of a text meet in one task, as the text itself does.
+    front matter: only their plain or quoted values change. Null stays null. Each text is worked off in its row, in time that grows with its lines: fences cut
+    it into segments that are code or not.
     """
-    from pyspark.sql import Window
-
-    whole = Window.partitionBy("path")
-    before = whole.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    bare = words.trimmed(F.col("line"))
-    lines = files.select("path", F.posexplode_outer(F.split("text", "\n")).alias("at", "line"))
-    rows = lines.withColumn("fence", bare.startswith("```")).withColumn("rule", bare == "---")
-    odd = lambda c: F.coalesce(F.sum(c.cast("int")).over(before), F.lit(0)) % 2 == 1
-    rows = rows.withColumn("coded", odd(F.col("fence")))
-    rows = rows.withColumn("first", F.min(F.when(F.col("rule") & ~F.col("coded"), F.col("at"))).over(whole))
-    rows = rows.withColumn("last", F.min(F.when(F.col("rule") & (F.col("at") > F.col("first")), F.col("at"))).over(whole))
-    front = F.coalesce((F.col("at") > F.col("first")) & (F.col("last").isNull() | (F.col("at") < F.col("last"))), F.lit(False))
-    rows = rows.withColumn("front", front).withColumn("coded", odd(F.col("fence") & ~F.col("front")))
-    line, field = F.col("line"), r"(?s)^(\s*[\p{L}\p{N}_-]+\s*:\s*)(.*)$"
-    key, value = F.regexp_extract(line, field, 1), F.regexp_extract(line, field, 2)
-    quote, inner = F.regexp_extract(words.trimmed(value), r"^([\"'])(.*)\1$", 1), F.regexp_extract(words.trimmed(value), r"^([\"'])(.*)\1$", 2)
-    clean = F.concat(key, F.when(value.rlike(r"^[\[{|>]"), value).when(quote != "", F.concat(quote, words.stripped_line(inner), quote)).otherwise(words.stripped_line(value)))
-    kept = (F.col("at") == F.col("first")) | (F.col("at") == F.col("last"))
-    new = F.when(F.coalesce(kept, F.lit(False)), line).when(F.col("front"), F.when(key == "", line).otherwise(clean)).when(F.col("fence") | F.col("coded") | line.rlike(r"^\s*<[^>]+>\s*$"), line).otherwise(words.stripped_line(line))
-    done = rows.select("path", "at", new.alias("line")).groupBy("path").agg(F.max("at").alias("n"), F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
-    return done.select("path", F.when(F.col("n").isNotNull(), F.array_join(F.transform("l", lambda s: s["line"]), "\n")).alias("text"))
+    field = r"(?s)^(\s*[\p{L}\p{N}_-]+\s*:\s*)(.*)$"
+
+    def in_front(line: Column) -> Column:
+        key, value = F.regexp_extract(line, field, 1), F.regexp_extract(line, field, 2)
+        quote, inner = F.regexp_extract(words.trimmed(value), r"^([\"'])(.*)\1$", 1), F.regexp_extract(words.trimmed(value), r"^([\"'])(.*)\1$", 2)
+        clean = F.concat(key, F.when(value.rlike(r"^[\[{|>]"), value).when(quote != "", F.concat(quote, words.stripped_line(inner), quote)).otherwise(words.stripped_line(value)))
+        return F.when(key == "", line).otherwise(clean)
+
+    def of_lines(lines: Column) -> Column:
+        mark = lambda x, i: F.when(x.rlike(r"^\s*(?:```|---\s*\z)"), F.struct(i.alias("at"), x.rlike(r"^\s*```").alias("fence")))
+        return bound(F.filter(F.transform(lines, mark), lambda m: m.isNotNull()), lambda marks: of_marks(lines, marks))
+
+    def of_marks(lines: Column, marks: Column) -> Column:
+        seen = lambda odd, first: F.struct(odd.alias("odd"), first.alias("first"))
+        step = lambda s, m: F.when(s["first"].isNotNull(), s).when(m["fence"], seen(~s["odd"], s["first"])).when(s["odd"], s).otherwise(seen(s["odd"], m["at"]))
+        first = F.aggregate(marks, seen(F.lit(False), F.lit(None).cast("int")), step)["first"]
+        return bound(first, lambda a: bound(F.get(F.filter(marks, lambda m: ~m["fence"] & (m["at"] > a)), F.lit(0))["at"], lambda b: of_front(lines, marks, a, b)))
+
+    def of_front(lines: Column, marks: Column, first: Column, last: Column) -> Column:
+        front = lambda at: F.coalesce((at > first) & (last.isNull() | (at < last)), F.lit(False))
+        kept = lambda at: F.coalesce((at == first) | (at == last), F.lit(False))
+        changed = lambda x, at: F.when(kept(at), x).when(front(at), in_front(x)).when(x.rlike(r"^\s*<[^>]+>\s*$"), x).otherwise(words.stripped_line(x))
+
+        def of_fences(fences: Column) -> Column:
+            def segment(j: Column) -> Column:
+                start, end = F.coalesce(F.get(fences, j - 1) + 1, F.lit(0)), F.coalesce(F.get(fences, j), F.size(lines))
+                # In code no front matter begins, but it may end there or go on.
+                part = F.slice(lines, start + 1, end - start)
+                part = F.when(j % 2 == 1, F.transform(part, lambda x, i: F.when(front(start + i), in_front(x)).otherwise(x))).otherwise(F.transform(part, lambda x, i: changed(x, start + i)))
+                return F.concat(part, F.when(j < F.size(fences), F.array(F.get(lines, F.get(fences, j)))).otherwise(F.array().cast("array<string>")))
+
+            return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(fences)), segment)), "\n")
+
+        return bound(F.transform(F.filter(marks, lambda m: m["fence"] & ~front(m["at"])), lambda m: m["at"]), of_fences)
+
+    return files.select("path", F.when(F.col("text").isNotNull(), bound(F.split("text", "\n"), of_lines)).alias("text"))

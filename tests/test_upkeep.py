@@ -173,3 +173,37 @@ def test_write_log_of_copies(spark, monkeypatch):
     got = {r.id: (r.op, r.other_id, r.similarity) for r in store.write_log(spark.createDataFrame(rows, "id long, project string, text string")).collect()}
     assert got == want
     assert max(most) <= len(rows)
+
+
+def test_grammar_stripped_stays_in_its_row(spark):
+    """Fences and front matter against a walk through the lines; nothing is shuffled."""
+    import random
+
+    draw = random.Random(5)
+    texts = ["\n".join(draw.choices(["```", " ``` ", "---", "--- ", "the x", "k: the y", "<the>", ""], k=draw.randrange(14))) for _ in range(400)]
+
+    def walked(text):
+        lines, parity, first = text.split("\n"), 0, None
+        for i, x in enumerate(lines):
+            if x.strip().startswith("```"):
+                parity ^= 1
+            elif x.strip() == "---" and not parity and first is None:
+                first = i
+        last = next((i for i, x in enumerate(lines) if first is not None and i > first and x.strip() == "---"), len(lines))
+        out, coded = [], False
+        for i, x in enumerate(lines):
+            if first is not None and i in (first, last):
+                out.append(x)
+            elif first is not None and first < i < last:
+                out.append("k: y" if x == "k: the y" else x)
+            elif x.strip().startswith("```"):
+                coded = not coded
+                out.append(x)
+            else:
+                out.append(x if coded or x == "<the>" else x.replace("the ", "").strip())
+        return "\n".join(out)
+
+    files = spark.createDataFrame(list(enumerate(texts)), "path int, text string")
+    got = chunking.grammar_stripped(files)
+    assert {r.path: r.text for r in got.collect()} == {i: walked(t) for i, t in enumerate(texts)}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
