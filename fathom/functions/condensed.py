@@ -76,18 +76,14 @@ def container_list(text: Column) -> Column:
 
 
 def json_string(value: Column) -> Column:
-    """A string as JSON in ASCII; null is null. Signs beyond ASCII stand as the escapes of their UTF-16 units."""
-    units = F.regexp_extract_all(F.hex(F.encode(value, "UTF-16BE")), F.lit("([0-9A-F]{4})"), F.lit(1))
-
-    def one(u: Column) -> Column:
-        code = F.conv(u, 16, 10).cast("int")
-        plain = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r", 34: '\\"', 92: "\\\\"}
-        out = F.when((code >= 32) & (code < 127) & ~code.isin(34, 92), F.char(code))
-        for c, escape in plain.items():
-            out = out.when(code == c, F.lit(escape))
-        return out.otherwise(F.concat(F.lit("\\u"), F.lower(u)))
-
-    return F.when(value.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), F.array_join(F.transform(units, one), ""), F.lit('"')))
+    """A string as JSON in ASCII; null is null. Signs beyond ASCII stand as the escapes of their UTF-16 units. Runs of plain signs are taken as they are, others run by run."""
+    out = F.regexp_replace(value, r'(["\\])', r"\\$1")
+    for c, escape in {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}.items():
+        out = F.replace(out, F.lit(c), F.lit(escape))
+    runs = F.regexp_extract_all(out, F.lit("[ -~]+|[^ -~]+"), F.lit(0))
+    escaped = lambda r: F.regexp_replace(F.lower(F.hex(F.encode(r, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    one = lambda r: F.when(F.ascii(r).between(32, 126), r).otherwise(escaped(r))
+    return F.when(value.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), F.array_join(F.transform(runs, one), ""), F.lit('"')))
 
 
 def json_strings(values: Column) -> Column:

@@ -76,3 +76,17 @@ def test_query_variants(spark):
     assert got[1][2] == ("lateral", "natural systems analogy a b c d e")
     assert got[2][2] == ("lateral", "natural systems analogy plain")
     assert got[3][2] == ("constraint-removal", "unlimited resources approach x")
+
+
+def test_json_string_goes_by_runs(spark):
+    """As json.dumps writes them; signs are not taken apart one by one."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    from fathom.functions import condensed
+
+    texts = ["", "plain", 'a"b\\c\\"', "\\u00e9 \\n", "é", "aéb€c", "\x00\x01\x1f\x7f\x80", "\b\t\n\f\r\x0b", "😀 x 😀😀é\n", "ü" * 5000 + "x" * 5000, "$1 \\$1", "   "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "id int, t string").select("id", condensed.json_string(F.col("t")).alias("j"))
+    assert [r.j for r in df.orderBy("id").collect()] == [json.dumps(t) for t in [*texts, None]]
+    assert "conv(" not in df._jdf.queryExecution().optimizedPlan().toString()
