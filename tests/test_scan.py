@@ -44,3 +44,25 @@ def test_file_sets(spark):
     repo = spark.createDataFrame([("r1", "README.md"), ("r1", "src/x.py"), ("r2", "docs/readme.txt")], "repo string, path string")
     required = spark.createDataFrame([("readme", r, "(?i)^readme") for r in ("r1", "r2", "r3")] + [("src", r, "^src/") for r in ("r1", "r2")], "rule_id string, repo string, pattern string")
     assert {(r.rule_id, r.repo) for r in scan.missing_files(repo, required).collect()} == {("readme", "r2"), ("readme", "r3"), ("src", "r2")}
+
+
+def tried(pattern, text):
+    """Whether the pattern's expression is tried on the text."""
+    if not (literals := scan._followed_literals(pattern)):
+        return True
+    low = scan._folded(text)
+    return any(f is None or f.match(text, i + len(x)) for x, tails in literals.items() for f in tails for i in range(len(low)) if low.startswith(x, i))
+
+
+def test_what_follows_a_literal(spark):
+    """A text with a pattern's literal, but not what follows it there, isn't tried; no text that matches is left out."""
+    assert not tried(r"one\W+three", "one two three, three one") and tried(r"one\W+three", "one, three")
+    assert not tried(r"(?i)one[^a-z]+three|foo bar baz", "one two THREE foo bar") and tried(r"(?i)one[^a-z]+three", "ONE 2 THREE")
+    assert tried("(?i:one) two", "ONE two") and tried("one[[a]b]two", "oneb]two")
+    patterns = [r"one\W+two\W+three", r"(?i)two[^a-z]+three|foo  bar", r"(?:one|foo)-?two", r"foo\s{1,3}bar\d*one", r"one.*three", r"(?i)foo(?:bar|one)+x", "éone\\W+é", r"one\b two", "[^o]ne two|three{2}foo", r"(one two|foo){2}bar"]
+    draw = random.Random(4)
+    texts = ["".join(draw.choices(["one", "two", "three", "ONE", "Two", "foo", "bar", " ", "  ", "-", ", ", "é", "😀", "7", "x", "\n", "e", "\u0085"], k=draw.randrange(1, 14))) for _ in range(3000)]
+    t, r = spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame([(p, p) for p in patterns], "rule_id string, pattern string")
+    want = sorted((x.id, x.rule_id) for x in t.crossJoin(r).where("text RLIKE pattern").collect())
+    assert sorted((x.id, x.rule_id) for x in scan.matches(t, r).collect()) == want
+    assert len({x[1] for x in want}) >= 9
