@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import scalars
-from fathom.storage import BROADCAST_IDS, bucketed, forget, stored
+from fathom.storage import BROADCAST_IDS, bucketed, forget, small, stored
 
 #: A node with more edges out than this is a hub: its rank goes to the tasks that have its edges' ends, not to each end.
 HUB = 64
@@ -105,55 +105,116 @@ def in_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().join(levels(nodes, edges), "id", "left_anti")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(id, comp) of the nodes of edges (src, dst): comp is the greatest node that a node reaches and is reached by (itself, if no other).
+def components(pairs: DataFrame) -> DataFrame:
+    """(id, comp) of the ends of pairs (a, b): comp is the greatest node that pairs lead to, whichever way they are read.
 
-    Nodes without edges in or out among those left are components of their own and go first. Then each node takes the greatest node that
-    reaches it as its colour, and those of a colour that reach its own node are a component. Both walks go on until nothing
-    changes, so rounds follow the longest shortest path; a round is stored, and the one before is deleted. Null ends are left out.
+    Labels go to neighbours and then to their labels' labels, so the rounds grow with the logarithm of the longest path.
     """
-    left = stored(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct(), "edges")
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).where("id IS NOT NULL").distinct()
-    done = []
+    both = stored(pairs.select("a", "b").union(pairs.select("b", "a")), "both")
+    comps = stored(both.groupBy(F.col("a").alias("id")).agg(F.max("b").alias("near")).select("id", F.greatest("id", "near").alias("comp")), "comps")
     while True:
-        while True:  # trim
-            ends = left.select(F.col("src").alias("id"), F.lit(1).alias("out")).union(left.select("dst", F.lit(0)))
-            both = stored(ends.groupBy("id").agg((F.max("out") * (1 - F.min("out"))).alias("both")).where("both = 1").select("id"), "inner")
-            inner = left.join(both.withColumnRenamed("id", "src"), "src", "left_semi").join(both.withColumnRenamed("id", "dst"), "dst", "left_semi")
-            before, left = left, stored(inner.select("src", "dst"), "edges")
-            gone = before.count() - left.count()
-            forget(before)
+        near = both.join(comps.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.max("comp").alias("near"))
+        step = comps.join(near, "id").select("id", F.col("comp").alias("was"), F.greatest("comp", "near").alias("next"))
+        above = step.join(comps.select(F.col("id").alias("next"), F.col("comp").alias("above")), "next")
+        before, comps = comps, stored(above.select("id", F.greatest("next", "above").alias("comp"), (F.greatest("next", "above") > F.col("was")).alias("moved")), "comps")
+        forget(before)
+        moved, comps = comps.where("moved").limit(1).count(), comps.select("id", "comp")
+        if not moved:
             forget(both)
-            if not gone:
-                break
-        if left.isEmpty():
+            return comps
+
+
+def _links(edges: DataFrame, back: str | None) -> DataFrame:
+    """(a, b, up, down): two neighbours a <= b once, whether an edge leads from a to b, and from b to a. A node's edge to itself or to null is (a, a), without either."""
+    way = lambda x, y: F.coalesce(F.col(x) < F.col(y), F.lit(False))
+    also = F.coalesce(F.col(back), F.lit(False)) if back else F.lit(False)
+    up, down = way("src", "dst"), way("dst", "src")
+    ends = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (up | (down & also)).alias("up"), (down | (up & also)).alias("down"))
+    return ends.where("a IS NOT NULL").groupBy("a", "b").agg(F.max("up").alias("up"), F.max("down").alias("down"))
+
+
+def _seen(links: DataFrame) -> DataFrame:
+    """(id, inner, high, low) of the ends of links: whether edges lead in and out; the greatest and the least neighbour with edges both ways."""
+    ends = links.select(F.col("a").alias("id"), F.col("b").alias("other"), F.col("up").alias("out"), F.col("down").alias("into")).union(links.select("b", "a", "down", "up"))
+    mutual = F.when(F.col("out") & F.col("into"), F.col("other"))
+    return ends.groupBy("id").agg((F.max("out") & F.max("into")).alias("inner"), F.max(mutual).alias("high"), F.min(mutual).alias("low"))
+
+
+def _merged(links: DataFrame, comps: DataFrame) -> DataFrame:
+    """links (see _links) between different components of nodes (id, comp); those of other nodes are left out."""
+    ends = links.where("a <> b").join(comps.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b").join(comps.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a").where("x <> y")
+    turn = F.col("x") > F.col("y")
+    ends = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(turn, F.col("down")).otherwise(F.col("up")).alias("up"), F.when(turn, F.col("up")).otherwise(F.col("down")).alias("down"))
+    return ends.groupBy("a", "b").agg(F.max("up").alias("up"), F.max("down").alias("down"))
+
+
+def _coloured(left: DataFrame) -> DataFrame:
+    """(id, comp) of some components of edges (src, dst), where all nodes have edges in and out.
+
+    Each node takes the greatest node that reaches it as its colour, and those of a colour that reach its own node are a component.
+    Both walks go on from what changed until nothing does, so rounds follow the longest shortest path; a round is stored, and the one before is deleted.
+    """
+    colour = stored(left.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("colour"), F.lit(True).alias("moved")), "colour")
+    while True:
+        reached = left.join(colour.where("moved").select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("near"))
+        new = colour.join(reached, "id", "left").select("id", F.greatest("colour", "near").alias("colour"), F.coalesce(F.col("near") > F.col("colour"), F.lit(False)).alias("moved"))
+        before, colour = colour, stored(new, "colour")
+        forget(before)
+        if not colour.where("moved").limit(1).count():
             break
-        colour = stored(left.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")), "colour")
-        while True:
-            reached = left.join(colour, left.src == colour.id).groupBy("dst").agg(F.max("colour").alias("near"))
-            new = stored(colour.join(reached, colour.id == reached.dst, "left").select("id", F.greatest("colour", "near").alias("colour"), (F.col("near") > F.col("colour")).alias("moved")), "colour")
-            forget(colour)
-            colour = new.select("id", "colour")
-            if not new.where("moved").limit(1).count():
-                break
-        # Within a colour, from its own node against the edges.
-        inside = left.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("cd")), "dst")
-        inside = stored(inside.where("cs = cd").select("src", "dst"), "inside")
-        found = stored(colour.where("id = colour"), "found")
-        n = found.count()
-        while True:
-            back = inside.join(found.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "colour")
-            more = stored(found.union(back).distinct(), "found")
-            forget(found)
-            found, was, n = more, n, more.count()
-            if n == was:
-                break
-        done.append(found)
-        rest = left.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti")
-        left = stored(rest.select("src", "dst"), "edges")
-    for found in done:
-        nodes = nodes.join(found.withColumnRenamed("colour", "_c"), "id", "left").withColumn("comp", F.coalesce("_c", *(["comp"] if "comp" in nodes.columns else []))).drop("_c")
-    return nodes.select("id", F.coalesce("comp" if done else F.lit(None), "id").alias("comp"))
+    # Within a colour, from its own node against the edges.
+    inside = left.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("cd")), "dst")
+    inside = stored(inside.where("cs = cd").select("src", "dst"), "inside")
+    found = newest = stored(colour.where("id = colour").select("id", F.col("colour").alias("comp")), "found")
+    while True:
+        back = inside.join(newest.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "comp").distinct()
+        newest = stored(back.join(found, "id", "left_anti"), "newest")
+        if newest.isEmpty():
+            forget(inside)
+            return found
+        before, found = found, stored(found.union(newest), "found")
+        forget(before)
+
+
+def strong_components(edges: DataFrame, back: str | None = None) -> DataFrame:
+    """(id, comp) of the nodes of edges (src, dst): comp is the greatest node that a node reaches and is reached by (itself, if no other).
+
+    back: a boolean column, true for edges that lead back as well. Null ends are left out.
+
+    Two nodes with edges both ways are in one component. So a round drops nodes without edges in or out among those left, which are components
+    of their own, and makes one node of all that are joined by such pairs: first by each node's pairs with its greatest and its least neighbour,
+    which are two a node, however many edges there are. At least half of the nodes that have a pair are merged in a round.
+    Where no pair is left and no node to drop, colours find components of longer cycles, which are taken out.
+    """
+    links, maps, nodes = stored(_links(edges, back), "links"), [], None
+    while True:
+        seen = stored(_seen(links), "seen")
+        nodes = seen if nodes is None else nodes
+        inner, outer, paired = seen.agg(F.count_if("inner"), F.count_if(~F.col("inner")), F.count("high")).first()
+        if not inner:
+            break
+        before = links
+        if paired:
+            pairs = seen.where("high IS NOT NULL")
+            comps = components(pairs.select(F.col("id").alias("a"), F.col("high").alias("b")).union(pairs.where("low < high").select("id", "low")))
+            maps.append(comps.where("id <> comp"))
+            comps = seen.where("inner").select("id").join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+            links = stored(_merged(links, small(stored(comps, "comps"), BROADCAST_IDS // 4)), "links")
+        elif outer:
+            kept = small(stored(seen.where("inner").select("id"), "inner"))
+            links = stored(links.join(kept.withColumnRenamed("id", "b"), "b", "left_semi").join(kept.withColumnRenamed("id", "a"), "a", "left_semi").where("a <> b").select("a", "b", "up", "down"), "links")
+        else:
+            found = _coloured(stored(links.select(F.when(F.col("up"), F.col("a")).otherwise(F.col("b")).alias("src"), F.when(F.col("up"), F.col("b")).otherwise(F.col("a")).alias("dst")), "edges"))
+            maps.append(found.where("id <> comp"))
+            links = stored(links.join(found.select(F.col("id").alias("b")), "b", "left_anti").join(found.select(F.col("id").alias("a")), "a", "left_anti").select("a", "b", "up", "down"), "links")
+        forget(before)
+        if seen is not nodes:
+            forget(seen)
+    nodes = nodes.select("id", F.col("id").alias("comp"))
+    for i, found in enumerate(maps):  # each map's nodes are components of the maps before
+        nodes = nodes.join(found.select(F.col("id").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("id", F.coalesce("next", "comp").alias("comp"))
+        nodes = stored(nodes, "nodes") if i % 8 == 7 else nodes
+    return nodes
 
 
 def cycles(edges: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathom.operators import graph, running, scan, store
+from fathom.storage import small, stored
 
 from .base import query, table
-from .relations import _supply
 from .search import _TRI
 
 _TOOL = "^[AEIOUÉÈÊ]"
@@ -57,8 +57,20 @@ _EDGES = "pairs AS (SELECT DISTINCT l_partkey AS k, 'p' || l_partkey AS p, 's' |
 
 @query(f"WITH RECURSIVE {_EDGES}, nodes AS (SELECT src AS id FROM e UNION SELECT dst FROM e), reach(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM reach r JOIN e ON r.b = e.src), c AS (SELECT x.a AS id, max(x.b) AS top FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1) SELECT id, greatest(id, coalesce(top, id)) AS comp FROM nodes LEFT JOIN c USING (id)")
 def strong_components(spark, d):
-    """Strongly connected components of parts and suppliers; every third part has edges back."""
-    return graph.strong_components(_supply(spark, d)[1])
+    """Strongly connected components of parts and suppliers; every third part has edges back.
+
+    Parts are even numbers and suppliers odd ones on the way, if their keys can be doubled; the name that a component goes by is found at the end, among those of its nodes.
+    """
+    pairs = table(spark, d, "lineitem").where("l_partkey IS NOT NULL AND l_suppkey IS NOT NULL").withColumn("back", F.col("l_partkey") % 3 == 0)
+    high = f"NOT BETWEEN {-(2**62)} AND {2**62 - 1}"
+    if not pairs.where(f"l_partkey {high} OR l_suppkey {high}").isEmpty():
+        return graph.strong_components(pairs.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), "back"), "back")
+    two = F.lit(2).cast("long")
+    edges = pairs.select((F.col("l_partkey") * two).alias("src"), (F.col("l_suppkey") * two + 1).alias("dst"), "back")
+    comps = stored(graph.strong_components(edges, "back"), "components")
+    name = lambda c: F.concat(F.when(F.col(c).bitwiseAND(1) == 0, "p").otherwise("s"), F.shiftright(c, 1))
+    tops = small(stored(comps.where("id <> comp").groupBy("comp").agg(F.max(name("id")).alias("top")), "tops"))
+    return comps.join(tops, "comp", "left").select(name("id").alias("id"), F.greatest(name("comp"), "top").alias("comp"))
 
 
 @query(

@@ -98,6 +98,20 @@ def test_pagerank_shuffles_edges_once(spark):
     assert shuffled_rows(spark) - before < 3 * len(edges)
 
 
+def test_strong_components_shuffle_edges_few_times(spark):
+    """Two groups of nodes with edges both ways, and nodes that only lead to one: the edges are not walked in rounds."""
+    edges = [(s, t) for s in range(0, 150) for t in range(500, 550)] + [(s, t) for s in range(200, 350) for t in range(600, 650)]
+    df = spark.createDataFrame([e for s, t in edges for e in ((s, t), (t, s))] + [(s, t) for s in range(400, 450) for t in range(500, 550)], "src long, dst long")
+    before, limit = shuffled_rows(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.id: r.comp for r in graph.strong_components(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {v: v if 400 <= v < 450 else 549 if v < 150 or 500 <= v < 550 else 649 for e in edges for v in e} | {v: v for v in range(400, 450)}
+    assert shuffled_rows(spark) - before < 3 * df.count()
+
+
 def test_edges_states(spark):
     s = spark.createDataFrame([(1, "a.f"), (2, "b.f"), (3, "c.g")], "id long, symbol string")
     w = spark.createDataFrame([(1, "c.g"), (1, "g"), (1, "f"), (1, "zz"), (3, "c.g"), (2, "a.f")], "src long, name string")

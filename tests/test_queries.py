@@ -1,5 +1,6 @@
 """Every registered query of the store runs, and agrees with its SQL where it has one."""
 
+import duckdb
 import pytest
 
 from fathom import plans
@@ -29,6 +30,16 @@ def test_sets_of_words_are_made_once_a_row(spark, name, work):
     assert plan.count(work) == 1
 
 
+@pytest.mark.parametrize("more", [[], [(2**63 - 1, 2), (3 * 2**61, 2**63 - 1)]])
+def test_strong_components_of_odd_keys(spark, tmp_path, more):
+    """Null, negative and equal keys of both kinds, and ones that can't be doubled."""
+    rows = [(3, 3), (3, 4), (4, 4), (6, 9), (9, 10), (-3, 10), (-3, -1), (-4, -1), (5, None), (None, 7), (None, None), (0, 0), (2**62 - 1, -(2**62)), (3, 3), *more]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    agree(plans.QUERIES["strong_components"](spark, str(tmp_path)), plans.SQL["strong_components"], duck)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

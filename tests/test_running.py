@@ -92,3 +92,24 @@ def test_strong_components(spark, seed):
     assert {r.id for r in graph.cycles(df).collect()} == on
     assert 60 not in on and 51 in on
     assert graph.strong_components(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_strong_components_of_pairs(spark, seed):
+    """Edges that lead back, paths of pairs, cycles of several pairs, null ends; by numbers and by names."""
+    draw = random.Random(10 + seed)
+    edges = [(a, b, draw.random() < 0.3) for a, b in ((draw.randrange(60), draw.randrange(60)) for _ in range(70))]
+    edges += [(100 + i, 101 + i, True) for i in range(12)] + [(120, 121, True), (122, 123, True), (124, 125, None), (121, 122, False), (123, 120, None), (123, 124, False)]
+    want = brute_components([(a, b) for a, b, _ in edges] + [(b, a) for a, b, back in edges if back])
+    df = spark.createDataFrame([*edges, (None, 200, True), (201, None, False), (None, None, None), (100, 101, False)], "src long, dst long, back boolean")
+    assert {r.id: r.comp for r in graph.strong_components(df, "back").collect()} == want | {200: 200, 201: 201}
+    name = lambda c: F.concat(F.lit("n"), F.lpad(F.col(c).cast("string"), 5, "0")).alias(c)
+    names = graph.strong_components(df.select(name("src"), name("dst"), "back"), "back")
+    assert {int(r.id[1:]): int(r.comp[1:]) for r in names.collect()} == want | {200: 200, 201: 201}
+
+
+def test_components(spark):
+    draw = random.Random(5)
+    pairs = [(draw.randrange(80), draw.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)] + [(7, 7), (90, 90)]
+    want = brute_components(pairs + [(b, a) for a, b in pairs])
+    assert {r.id: r.comp for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()} == want
